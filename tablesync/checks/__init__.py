@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("scan", "identity")
+_MODULES = ("scan", "identity", "mapping", "transforms")
 
 
 def load() -> None:

@@ -154,7 +154,7 @@ def _select_target(row: _Row, spec: MappingSpec, direction: str, compat: bool) -
             key = surrogate_key(spec.a_type, src.value)
             out[target] = _Field(key, "string", src.present)
         elif src is not None:
-            if takes_own and source != target:
+            if takes_own and (compat or source != target):
                 # a value derived for the target wins; a null one leaves the field absent
                 out[target] = _Field(own.value, own.type_name, own.present & own.value.isNotNull())
             else:
