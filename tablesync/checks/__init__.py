@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("scan", "identity", "mapping", "transforms")
+_MODULES = ("scan", "identity", "mapping", "transforms", "sync")
 
 
 def load() -> None:

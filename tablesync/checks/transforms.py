@@ -229,8 +229,8 @@ def iso_to_date(t: Tables):
 
 
 @query("labels", r"""
-SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(replace(name, '_', ' '), '([a-zA-Z]+|[^a-zA-Z]+)'),
-         x -> concat(upper(substring(x, 1, 1)), lower(substring(x, 2)))), '') AS label
+SELECT p_partkey, array_to_string([concat(upper(substring(x, 1, 1)), lower(substring(x, 2)))
+         for x in regexp_extract_all(replace(name, '_', ' '), '([a-zA-Z]+|[^a-zA-Z]+)')], '') AS label
 FROM (SELECT p_partkey, concat(replace(p_name, ' ', '_'), '_2nd-', p_type, '_', p_brand, 'x') AS name FROM part) p""")
 def labels(t: Tables):
     rows = t.sql(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Iterable, Sequence
+from typing import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,39 +38,42 @@ def normalize_phone(phone: Column) -> Column:
     return F.when(F.length(digits) >= 10, F.right(digits, F.lit(10)))
 
 
-def _having(fields: Sequence[str], columns: Iterable[str]) -> list[Column]:
+Getter = Callable[[str], Column]
+
+
+def _having(fields: Sequence[str], columns: Iterable[str], get: Getter) -> list[Column]:
     present = set(columns)
-    return [F.col(f).cast("string") for f in fields if f in present]
+    return [get(f).cast("string") for f in fields if f in present]
 
 
 def _first(values: list[Column]) -> Column:
     return F.coalesce(*values) if values else F.lit(None).cast("string")
 
 
-def first_phone(columns: Iterable[str], which: str = "any") -> Column:
-    return _first([normalize_phone(c) for c in _having(PHONE_FIELDS[which], columns)])
+def first_phone(columns: Iterable[str], which: str = "any", get: Getter = F.col) -> Column:
+    return _first([normalize_phone(c) for c in _having(PHONE_FIELDS[which], columns, get)])
 
 
-def first_email(columns: Iterable[str], which: str = "any") -> Column:
-    return _first([non_empty(c) for c in _having(EMAIL_FIELDS[which], columns)])
+def first_email(columns: Iterable[str], which: str = "any", get: Getter = F.col) -> Column:
+    return _first([non_empty(c) for c in _having(EMAIL_FIELDS[which], columns, get)])
 
 
-def _first_text(fields: Sequence[str], columns: Iterable[str]) -> Column:
-    return _first([non_empty(c) for c in _having(fields, columns)])
+def _first_text(fields: Sequence[str], columns: Iterable[str], get: Getter = F.col) -> Column:
+    return _first([non_empty(c) for c in _having(fields, columns, get)])
 
 
-def person_identity(columns: Iterable[str]) -> Column:
+def person_identity(columns: Iterable[str], get: Getter = F.col) -> Column:
     columns = list(columns)
     return F.coalesce(
-        F.concat(F.lit("phone:"), first_phone(columns)),
-        F.concat(F.lit("email:"), first_email(columns)),
+        F.concat(F.lit("phone:"), first_phone(columns, get=get)),
+        F.concat(F.lit("email:"), first_email(columns, get=get)),
     )
 
 
-def task_identity(columns: Iterable[str]) -> Column:
+def task_identity(columns: Iterable[str], get: Getter = F.col) -> Column:
     columns = list(columns)
-    subject = _first_text(("subject", "task_name", "name"), columns)
-    tail = snippet(_first_text(("description", "page_content"), columns))
+    subject = _first_text(("subject", "task_name", "name"), columns, get)
+    tail = snippet(_first_text(("description", "page_content"), columns, get))
     return F.concat(
         F.lit("subject:"),
         subject,
@@ -78,16 +81,15 @@ def task_identity(columns: Iterable[str]) -> Column:
     )
 
 
-def dedup_identity(entity: Column, columns: Iterable[str]) -> Column:
+def dedup_identity(entity: Column, columns: Iterable[str], get: Getter = F.col) -> Column:
     """Identity an event is throttled on, chosen by its entity type; null: never throttled."""
     columns = list(columns)
     kind = F.lower(entity)
+    name = _first_text(("name", "title", "subject"), columns, get)
     return (
-        F.when(kind.isin(*PERSON_TYPES), person_identity(columns))
-        .when(kind.isin(*TASK_TYPES), task_identity(columns))
-        .otherwise(
-            F.concat(F.lit("name:"), _first_text(("name", "title", "subject"), columns))
-        )
+        F.when(kind.isin(*PERSON_TYPES), person_identity(columns, get))
+        .when(kind.isin(*TASK_TYPES), task_identity(columns, get))
+        .otherwise(F.concat(F.lit("name:"), name))
     )
 
 

@@ -13,9 +13,11 @@ from tablesync.functions.text import word_to_boolean
 TIMESTAMP_FIELDS = ("created_at", "updated_at", "creation", "modified")
 BOOLEAN_FIELDS = ("disabled", "enabled", "active", "inactive", "verified")
 
-_DATE = r"(\d{4}-\d{2}-\d{2})"
-_STAMP = _DATE + r"(?:[T ](\d{2}:\d{2})(:\d{2})?(?:[.,](\d{1,6})\d*)?)?(Z|[+-]\d{2}:\d{2})?"
-_WHOLE = f"^{_STAMP}$"
+_STAMP = (
+    r"^\d{4}-\d{2}-\d{2}"
+    r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
+)
+_CLOCK_END = r"(?=[Z+.,-]|$)"
 
 
 def render_timestamp(value: Column, iso: bool, type_name: str = "string") -> Column:
@@ -32,23 +34,18 @@ def render_timestamp(value: Column, iso: bool, type_name: str = "string") -> Col
         micros = F.date_format(value, "SSSSSS")
         return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""))
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(value, _WHOLE, group)
-
-    day = part(1)
-    minute = F.when(part(2) == "", "00:00").otherwise(part(2))
-    clock = F.concat(minute, F.when(part(3) == "", ":00").otherwise(part(3)))
-    fraction = F.rpad(part(4), 6, "0")
-    offset = F.when(part(5) == "Z", "+00:00").otherwise(part(5))
-    valid = value.rlike(_WHOLE) & F.try_to_timestamp(F.concat_ws(" ", day, clock)).isNotNull()
+    # each step rewrites the one before, so the value is named only once
+    text = F.regexp_replace(value, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    text = F.regexp_replace(text, r"^(.{10})[T ](\d{2}:\d{2})" + _CLOCK_END, "$1T$2:00")
     if iso:
-        shown = F.when((part(4) == "") | (fraction == "000000"), "").otherwise(
-            F.concat(F.lit("."), fraction)
-        )
-        text = F.concat(day, F.lit("T"), clock, shown, offset)
+        text = F.regexp_replace(text, "^(.{10}) ", "$1T")
+        text = F.regexp_replace(text, r"[.,](\d+)", ".$1000000")
+        text = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
+        text = F.regexp_replace(text, r"\.000000", "")
+        text = F.regexp_replace(text, "Z$", "+00:00")
     else:
-        text = F.concat(day, F.lit(" "), clock)
-    return F.when(valid, text).otherwise(value)
+        text = F.regexp_replace(F.substring(text, 1, 19), "T", " ")
+    return F.when(value.rlike(_STAMP) & to_utc(value).isNotNull(), text).otherwise(value)
 
 
 def to_utc(value: Column) -> Column:

@@ -253,13 +253,30 @@ def map_records(
     compat_precedence: bool = False,
 ) -> DataFrame:
     """Maps every row to the target's shape; `keep` carries columns through unmapped."""
-    kept = [F.col(c).alias(f"_{c}" if not c.startswith("_") else c) for c in keep]
+    kept = [F.col(c).alias(c if c.startswith("_") else f"_{c}") for c in keep]
     visible = df.drop(*[c for c in keep if c.startswith("_") and c != PRESENT])
     return df.select(
         *kept, *compile_mapping(visible, spec, direction, compat_precedence=compat_precedence)
     )
 
 
+def conform(mapped: DataFrame, target: DataFrame) -> DataFrame:
+    """Casts mapped columns to the target's types; a value that cannot be cast is null
+    and named in `_errors`."""
+    wanted = {f.name: f.dataType for f in target.schema.fields}
+    columns, errors = [], []
+    for f in mapped.schema.fields:
+        if f.name in wanted and f.dataType != wanted[f.name]:
+            cast = F.col(f.name).try_cast(wanted[f.name])
+            lost = cast.isNull() & F.col(f.name).isNotNull()
+            errors.append(F.when(lost, F.lit(f"{f.name}: not a {wanted[f.name].simpleString()}")))
+            columns.append(cast.alias(f.name))
+        elif f.name != ERRORS:
+            columns.append(F.col(f.name))
+    found = F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>")
+    return mapped.select(*columns, F.concat(ERRORS, found).alias(ERRORS))
+
+
 def with_audit(df: DataFrame, now: Column, target_side: str) -> DataFrame:
     """Sets the change stamp, and the creation stamp where it is missing."""
     changed, created = ("updated_at", "created_at") if target_side == "b" else ("modified", "creation")

@@ -12,14 +12,12 @@ from tablesync.operators.scan import first_by
 from tablesync.profiles import MappingSpec, MatchKey
 
 
-def match_value(df: DataFrame, spec: MappingSpec, direction: str) -> tuple[Column, Column]:
-    """(kind, value) of the first usable match key, on either mapped or target rows."""
-    kinds, values = F.lit(None).cast("string"), []
-    for key in reversed(spec.match_keys):
-        value = _key_value(df, key, direction)
-        kinds = F.when(value.isNotNull(), key.kind).otherwise(kinds)
-        values.insert(0, value)
-    return kinds, F.coalesce(*values) if values else F.lit(None).cast("string")
+def match_values(df: DataFrame, spec: MappingSpec, direction: str) -> list[Column]:
+    """Value of each match key, null where an earlier key of the row is usable."""
+    values = [_key_value(df, key, direction) for key in spec.match_keys]
+    return [
+        F.when(F.coalesce(*values[:n]).isNull(), v) if n else v for n, v in enumerate(values)
+    ]
 
 
 def _key_value(df: DataFrame, key: MatchKey, direction: str) -> Column:
@@ -37,16 +35,20 @@ def find_targets(
     direction: str,
     id_col: str,
     payload: tuple[str, ...] = (),
+    salt: str | None = None,
 ) -> DataFrame:
     """Adds `match_kind`, `match_value`, `target_id` and payload (as `t_<name>`).
 
     Each kind of key is one equi left join against the target reduced to one row per
     key. Where the key is a subject, the mapped text's snippet must also occur in the
-    text of the row found; if it does not, the record counts as not found.
+    text of the row found; if it does not, the record counts as not found. `found_id` is
+    the row before that test: deletes go by the key alone.
     """
-    kind, value = match_value(mapped, spec, direction)
-    out = mapped.withColumn("match_kind", kind).withColumn("match_value", value)
+    out = mapped
+    for n, value in enumerate(match_values(mapped, spec, direction)):
+        out = out.withColumn(f"_v{n}", value)
     found: list[Column] = []
+    unverified: list[Column] = []
     carried: dict[str, list[Column]] = {p: [] for p in payload}
     for n, key in enumerate(spec.match_keys):
         column, text = key.column(direction), key.text(direction)
@@ -55,9 +57,12 @@ def find_targets(
         side = first_by(target, sought, id_col, extra).select(
             F.col("_match").alias(f"_m{n}"), F.struct("_target_id", *extra).alias(f"_t{n}")
         )
-        hit = (F.col("match_kind") == key.kind) & (F.col("match_value") == F.col(f"_m{n}"))
-        out = out.join(side, hit, "left")
+        own = F.col(f"_v{n}")
+        if salt:  # rows without a key would all meet in one partition
+            own = F.coalesce(own, F.concat(F.lit("\u0000"), F.col(salt).cast("string")))
+        out = out.join(side, own == F.col(f"_m{n}"), "left")
         ok = F.col(f"_m{n}").isNotNull()
+        unverified.append(F.when(ok, F.col(f"_t{n}._target_id")))
         if text and text in mapped.columns:
             piece = snippet(F.col(text))
             inside = F.coalesce(F.col(f"_t{n}.{text}"), F.lit("")).contains(piece)
@@ -65,11 +70,16 @@ def find_targets(
         found.append(F.when(ok, F.col(f"_t{n}._target_id")))
         for p in payload:
             carried[p].append(F.when(ok, F.col(f"_t{n}.{p}")))
-    target_id = F.coalesce(*found) if found else F.lit(None).cast("string")
-    out = out.withColumn("target_id", target_id)
+    none = F.lit(None).cast("string")
+    ks = range(len(spec.match_keys))
+    kind = [F.when(F.col(f"_v{n}").isNotNull(), k.kind) for n, k in enumerate(spec.match_keys)]
+    out = out.withColumn("match_kind", F.coalesce(*kind) if kind else none)
+    out = out.withColumn("match_value", F.coalesce(*[F.col(f"_v{n}") for n in ks]) if kind else none)
+    out = out.withColumn("target_id", F.coalesce(*found) if found else none)
+    out = out.withColumn("found_id", F.coalesce(*unverified) if found else none)
     for p, options in carried.items():
         out = out.withColumn(f"t_{p}", F.coalesce(*options))
-    return out.drop(*[f"_{x}{n}" for n in range(len(spec.match_keys)) for x in "mt"])
+    return out.drop(*[f"_{x}{n}" for n in ks for x in "vmt"])
 
 
 def resolve_operation(
@@ -82,7 +92,8 @@ def resolve_operation(
     operation: str = "operation",
     slice_us: int = 3_600_000_000,
 ) -> DataFrame:
-    """Adds `resolved`: delete stays; update if the record exists by then, else create.
+    """Adds `was_there` and `resolved`: delete stays; update if the record exists by
+    then, else create.
 
     A record exists if the target had it before the batch and the batch did not delete
     it, or if the batch's previous operation on the same key wrote it. That needs only
@@ -90,32 +101,36 @@ def resolve_operation(
     operation of earlier slices comes from one small row per slice.
     """
     exists = F.col("target_id").isNotNull() if exists is None else exists
-    no_key = events.where(F.col(key).isNull())
-    keyed = events.where(F.col(key).isNotNull()).withColumn(
+    # a record without a key is nobody's successor: it gets a group of its own
+    own_key = F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
+    keyed = events.withColumn("_key", own_key).withColumn(
         "_part", F.expr(f"({micros} - pmod({micros}, {slice_us}L)) div {slice_us}L")
     )
     order = [F.col(micros), F.col(id_col)]
-    per_part = keyed.groupBy(key, "_part").agg(
-        F.max_by(operation, F.struct(*order)).alias("_last")
+    per_part = (
+        keyed.where(F.col(key).isNotNull())
+        .groupBy("_key", "_part")
+        .agg(F.max_by(operation, F.struct(*order)).alias("_last"))
     )
     handed = per_part.select(
-        F.col(key).alias("_key"),
+        F.col("_key").alias("_who"),
         F.col("_part").alias("_at"),
-        F.lag("_last").over(W.partitionBy(key).orderBy("_part")).alias("_earlier"),
+        F.lag("_last").over(W.partitionBy("_key").orderBy("_part")).alias("_earlier"),
     ).where("_earlier is not null")
     rows = keyed.withColumn(
-        "_before", F.lag(operation).over(W.partitionBy(key, "_part").orderBy(*order))
-    ).join(handed, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_at")), "left")
+        "_before", F.lag(operation).over(W.partitionBy("_key", "_part").orderBy(*order))
+    ).join(handed, (F.col("_key") == F.col("_who")) & (F.col("_part") == F.col("_at")), "left")
     before = F.coalesce("_before", "_earlier")
     is_there = F.when(before.isNull(), exists).otherwise(before != "delete")
-    resolved = (
-        F.when(F.col(operation) == "delete", "delete").when(is_there, "update").otherwise("create")
+    known = rows.withColumn("was_there", is_there).drop(
+        "_key", "_part", "_before", "_earlier", "_who", "_at"
     )
-    keyed_out = rows.withColumn("resolved", resolved).drop(
-        "_part", "_before", "_earlier", "_key", "_at"
+    resolved = (
+        F.when(F.col(operation) == "delete", "delete")
+        .when(F.col("was_there"), "update")
+        .otherwise("create")
     )
-    lone = F.when(F.col(operation) == "delete", "delete").otherwise("create")
-    return keyed_out.unionByName(no_key.withColumn("resolved", lone))
+    return known.withColumn("resolved", resolved)
 
 
 def reconcile(

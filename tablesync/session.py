@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes a result that several later steps read, and reads it back.
+
+    A columnar table in the shared folder: it survives the loss of any executor, later
+    steps read only the columns they need, and their plans start from it.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
