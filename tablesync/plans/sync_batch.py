@@ -26,7 +26,7 @@ from tablesync.operators.events import direction, mapping_gate, route, routes, t
 from tablesync.operators.mapping import PRESENT, conform, map_records, surrogate_key
 from tablesync.operators.match import find_targets, resolve_operation
 from tablesync.profiles import A2B, B2A, MappingSpec, profile_of, sides
-from tablesync.session import stage
+from tablesync.session import stage, stage_all
 
 # Reasons in the ledger.
 REASONS = {
@@ -123,17 +123,10 @@ def gated(events: DataFrame, specs: Sequence[MappingSpec], window_ms: int) -> Da
     )
 
 
-def decide(
-    events: DataFrame,
-    passed: DataFrame,
-    spec: MappingSpec,
-    way: str,
-    source: Side,
-    target: Side,
-    *,
-    slice_us: int = 3_600_000_000,
+def matched_rows(
+    events: DataFrame, passed: DataFrame, spec: MappingSpec, way: str, source: Side, target: Side
 ) -> DataFrame:
-    """Mapped rows of one route with their match, operation, status and reason."""
+    """Records of one route in target shape, each with the target row it belongs to."""
     src, dst = (profile_of(s) for s in sides(way))
     mine = passed.where((F.col("mapping") == spec.name) & (F.col("direction") == way))
     rows = mine.join(events.select("event_id", "data"), "event_id")
@@ -150,8 +143,14 @@ def decide(
             + ([dst.modified_col] if dst.modified_col in target.table.columns else [])
         )
     )
-    found = find_targets(mapped, target.table, spec, way, dst.id_col, payload, salt="_event_id")
-    found = stage(found, f"matched-{way}")
+    return find_targets(mapped, target.table, spec, way, dst.id_col, payload, salt="_event_id")
+
+
+def decide(
+    found: DataFrame, spec: MappingSpec, way: str, *, slice_us: int = 3_600_000_000
+) -> DataFrame:
+    """Adds operation, status and reason to the matched rows of one route."""
+    src, dst = (profile_of(s) for s in sides(way))
     is_delete = F.col("_operation") == "delete"
     known = F.when(is_delete, F.col("found_id")).otherwise(F.col("target_id")).isNotNull()
     found = resolve_operation(
@@ -233,31 +232,40 @@ def sync_batch(
     passed = passed.where("reason is null")
     result = SyncResult(skipped)
     parts = [skipped]
-    for spec in usable:
-        for way in (A2B, B2A):
-            if not spec.allows(way):
-                continue
-            a, b = a_sides[spec.a_type], b_sides[spec.b_table]
-            source, target = (a, b) if way == A2B else (b, a)
-            rows = decide(events, passed, spec, way, source, target)
-            result.writes[spec.name, way] = rows
-            parts.append(
-                rows.select(
-                    F.col("_event_id").alias("event_id"),
-                    F.lit(sides(way)[0]).alias("source"),
-                    F.lit(spec.a_type if way == A2B else spec.b_table).alias("entity"),
-                    F.col("_record_id").alias("record_id"),
-                    F.lit(way).alias("direction"),
-                    F.col("resolved").alias("operation"),
-                    "status",
-                    "reason",
-                    F.when(
-                        (F.col("resolved") != "delete") | F.col("was_there"), F.col("_key")
-                    ).alias("target_id"),
-                    "conflict_fields",
-                )
+    ends = {
+        (s.name, way): (a_sides[s.a_type], b_sides[s.b_table])[:: 1 if way == A2B else -1]
+        for s in usable
+        for way in (A2B, B2A)
+        if s.allows(way)
+    }
+    by_name = {s.name: s for s in usable}
+    found = stage_all(
+        {
+            f"matched-{way}-{n}": matched_rows(events, passed, by_name[n], way, *ends[n, way])
+            for n, way in ends
+        }
+    )
+    for name, way in ends:
+        spec, (source, target) = by_name[name], ends[name, way]
+        rows = decide(found[f"matched-{way}-{name}"], spec, way)
+        result.writes[spec.name, way] = rows
+        parts.append(
+            rows.select(
+                F.col("_event_id").alias("event_id"),
+                F.lit(sides(way)[0]).alias("source"),
+                F.lit(spec.a_type if way == A2B else spec.b_table).alias("entity"),
+                F.col("_record_id").alias("record_id"),
+                F.lit(way).alias("direction"),
+                F.col("resolved").alias("operation"),
+                "status",
+                "reason",
+                F.when(
+                    (F.col("resolved") != "delete") | F.col("was_there"), F.col("_key")
+                ).alias("target_id"),
+                "conflict_fields",
             )
-            if merge:
-                result.tables[spec.name, way] = merged(rows, spec, way, target.table)
+        )
+        if merge:
+            result.tables[spec.name, way] = merged(rows, spec, way, target.table)
     result.ledger = reduce(DataFrame.unionByName, [p.select(*_LEDGER) for p in parts])
     return result

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stages independent results side by side, so small ones do not wait for large ones."""
+    with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
+        done = {name: pool.submit(stage, df, name) for name, df in frames.items()}
+        return {name: job.result() for name, job in done.items()}
