@@ -196,3 +196,292 @@ FROM outcomes""")
 def sync_batch(t: Tables):
     ledger = _batch(t).ledger
     return ledger.withColumn("conflict_fields", F.array_join("conflict_fields", ","))
+
+
+
+@query("resolve_operation", """
+WITH dim AS (SELECT task_name, min(id) AS id FROM b_task GROUP BY task_name),
+m AS (SELECT r.*, epoch_us(ts) AS us, d.id AS target_id FROM event_records r LEFT JOIN dim d ON d.task_name = r.subject),
+o AS (SELECT *, CASE WHEN subject IS NULL THEN false ELSE coalesce(lag(operation) OVER (PARTITION BY subject ORDER BY us, event_id) <> 'delete',
+                                                                   target_id IS NOT NULL) END AS there FROM m)
+SELECT event_id, target_id, CASE WHEN operation = 'delete' THEN 'delete' WHEN there THEN 'update' ELSE 'create' END AS resolved
+FROM o""")
+def resolve_operation(t: Tables):
+    rows = t("event_records").select("event_id", micros().alias("us"), "operation", "subject")
+    found = match.first_by(t("b_task"), F.col("task_name"), "id")
+    rows = rows.join(found, rows["subject"] == found["_match"], "left").select(
+        "event_id", "us", "operation", F.col("subject").alias("match_value"),
+        F.col("_target_id").alias("target_id"),
+    )
+    return match.resolve_operation(rows).select("event_id", "target_id", "resolved")
+
+
+@query("match_task", f"""
+WITH dim AS (SELECT *, row_number() OVER (PARTITION BY task_name ORDER BY id) AS pick FROM b_task)
+SELECT a.name, CASE WHEN a.description IS NULL OR contains(d.page_content, {_SNIP.format('a.description')}) THEN d.id END AS target_id,
+       d.id AS found_id
+FROM a_task a LEFT JOIN dim d ON d.task_name = a.subject AND d.pick = 1""")
+def match_task(t: Tables):
+    mapped = m.map_records(t("a_task"), presets.TASK, A2B, keep=("name",))
+    found = match.find_targets(mapped, t("b_task"), presets.TASK, A2B, "id", salt="_name")
+    return found.select(F.col("_name").alias("name"), "target_id", "found_id")
+
+
+_PAIRS = """
+SELECT a.name, a.subject, a.status, a.act_start_date, a.modified, b.id, b.task_name, b.status AS t_status,
+       b.start_date AS t_start_date, b.updated_at,
+       CASE WHEN length(a.name) % 2 = 0 THEN NULL ELSE a.description END AS description, b.page_content AS t_page_content
+FROM a_task a JOIN b_task b ON b.task_name = a.subject"""
+
+
+@query("conflict_fields", f"""
+SELECT name, concat_ws(',', CASE WHEN status <> t_status THEN 'status' END,
+                            CASE WHEN act_start_date <> t_start_date THEN 'start' END,
+                            CASE WHEN description <> t_page_content THEN 'text' END) AS fields FROM ({_PAIRS}) p""")
+def conflict_fields(t: Tables):
+    pairs = t.sql(_PAIRS)
+    fields = cf.conflict_fields(
+        {
+            "status": (F.col("status"), F.col("t_status")),
+            "start": (F.col("act_start_date"), F.col("t_start_date")),
+            "text": (F.col("description"), F.col("t_page_content")),
+        }
+    )
+    return pairs.select("name", F.array_join(fields, ",").alias("fields"))
+
+
+@query("detect_conflicts", """
+WITH dim AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS pick FROM b_person),
+a AS (SELECT *, coalesce(nullif(personal_email, ''), nullif(prefered_email, '')) AS addr FROM a_person)
+SELECT a.name, d.id AS target_id, 'last_modified_wins' AS strategy,
+       concat_ws(',', CASE WHEN a.cell_number <> d.phone_number THEN 'cell_number' END,
+                      CASE WHEN (a.status = 'Active') <> d._legacy_is_active THEN 'status' END,
+                      CASE WHEN a.company <> d.organization_id THEN 'company' END) AS fields
+FROM a JOIN dim d ON d.email = a.addr AND d.pick = 1
+WHERE a.cell_number <> d.phone_number OR (a.status = 'Active') <> d._legacy_is_active OR a.company <> d.organization_id""")
+def detect_conflicts(t: Tables):
+    mapped = m.map_records(t("a_person"), presets.PERSON, A2B, keep=("name",))
+    target = t("b_person")
+    payload = tuple(c for c in target.columns if c in mapped.columns)
+    found = match.find_targets(mapped, target, presets.PERSON, A2B, "id", payload, salt="_name")
+    found = found.withColumn("operation", F.lit("update"))
+    out = cf.detect_conflicts(found, presets.PERSON, A2B).where(F.size("conflict_fields") > 0)
+    return out.select(
+        F.col("_name").alias("name"), "target_id", "strategy",
+        F.array_join("conflict_fields", ",").alias("fields"),
+    )
+
+
+_STAMP_PAIRS = """
+SELECT a.name, b.id, CASE WHEN a.is_milestone = 1 AND a.status = 'O' THEN NULL ELSE a.modified END AS a_stamp,
+       CASE WHEN b.task_name LIKE '%7' THEN NULL ELSE b.updated_at END AS b_stamp, a.status AS a_status, b.status AS b_status
+FROM a_task a FULL OUTER JOIN b_task b ON b.task_name = a.subject"""
+_A_NEWER = "cast(a_stamp AS timestamp) > cast(replace(replace(b_stamp, 'T', ' '), 'Z', '') AS timestamp)"
+
+
+@query("resolve_last_modified", f"""
+SELECT coalesce(name, id) AS rid,
+       CASE WHEN id IS NULL THEN 'a' WHEN name IS NULL THEN 'b'
+            WHEN a_stamp IS NOT NULL AND b_stamp IS NOT NULL THEN CASE WHEN {_A_NEWER} THEN 'a' ELSE 'b' END
+            WHEN a_stamp IS NOT NULL THEN 'a' ELSE 'b' END AS winner
+FROM ({_STAMP_PAIRS}) p""")
+def resolve_last_modified(t: Tables):
+    side = cf.last_modified(
+        F.col("name").isNotNull(), F.col("id").isNotNull(), F.col("a_stamp"), F.col("b_stamp")
+    )
+    return t.sql(_STAMP_PAIRS).select(F.coalesce("name", "id").alias("rid"), side.alias("winner"))
+
+
+@query("resolve_strategies", f"""
+SELECT name, strategy, CASE strategy WHEN 'manual' THEN 'conflict' WHEN 'a_wins' THEN 'success' WHEN 'b_wins' THEN 'skipped'
+                            ELSE CASE WHEN newer = 'a' THEN 'success' ELSE 'skipped' END END AS status,
+       CASE strategy WHEN 'manual' THEN 'manual_resolution' WHEN 'b_wins' THEN 'target_wins' WHEN 'a_wins' THEN NULL
+                     ELSE CASE WHEN newer = 'b' THEN 'target_wins' END END AS reason
+FROM (SELECT name, split_part('last_modified_wins,a_wins,b_wins,manual', ',', cast(1 + length(b_status) % 4 + length(name) % 2 AS int)) AS strategy,
+             CASE WHEN a_stamp IS NOT NULL AND b_stamp IS NOT NULL THEN CASE WHEN {_A_NEWER} THEN 'a' ELSE 'b' END
+                  WHEN a_stamp IS NOT NULL THEN 'a' ELSE 'b' END AS newer
+      FROM ({_STAMP_PAIRS}) p WHERE name IS NOT NULL AND id IS NOT NULL) q""")
+def resolve_strategies(t: Tables):
+    pairs = t.sql(_STAMP_PAIRS).where("name IS NOT NULL AND id IS NOT NULL")
+    strategy = F.expr(
+        "split_part('last_modified_wins,a_wins,b_wins,manual', ',', cast(1 + length(b_status) % 4 + length(name) % 2 AS int))"
+    )
+    pairs = pairs.withColumn("strategy", strategy).withColumn(
+        "newer", cf.newer_side(F.col("a_stamp"), F.col("b_stamp"))
+    )
+    status, reason = cf.conflict_status(F.col("strategy"), F.col("newer"), F.lit("a"))
+    return pairs.select("name", "strategy", status.alias("status"), reason.alias("reason"))
+
+
+@query("resolve_pairs", f"""
+SELECT rid, CASE WHEN ok THEN side END AS winner, CASE WHEN NOT ok THEN 'no_mapping' END AS error,
+       CASE WHEN ok THEN CASE WHEN side = 'a' THEN a_status ELSE b_status END END AS status
+FROM (SELECT coalesce(name, id) AS rid, a_status, b_status, coalesce(a_status, b_status) <> 'P' AS ok,
+             CASE WHEN coalesce({_A_NEWER}, a_stamp IS NOT NULL AND b_stamp IS NULL) THEN 'a' ELSE 'b' END AS side
+      FROM ({_STAMP_PAIRS}) p) q""")
+def resolve_pairs(t: Tables):
+    pairs = t.sql(_STAMP_PAIRS).withColumn("rid", F.coalesce("name", "id"))
+    configured = F.coalesce("a_status", "b_status") != "P"
+    out = cf.resolve_pairs(
+        pairs, "a_stamp", "b_stamp", configured, [("status", "a_status", "b_status")]
+    )
+    return out.select("rid", "winner", "error", "status")
+
+
+@query("reconcile", """
+WITH a AS (SELECT coalesce(nullif(personal_email, ''), nullif(prefered_email, '')) AS identity, min(name) AS a_id FROM a_person GROUP BY 1),
+b AS (SELECT nullif(email, '') AS identity, min(id) AS b_id FROM b_person GROUP BY 1)
+SELECT coalesce(a.identity, b.identity) AS identity, a_id, b_id,
+       CASE WHEN b_id IS NULL THEN 'only_a' WHEN a_id IS NULL THEN 'only_b' ELSE 'matched' END AS state
+FROM (SELECT * FROM a WHERE identity IS NOT NULL) a FULL OUTER JOIN (SELECT * FROM b WHERE identity IS NOT NULL) b ON a.identity = b.identity""")
+def reconcile(t: Tables):
+    from tablesync.functions.text import first_non_empty, non_empty
+
+    return match.reconcile(
+        t("a_person"),
+        first_non_empty(F.col("personal_email"), F.col("prefered_email")),
+        "name",
+        t("b_person"),
+        non_empty(F.col("email")),
+        "id",
+    )
+
+
+# --- merges -------------------------------------------------------------------------
+
+# Changes to customers: the record fields change from event to event; some are absent.
+_CHANGES = """
+SELECT event_id, ts, user_id AS c_custkey,
+       CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS operation,
+       concat('name ', cast(event_id AS string)) AS c_name,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS c_mktsegment,
+       value AS c_acctbal, event_id % 3 = 0 AS has_name, event_id % 4 <> 0 AS has_segment
+FROM events"""
+
+_NET_CTES = f"""
+ch AS (SELECT *, epoch_us(ts) AS us FROM ({_CHANGES}) c),
+k AS (SELECT c_custkey, arg_max(operation, (us, event_id)) AS operation, count(*) AS n_changes,
+             max((us, event_id)) FILTER (WHERE operation = 'delete') AS gone FROM ch GROUP BY c_custkey),
+live AS (SELECT ch.* FROM ch JOIN k ON k.c_custkey = ch.c_custkey AND k.operation <> 'delete'
+         WHERE ch.operation <> 'delete' AND (k.gone IS NULL OR (ch.us, ch.event_id) > k.gone)),
+nm AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY us DESC, event_id DESC) AS r FROM live WHERE has_name),
+sg AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY us DESC, event_id DESC) AS r FROM live WHERE has_segment),
+bl AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY us DESC, event_id DESC) AS r FROM live),
+net AS (SELECT k.c_custkey, k.operation, k.n_changes, k.gone IS NOT NULL AS reset, nm.c_name, sg.c_mktsegment, bl.c_acctbal,
+               nm.c_custkey IS NOT NULL AS w_name, sg.c_custkey IS NOT NULL AS w_segment, bl.c_custkey IS NOT NULL AS w_bal
+        FROM k LEFT JOIN nm ON nm.c_custkey = k.c_custkey AND nm.r = 1 LEFT JOIN sg ON sg.c_custkey = k.c_custkey AND sg.r = 1
+        LEFT JOIN bl ON bl.c_custkey = k.c_custkey AND bl.r = 1)"""
+
+
+def _net(t: Tables):
+    changes = t.sql(_CHANGES).withColumn("us", micros())
+    mask = F.array_compact(
+        F.array(
+            F.when(F.col("has_name"), F.lit("c_name")),
+            F.when(F.col("has_segment"), F.lit("c_mktsegment")),
+            F.lit("c_acctbal"),
+        )
+    )
+    changes = changes.withColumn(m.PRESENT, mask).drop("ts", "has_name", "has_segment")
+    return ap.net_changes(changes, "c_custkey")
+
+
+@query("net_changes", f"""
+WITH {_NET_CTES}
+SELECT c_custkey, operation, n_changes, reset AS _reset, c_name, c_mktsegment, c_acctbal,
+       concat_ws(',', CASE WHEN w_name THEN 'c_name' END, CASE WHEN w_segment THEN 'c_mktsegment' END,
+                      CASE WHEN w_bal THEN 'c_acctbal' END) AS _present FROM net""")
+def net_changes(t: Tables):
+    return _net(t).withColumn(m.PRESENT, F.array_join(m.PRESENT, ","))
+
+
+_APPLY_SQL = f"""
+WITH {_NET_CTES}
+SELECT coalesce(c.c_custkey, n.c_custkey) AS c_custkey,
+       CASE WHEN n.w_name THEN n.c_name WHEN n.reset THEN NULL ELSE c.c_name END AS c_name,
+       CASE WHEN n.reset THEN NULL ELSE c.c_nationkey END AS c_nationkey,
+       CASE WHEN n.w_bal THEN n.c_acctbal WHEN n.reset THEN NULL ELSE c.c_acctbal END AS c_acctbal,
+       CASE WHEN n.w_segment THEN n.c_mktsegment WHEN n.reset THEN NULL ELSE c.c_mktsegment END AS c_mktsegment
+FROM customer c FULL OUTER JOIN net n ON n.c_custkey = c.c_custkey
+WHERE n.operation IS NULL OR n.operation <> 'delete'"""
+
+
+@query("apply_changes", _APPLY_SQL)
+def apply_changes(t: Tables):
+    """Insert, update and delete of many changes per key as one merge."""
+    return ap.apply_changes(t("customer"), _net(t), "c_custkey")
+
+
+def _merge_sql(route: str, target: str, key: str, columns: list[tuple[str, str]], source: str) -> str:
+    """The target after one route's successful writes, in SQL: rank the writes per column."""
+    ctes = ",\n".join(
+        f"col_{c} AS (SELECT target_id, v_{c} AS v, row_number() OVER (PARTITION BY target_id ORDER BY us DESC, event_id DESC) AS r"
+        f" FROM mlive WHERE p_{c})" for c, _ in columns)
+    joins = "\n".join(f"LEFT JOIN col_{c} ON col_{c}.target_id = n.target_id AND col_{c}.r = 1" for c, _ in columns)
+    return BATCH_SQL.rstrip() + f""",
+w AS (
+  SELECT x.target_id, x.operation, r.us, x.event_id, {source}
+  FROM {route} x JOIN r ON r.event_id = x.event_id
+  WHERE x.status = 'success' AND x.target_id IS NOT NULL AND (x.reason IS NULL OR x.reason NOT IN ('record_not_found', 'no_email_for_lookup', 'no_task_name_for_lookup'))),
+mk AS (SELECT target_id, arg_max(operation, (us, event_id)) AS op, max((us, event_id)) FILTER (WHERE operation = 'delete') AS gone
+       FROM w GROUP BY target_id),
+mlive AS (SELECT w.* FROM w JOIN mk ON mk.target_id = w.target_id AND mk.op <> 'delete'
+          WHERE w.operation <> 'delete' AND (mk.gone IS NULL OR (w.us, w.event_id) > mk.gone)),
+{ctes},
+net AS (SELECT n.target_id, n.op, n.gone IS NOT NULL AS reset, {', '.join(f'col_{c}.v AS v_{c}, col_{c}.target_id IS NOT NULL AS p_{c}' for c, _ in columns)}
+        FROM mk n {joins})
+SELECT coalesce(t.{key}, n.target_id) AS {key}, {', '.join(
+        f"CASE WHEN n.p_{c} THEN n.v_{c} WHEN n.reset THEN NULL ELSE t.{c} END AS {c}" for c, _ in columns)}
+       {{rest}}
+FROM {target} t FULL OUTER JOIN net n ON n.target_id = t.{key}
+WHERE n.op IS NULL OR n.op <> 'delete'"""
+
+
+_B_COLUMNS = [("name", ""), ("email", ""), ("phone_number", ""), ("_legacy_is_active", ""), ("organization_id", "")]
+_B_SOURCE = """
+         nullif(trim(concat(coalesce(r.first_name, ''), ' ', coalesce(r.last_name, ''))), '') AS v_name, true AS p_name,
+         coalesce(nullif(r.personal_email, ''), nullif(r.prefered_email, '')) AS v_email,
+         coalesce(nullif(r.personal_email, ''), nullif(r.prefered_email, '')) IS NOT NULL AS p_email,
+         r.cell_number AS v_phone_number, true AS p_phone_number, coalesce(r.ap_status = 'Active', false) AS v__legacy_is_active,
+         true AS p__legacy_is_active, r.company AS v_organization_id, true AS p_organization_id"""
+
+
+@query("apply_changes_b", _merge_sql("pa", "b_person", "id", _B_COLUMNS, _B_SOURCE).replace(
+    "{rest}", ", CASE WHEN n.reset THEN NULL ELSE t.updated_at END AS updated_at"))
+def apply_changes_b(t: Tables):
+    """Side b's people after the batch: side a's events mapped, matched and merged."""
+    return _batch(t, merge=True, specs=[presets.PERSON]).tables["users_Employee", A2B]
+
+
+_A_COLUMNS = [("subject", ""), ("status", ""), ("act_start_date", ""), ("is_milestone", ""), ("modified", ""), ("description", "")]
+_A_SOURCE = """
+         coalesce(r.task_name, '') AS v_subject, true AS p_subject, coalesce(r.bt_status, '') AS v_status, true AS p_status,
+         coalesce(split_part(r.start_date, 'T', 1), '') AS v_act_start_date, true AS p_act_start_date,
+         cast(r.needs_submission AS int) AS v_is_milestone, true AS p_is_milestone, r.stamp AS v_modified, true AS p_modified,
+         coalesce(r.page_content, '') AS v_description, true AS p_description"""
+
+
+@query("apply_changes_a", _merge_sql("tb", "a_task", "name", _A_COLUMNS, _A_SOURCE).replace(
+    "{rest}", ", CASE WHEN n.reset THEN NULL ELSE t.exp_start_date END AS exp_start_date,"
+              " CASE WHEN n.reset THEN NULL ELSE t.organization_id END AS organization_id"))
+def apply_changes_a(t: Tables):
+    """Side a's tasks after the batch: side b's events mapped, matched and merged."""
+    return _batch(t, merge=True, specs=[presets.TASK]).tables["tasks_Task", B2A]
+
+
+@query("delete_outcomes", """
+WITH dim AS (SELECT email, min(id) AS id FROM b_person GROUP BY email)
+SELECT r.event_id, d.id IS NOT NULL AS deleted,
+       CASE WHEN nullif(r.personal_email, '') IS NULL THEN 'no_email_for_lookup' WHEN d.id IS NULL THEN 'record_not_found' END AS reason
+FROM event_records r LEFT JOIN dim d ON d.email = nullif(r.personal_email, '') WHERE r.operation = 'delete'""")
+def delete_outcomes(t: Tables):
+    from tablesync.functions.text import non_empty
+
+    deletes = t("event_records").where("operation = 'delete'").select(
+        "event_id", non_empty(F.col("personal_email")).alias("email")
+    )
+    found = match.first_by(t("b_person"), F.col("email"), "id")
+    salted = F.coalesce(F.col("email"), F.concat(F.lit("\u0000"), F.col("event_id").cast("string")))
+    rows = deletes.join(found, salted == F.col("_match"), "left")
+    done, reason = ap.delete_outcome(F.col("email"), F.col("_target_id"), "no_email_for_lookup")
+    return rows.select("event_id", done.alias("deleted"), reason.alias("reason"))

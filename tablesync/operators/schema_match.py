@@ -39,7 +39,6 @@ def _best(scores: list[float], threshold: float) -> int | None:
     return top if top is not None and scores[top] > threshold else None
 
 
-@F.pandas_udf("struct<table string, score double>")
 def _best_table(names: pd.Series, options: pd.Series) -> pd.DataFrame:
     rows = []
     for name, candidates in zip(names, options):
@@ -49,7 +48,6 @@ def _best_table(names: pd.Series, options: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["table", "score"])
 
 
-@F.pandas_udf("struct<fieldname string, score double>")
 def _best_field(
     names: pd.Series, labels: pd.Series, b_names: pd.Series, b_labels: pd.Series, types: pd.Series
 ) -> pd.DataFrame:
@@ -73,7 +71,9 @@ def match_tables(catalog_a: DataFrame, catalog_b: DataFrame) -> DataFrame:
     )
     best = catalog_a.select("table").distinct().select(
         F.col("table").alias("a_table"),
-        _best_table("table", names_b.scalar()).alias("m"),
+        F.pandas_udf(_best_table, "struct<table string, score double>")(
+            "table", names_b.scalar()
+        ).alias("m"),
     )
     return best.where("m.table is not null").select(
         "a_table", F.col("m.table").alias("b_table"), F.round("m.score", 6).alias("score")
@@ -94,7 +94,7 @@ def match_fields(catalog_a: DataFrame, catalog_b: DataFrame, tables: DataFrame)
     pairs = tables.select("a_table", "b_table").join(packed, "b_table")
     rows = catalog_a.withColumnRenamed("table", "a_table").join(pairs, "a_table")
     kinds = F.transform("fs", lambda f: type_score(F.col("fieldtype"), f["fieldtype"]))
-    best = _best_field(
+    best = F.pandas_udf(_best_field, "struct<fieldname string, score double>")(
         "fieldname",
         F.coalesce("label", F.lit("")),
         F.transform("fs", lambda f: f["fieldname"]),

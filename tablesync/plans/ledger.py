@@ -13,14 +13,13 @@ def plan_retries(ledger: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame
     """Failed operations below the limit go back to pending, the rest are dead letters."""
     failed = F.col("status") == "failed"
     again = failed & (F.col("retry_count") < max_retries)
-    return (
-        ledger.withColumn("requeued", again)
-        .withColumn("dead_letter", failed & ~again)
-        .withColumn("status", F.when(again, "pending").otherwise(F.col("status")))
-        .withColumn(
-            "retry_count",
-            F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")),
-        )
+    return ledger.withColumns(
+        {
+            "requeued": again,
+            "dead_letter": failed & ~again,
+            "status": F.when(again, "pending").otherwise(F.col("status")),
+            "retry_count": F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")),
+        }
     )
 
 
@@ -36,13 +35,14 @@ def transition(ledger: DataFrame, results: DataFrame, key: str = "op_id") -> Dat
     hit = F.col("_key").isNotNull() & (F.col("status") == "processing")
     joined = ledger.join(r, ledger[key] == r["_key"], "left")
     failed = hit & ~F.col("ok")
-    return (
-        joined.where(~(hit & F.col("ok")))
-        .withColumn("error", F.when(failed, F.col("_error")).otherwise(F.col("error")))
-        .withColumn("failed_at", F.when(failed, F.col("_at")))
-        .withColumn("status", F.when(failed, "failed").otherwise(F.col("status")))
-        .drop("_key", "ok", "_error", "_at")
+    left = joined.where(~(hit & F.col("ok"))).withColumns(
+        {
+            "error": F.when(failed, F.col("_error")).otherwise(F.col("error")),
+            "failed_at": F.when(failed, F.col("_at")),
+            "status": F.when(failed, "failed").otherwise(F.col("status")),
+        }
     )
+    return left.drop("_key", "ok", "_error", "_at")
 
 
 def queue_status(ledger: DataFrame) -> DataFrame:

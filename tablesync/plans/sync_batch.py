@@ -176,8 +176,8 @@ def decide(
     new_key = surrogate_key(spec.a_type, F.coalesce("match_value", "_record_id"))
     key = F.coalesce(F.when(is_delete, F.col("found_id")).otherwise(F.col("target_id")), new_key)
     return (
-        checked.withColumn("status", F.when(clash, status).otherwise("success"))
-        .withColumn("reason", reason)
+        checked.withColumn("_status", F.when(clash, status).otherwise("success"))
+        .withColumn("_reason", reason)
         .withColumn("_key", key)
     )
 
@@ -187,7 +187,8 @@ def merged(decided: DataFrame, spec: MappingSpec, way: str, target: DataFrame) -
     id_col = profile_of(sides(way)[1]).id_col
     columns = [c for c in spec_columns(decided, spec, way) if c in target.columns and c != id_col]
     changes = decided.where(
-        (F.col("status") == "success") & F.coalesce(F.col("reason") != "record_not_found", F.lit(True))
+        (F.col("_status") == "success")
+        & F.coalesce(F.col("_reason") != "record_not_found", F.lit(True))
         & ~((F.col("resolved") == "delete") & F.col("match_value").isNull())
     ).select(
         F.col("_key").alias(id_col),
@@ -257,8 +258,8 @@ def sync_batch(
                 F.col("_record_id").alias("record_id"),
                 F.lit(way).alias("direction"),
                 F.col("resolved").alias("operation"),
-                "status",
-                "reason",
+                F.col("_status").alias("status"),
+                F.col("_reason").alias("reason"),
                 F.when(
                     (F.col("resolved") != "delete") | F.col("was_there"), F.col("_key")
                 ).alias("target_id"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Only runtime-settable options; cluster sizing stays with whoever submits the job.
@@ -18,6 +20,9 @@ _RUNTIME = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Sets the options and ships this package's task functions along with their jobs, so
+    that executors need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules["tablesync"])
     for key, value in _RUNTIME.items():
         spark.conf.set(key, value)
     return spark
