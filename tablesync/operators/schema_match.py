@@ -8,6 +8,7 @@ catalog, or the fields of one table), so no pair rows are ever produced.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,20 +49,23 @@ def _best_table(names: pd.Series, options: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["table", "score"])
 
 
-def _best_field(
-    names: pd.Series, labels: pd.Series, b_names: pd.Series, b_labels: pd.Series, types: pd.Series
-) -> pd.DataFrame:
-    rows = []
-    for name, label, fields, titles, kinds in zip(names, labels, b_names, b_labels, types):
-        scores = [
-            NAME_WEIGHT * _ratio(name.lower(), f.lower())
-            + TYPE_WEIGHT * t
-            + LABEL_WEIGHT * _ratio(label.lower(), title.lower())
-            for f, title, t in zip(fields, titles, kinds)
-        ]
-        at = _best(scores, FIELD_THRESHOLD)
-        rows.append((None, None) if at is None else (fields[at], scores[at]))
-    return pd.DataFrame(rows, columns=["fieldname", "score"])
+def _best_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per row of side a: the best of the packed fields of side b, and its score."""
+    for batch in batches:
+        best = []
+        for row in batch.itertuples():
+            scores = [
+                NAME_WEIGHT * _ratio(row.a_field.lower(), f.lower())
+                + TYPE_WEIGHT * kind
+                + LABEL_WEIGHT * _ratio(row.label.lower(), title.lower())
+                for f, title, kind in zip(row.b_fields, row.b_labels, row.kinds)
+            ]
+            at = _best(scores, FIELD_THRESHOLD)
+            best.append((None, None) if at is None else (row.b_fields[at], scores[at]))
+        out = batch[["a_table", "b_table", "ordinal", "a_field"]].copy()
+        out["b_field"] = [field for field, _ in best]
+        out["score"] = [score for _, score in best]
+        yield out
 
 
 def match_tables(catalog_a: DataFrame, catalog_b: DataFrame) -> DataFrame:
@@ -94,21 +98,21 @@ def match_fields(catalog_a: DataFrame, catalog_b: DataFrame, tables: DataFrame)
     pairs = tables.select("a_table", "b_table").join(packed, "b_table")
     rows = catalog_a.withColumnRenamed("table", "a_table").join(pairs, "a_table")
     kinds = F.transform("fs", lambda f: type_score(F.col("fieldtype"), f["fieldtype"]))
-    best = F.pandas_udf(_best_field, "struct<fieldname string, score double>")(
-        "fieldname",
-        F.coalesce("label", F.lit("")),
-        F.transform("fs", lambda f: f["fieldname"]),
-        F.transform("fs", lambda f: f["label"]),
-        kinds,
-    )
-    return rows.withColumn("m", best).select(
+    packed_rows = rows.select(
         "a_table",
         "b_table",
         "ordinal",
         F.col("fieldname").alias("a_field"),
-        F.col("m.fieldname").alias("b_field"),
-        F.round("m.score", 6).alias("score"),
+        F.coalesce("label", F.lit("")).alias("label"),
+        F.transform("fs", lambda f: f["fieldname"]).alias("b_fields"),
+        F.transform("fs", lambda f: f["label"]).alias("b_labels"),
+        kinds.alias("kinds"),
+    )
+    best = packed_rows.mapInPandas(
+        _best_fields,
+        "a_table string, b_table string, ordinal int, a_field string, b_field string, score double",
     )
+    return best.withColumn("score", F.round("score", 6))
 
 
 def propose_mappings(fields: DataFrame) -> DataFrame:
