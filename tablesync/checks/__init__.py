@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("scan", "identity", "mapping", "transforms", "sync", "ledger", "catalogs")
+_MODULES = ("scan", "identity", "mapping", "transforms", "sync", "ledger", "catalogs", "streams")
 
 
 def load() -> None:

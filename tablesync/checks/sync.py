@@ -114,12 +114,12 @@ def _route_sql(name, source, kind, entity, way, mapped_key, stamp, target, t_key
 {name} AS (
   SELECT o.event_id, '{source}' AS source, '{entity}' AS entity, o.record_id_, '{way}' AS direction,
          CASE WHEN o.operation = 'delete' THEN 'delete' WHEN there THEN 'update' ELSE 'create' END AS operation,
-         CASE WHEN o.operation <> 'delete' AND o.tid IS NOT NULL AND ({clash}) > 0 AND NOT ({incoming_newer}) THEN 'skipped' ELSE 'success' END AS status,
+         CASE WHEN o.operation <> 'delete' AND there AND o.tid IS NOT NULL AND ({clash}) > 0 AND NOT ({incoming_newer}) THEN 'skipped' ELSE 'success' END AS status,
          CASE WHEN o.operation = 'delete' THEN CASE WHEN mv IS NULL THEN '{missing}' WHEN NOT there THEN 'record_not_found' END
-              WHEN o.tid IS NOT NULL AND ({clash}) > 0 AND NOT ({incoming_newer}) THEN 'target_wins' END AS reason,
+              WHEN there AND o.tid IS NOT NULL AND ({clash}) > 0 AND NOT ({incoming_newer}) THEN 'target_wins' END AS reason,
          CASE WHEN o.operation = 'delete' AND NOT there THEN NULL
               ELSE coalesce(CASE WHEN o.operation = 'delete' THEN any_id ELSE tid END, {key_sql.format("coalesce(mv, record_id_)")}) END AS target_id,
-         CASE WHEN o.operation <> 'delete' AND o.tid IS NOT NULL THEN {fields} ELSE '' END AS conflict_fields
+         CASE WHEN o.operation <> 'delete' AND there AND o.tid IS NOT NULL THEN {fields} ELSE '' END AS conflict_fields
   FROM (SELECT *, cast(user_id AS string) AS record_id_ FROM {name}_o) o
   LEFT JOIN {target} tt ON tt.{t_id} = o.tid)"""
 

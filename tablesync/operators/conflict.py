@@ -41,6 +41,7 @@ def detect_conflicts(
     *,
     target_prefix: str = "t_",
     operation: str = "operation",
+    writing: Sequence[str] = ("create", "update"),
     compat_same_name: bool = False,
 ) -> DataFrame:
     """Adds `conflict_fields` (empty: none) and `strategy` to matched incoming rows."""
@@ -51,7 +52,7 @@ def detect_conflicts(
         for name, column in compared_fields(spec, direction, compat_same_name=compat_same_name)
         if column in matched.columns and f"{target_prefix}{column}" in matched.columns
     }
-    writes = F.col("target_id").isNotNull() & F.col(operation).isin("create", "update")
+    writes = F.col("target_id").isNotNull() & F.col(operation).isin(*writing)
     return matched.withColumn(
         "conflict_fields",
         F.when(writes, conflict_fields(pairs)).otherwise(F.array().cast("array<string>")),

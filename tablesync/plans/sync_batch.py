@@ -161,7 +161,8 @@ def decide(
         operation="_operation",
         slice_us=slice_us,
     )
-    checked = cf.detect_conflicts(found, spec, way, operation="resolved")
+    # a "create" here means that the batch has deleted the old target: nothing to clash with
+    checked = cf.detect_conflicts(found, spec, way, operation="resolved", writing=("update",))
     theirs = f"t_{dst.modified_col}"
     target_stamp = (F.col(theirs) if theirs in checked.columns else F.lit(None)).cast("string")
     a_stamp, b_stamp = (F.col("_stamp"), target_stamp) if way == A2B else (target_stamp, F.col("_stamp"))

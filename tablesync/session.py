@@ -10,6 +10,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Only runtime-settable options; cluster sizing stays with whoever submits the job.
 _RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,3 +57,19 @@ def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
         done = {name: pool.submit(stage, df, name) for name, df in frames.items()}
         return {name: job.result() for name, job in done.items()}
+
+
+def run_to_end(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all the input there is and returns what it wrote."""
+    spark = stream.sparkSession
+    root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
