@@ -88,15 +88,14 @@ def with_identity(events: DataFrame, data: str, entity: str) -> DataFrame:
     return parsed.withColumn("identity", identity).drop("_record")
 
 
-def gated(events: DataFrame, specs: Sequence[MappingSpec], window_ms: int) -> DataFrame:
-    """Narrow rows: event_id, route, direction and the reason to skip it, if any."""
+def admitted(events: DataFrame, specs: Sequence[MappingSpec], *extra: str) -> DataFrame:
+    """Narrow rows: event_id, route, direction, identity and why a route refuses it."""
     routed = route(events, routes(events.sparkSession, specs)).withColumn(
         "kind", F.coalesce("a_type", "entity")
     )
     way = direction(F.col("source"), F.col("a_type"), F.col("b_table"), F.col("original_source"))
-    slim = with_identity(routed, "data", "kind").select(
+    return with_identity(routed, "data", "kind").select(
         "event_id",
-        "us",
         "source",
         "entity",
         "kind",
@@ -110,10 +109,12 @@ def gated(events: DataFrame, specs: Sequence[MappingSpec], window_ms: int) -> Da
             F.when(way.isNull(), "direction_not_allowed"),
         ).alias("refused"),
         "identity",
+        *extra,
     )
-    outcome = gate_outcome(
-        slim, entity="kind", may_succeed=F.col("refused").isNull(), window_ms=window_ms
-    )
+
+
+def with_reason(outcome: DataFrame) -> DataFrame:
+    """Why each event is skipped: the gate speaks before the route."""
     said = F.when(F.col("gate") == "duplicate", REASONS["duplicate"]).when(
         F.col("gate") == "echo", REASONS["echo"]
     )
@@ -123,6 +124,14 @@ def gated(events: DataFrame, specs: Sequence[MappingSpec], window_ms: int) -> Da
     )
 
 
+def gated(events: DataFrame, specs: Sequence[MappingSpec], window_ms: int) -> DataFrame:
+    slim = admitted(events, specs, "us")
+    outcome = gate_outcome(
+        slim, entity="kind", may_succeed=F.col("refused").isNull(), window_ms=window_ms
+    )
+    return with_reason(outcome)
+
+
 def matched_rows(
     events: DataFrame, passed: DataFrame, spec: MappingSpec, way: str, source: Side, target: Side
 ) -> DataFrame:
@@ -223,15 +232,32 @@ def sync_batch(
     `a_sides` by a_type and `b_sides` by b_table hold the record schema and the table
     before the batch; a mapping with a side missing is left to the ledger as refused.
     """
-    usable = [s for s in specs if s.a_type in a_sides and s.b_table in b_sides]
+    usable = usable_specs(specs, a_sides, b_sides)
     passed = stage(gated(events, usable, window_ms), "gated")
-    skipped = passed.where("reason is not null").select(
+    return settle(events, passed, usable, a_sides, b_sides, merge=merge)
+
+
+def usable_specs(specs, a_sides: Mapping[str, Side], b_sides: Mapping[str, Side]):
+    return [s for s in specs if s.a_type in a_sides and s.b_table in b_sides]
+
+
+def settle(
+    events: DataFrame,
+    gate: DataFrame,
+    usable: Sequence[MappingSpec],
+    a_sides: Mapping[str, Side],
+    b_sides: Mapping[str, Side],
+    *,
+    merge: bool = False,
+) -> SyncResult:
+    """Everything after the gate, for gate rows with their reason (see `with_reason`)."""
+    skipped = gate.where("reason is not null").select(
         "event_id", "source", "entity", "record_id", "direction", "operation",
         F.lit("skipped").alias("status"), "reason",
         F.lit(None).cast("string").alias("target_id"),
         F.array().cast("array<string>").alias("conflict_fields"),
     )
-    passed = passed.where("reason is null")
+    passed = gate.where("reason is null")
     result = SyncResult(skipped)
     parts = [skipped]
     ends = {

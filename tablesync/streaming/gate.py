@@ -19,9 +19,14 @@ from pyspark.sql.streaming.stateful_processor import (
     TimerValues,
 )
 
-_EVENT = "us bigint, event_id bigint, source string, may boolean"
+_COLUMNS = ["us", "event_id", "source", "may", "carry"]
+_EVENT = "us bigint, event_id bigint, source string, may boolean, carry string"
 _MARKS = "seen_a bigint, seen_b bigint, ok_a bigint, ok_b bigint"
-OUTPUT = "entity string, identity string, event_id bigint, us bigint, source string, gate string"
+OUTPUT = (
+    "entity string, identity string, event_id bigint, us bigint, source string, carry string, "
+    "gate string"
+)
+_SHOWN = ["entity", "identity", "event_id", "us", "source", "carry", "gate"]
 
 
 class GateProcessor(StatefulProcessor):
@@ -37,14 +42,14 @@ class GateProcessor(StatefulProcessor):
         self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues
     ) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            events = batch[["us", "event_id", "source", "may"]]
+            events = batch[_COLUMNS].astype(object).where(batch[_COLUMNS].notna(), None)
             self.waiting.appendList(list(events.itertuples(index=False, name=None)))
             self._wake_at(int(events["us"].min()) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        events = sorted(tuple(e) for e in self.waiting.get())
+        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2])
         ready = [e for e in events if e[0] // 1000 <= now]
         later = events[len(ready):]
         self.waiting.clear()
@@ -65,15 +70,17 @@ class GateProcessor(StatefulProcessor):
                 self._wake_at(end)
         if not ready:
             return iter(())
-        frame = pd.DataFrame(ready, columns=["us", "event_id", "source", "may"])
+        frame = pd.DataFrame(ready, columns=_COLUMNS)
         frame["entity"], frame["identity"] = key
         frame["gate"] = gates
-        return iter([frame[["entity", "identity", "event_id", "us", "source", "gate"]]])
+        return iter([frame[_SHOWN]])
 
     def _wake_at(self, millis: int) -> None:
         self.handle.registerTimer(millis)
 
-    def _decide(self, marks: list, us: int, event_id: int, source: str, may: bool) -> str | None:
+    def _decide(
+        self, marks: list, us: int, event_id: int, source: str, may: bool, carry: str | None
+    ) -> str | None:
         mine, other = (0, 1) if source == "a" else (1, 0)
         if marks[mine] is not None and us - marks[mine] < self.window:
             return "duplicate"
@@ -90,11 +97,14 @@ class GateProcessor(StatefulProcessor):
 
 
 def gate_stream(events: DataFrame, window_ms: int, delay: str) -> DataFrame:
-    """(entity, identity, event_id, us, source, gate) for a stream of events
-    (event_id, ts, source, entity, identity, may). Events without an identity have no
-    gate: union them in from the source with `ungated`."""
+    """The events (event_id, ts, source, entity, identity, may, carry) with their gate.
+
+    `carry` is any text that travels with the event. Events without an identity have no
+    gate: union them in from the source with `ungated`.
+    """
     keyed = events.where(F.col("identity").isNotNull()).select(
-        "entity", "identity", "ts", F.unix_micros("ts").alias("us"), "event_id", "source", "may"
+        "entity", "identity", "ts", F.unix_micros("ts").alias("us"),
+        "event_id", "source", "may", "carry",
     )
     return (
         keyed.withWatermark("ts", delay)
@@ -110,6 +120,6 @@ def gate_stream(events: DataFrame, window_ms: int, delay: str) -> DataFrame:
 
 def ungated(events: DataFrame) -> DataFrame:
     return events.where(F.col("identity").isNull()).select(
-        "entity", "identity", "event_id", F.unix_micros("ts").alias("us"), "source",
+        "entity", "identity", "event_id", F.unix_micros("ts").alias("us"), "source", "carry",
         F.lit(None).cast("string").alias("gate"),
     )
