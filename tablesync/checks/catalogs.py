@@ -185,10 +185,10 @@ def compare_schemas(t: Tables):
 
 @query("schema_summary", f"""
 WITH p AS ({_profile_sql()}),
-m AS (SELECT tab AS "table", unnest([1, 2, 3]) AS f FROM metadata)
-SELECT 'a' AS side, count(DISTINCT "table") AS n_tables, count(*) AS n_fields, string_agg(DISTINCT "table", ',' ORDER BY "table") AS tables FROM m
-UNION ALL
-SELECT 'b' AS side, count(DISTINCT "table") AS n_tables, count(*) AS n_fields, string_agg(DISTINCT "table", ',' ORDER BY "table") AS tables FROM p""")
+m AS (SELECT 'a' AS side, tab AS "table", unnest([1, 2, 3]) AS f FROM metadata
+      UNION ALL SELECT 'b' AS side, "table", ordinal AS f FROM p)
+SELECT side, "table", count(*) AS n_tables, cast(sum(n) AS bigint) AS n_fields
+FROM (SELECT side, "table", count(*) AS n FROM m GROUP BY side, "table") c GROUP BY ROLLUP (side, "table")""")
 def schema_summary(t: Tables):
     a = ct.catalog_from_metadata(t("metadata"), "tab", "fields")
     return ct.schema_summary(a, _profiles(t))

@@ -12,6 +12,7 @@ from tablesync.operators import mapping as m
 from tablesync.operators import match
 from tablesync.plans.sync_batch import Side, SyncResult, sync_batch as run_batch
 from tablesync.profiles import A2B, B2A
+from tablesync.session import stage
 
 A_PERSON = (
     "name string, first_name string, last_name string, cell_number string, personal_email string, "
@@ -33,7 +34,8 @@ _B_TASK_TABLE = "id, task_name, status, start_date, page_content, needs_submissi
 
 
 def _events(t: Tables):
-    return t("landed_events").withColumn("us", micros())
+    """The change events, landed as a table: the batch reads them from there."""
+    return stage(t("landed_events").withColumn("us", micros()).drop("ts"), "landed")
 
 
 def _batch(t: Tables, merge: bool = False, specs=presets.ALL) -> SyncResult:

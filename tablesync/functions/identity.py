@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
@@ -35,7 +36,7 @@ TASK_LIKE_FIELDS = (
 def normalize_phone(phone: Column) -> Column:
     """Last ten digits; null when there are fewer. Digits of any script count."""
     digits = F.regexp_replace(phone, r"[^\p{Nd}]", "")
-    return F.when(F.length(digits) >= 10, F.right(digits, F.lit(10)))
+    return F.get(F.regexp_extract_all(digits, F.lit(".{10}$"), F.lit(0)), F.lit(0))
 
 
 Getter = Callable[[str], Column]
@@ -62,6 +63,11 @@ def _first_text(fields: Sequence[str], columns: Iterable[str], get: Getter = F.c
     return _first([non_empty(c) for c in _having(fields, columns, get)])
 
 
+def _unless_bare(prefix: str, tail: Column) -> Column:
+    """prefix + tail, or '' for an empty tail; names the tail only once."""
+    return F.regexp_replace(F.concat(F.lit(prefix), tail), f"^{re.escape(prefix)}$", "")
+
+
 def person_identity(columns: Iterable[str], get: Getter = F.col) -> Column:
     columns = list(columns)
     return F.coalesce(
@@ -74,11 +80,7 @@ def task_identity(columns: Iterable[str], get: Getter = F.col) -> Column:
     columns = list(columns)
     subject = _first_text(("subject", "task_name", "name"), columns, get)
     tail = snippet(_first_text(("description", "page_content"), columns, get))
-    return F.concat(
-        F.lit("subject:"),
-        subject,
-        F.when(tail != "", F.concat(F.lit("_desc:"), tail)).otherwise(""),
-    )
+    return F.concat(F.lit("subject:"), subject, _unless_bare("_desc:", tail))
 
 
 def dedup_identity(entity: Column, columns: Iterable[str], get: Getter = F.col) -> Column:
@@ -104,9 +106,7 @@ def match_identity(
     columns = list(columns)
     subject = _first_text(("subject", "task_name", "name"), columns)
     tail = snippet(_first_text(("description", "page_content"), columns))
-    subject_value = F.concat(
-        subject, F.when(tail != "", F.concat(F.lit("|"), tail)).otherwise("")
-    )
+    subject_value = F.concat(subject, _unless_bare("|", tail))
     task_like = (
         F.lit(any(c in TASK_LIKE_FIELDS for c in columns))
         if present is None

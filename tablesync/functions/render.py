@@ -17,6 +17,7 @@ _STAMP = (
     r"^\d{4}-\d{2}-\d{2}"
     r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
 )
+_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
 _CLOCK_END = r"(?=[Z+.,-]|$)"
 
 
@@ -34,6 +35,9 @@ def render_timestamp(value: Column, iso: bool, type_name: str = "string") -> Col
         micros = F.date_format(value, "SSSSSS")
         return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""))
 
+    # the usual shape needs no rewriting but its separator
+    plain = value.rlike(_PLAIN) & to_utc(value).isNotNull()
+    parts = [F.substring(value, 1, 10), F.lit("T" if iso else " "), F.substring(value, 12, 8)]
     # each step rewrites the one before, so the value is named only once
     text = F.regexp_replace(value, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
     text = F.regexp_replace(text, r"^(.{10})[T ](\d{2}:\d{2})" + _CLOCK_END, "$1T$2:00")
@@ -45,7 +49,11 @@ def render_timestamp(value: Column, iso: bool, type_name: str = "string") -> Col
         text = F.regexp_replace(text, "Z$", "+00:00")
     else:
         text = F.regexp_replace(F.substring(text, 1, 19), "T", " ")
-    return F.when(value.rlike(_STAMP) & to_utc(value).isNotNull(), text).otherwise(value)
+    return (
+        F.when(plain, F.concat(*parts))
+        .when(value.rlike(_STAMP) & to_utc(value).isNotNull(), text)
+        .otherwise(value)
+    )
 
 
 def to_utc(value: Column) -> Column:

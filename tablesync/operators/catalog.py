@@ -247,13 +247,14 @@ def event_related(tables: DataFrame, column: str = "table") -> DataFrame:
 
 
 def schema_summary(catalog_a: DataFrame, catalog_b: DataFrame) -> DataFrame:
-    """Per side: how many tables and fields, and the table names in order."""
-    both = catalog_a.select(F.lit("a").alias("side"), "table", "fieldname").unionByName(
-        catalog_b.select(F.lit("b").alias("side"), "table", "fieldname")
+    """Tables and field counts: one row per table, per side (table null) and in total.
+
+    Names come as rows, not as one list, so a side may hold any number of tables.
+    """
+    both = catalog_a.select(F.lit("a").alias("side"), "table").unionByName(
+        catalog_b.select(F.lit("b").alias("side"), "table")
     )
-    per_table = both.groupBy("side", "table").agg(F.count(F.lit(1)).alias("n_fields"))
-    return per_table.groupBy("side").agg(
-        F.count(F.lit(1)).alias("n_tables"),
-        F.sum("n_fields").alias("n_fields"),
-        F.array_join(F.sort_array(F.collect_list("table")), ",").alias("tables"),
+    per_table = both.groupBy("side", "table").agg(F.count(F.lit(1)).alias("n"))
+    return per_table.rollup("side", "table").agg(
+        F.count(F.lit(1)).alias("n_tables"), F.sum("n").alias("n_fields")
     )
