@@ -130,8 +130,8 @@ class MappingSpec:
             b_table=conf[b_key],
             fields_a2b=dict(conf["field_mappings"]),
             fields_b2a=dict(conf.get("reverse_mappings", {})),
-            derive_a2b=dict(conf.get("complex_mappings", {})),
-            derive_b2a=dict(conf.get("reverse_complex_mappings", {})),
+            derive_a2b=_organization_rules(conf.get("complex_mappings", {})),
+            derive_b2a=_organization_rules(conf.get("reverse_complex_mappings", {})),
             sync_fields=tuple(conf.get("sync_fields", ())),
             strategy=_side_word(
                 conf.get("conflict_resolution", "last_modified_wins"), "_wins", prefixes
@@ -143,6 +143,18 @@ class MappingSpec:
         )
 
 
+def _organization_rules(rules: Mapping[str, Any]) -> dict[str, Any]:
+    """`organization_id` is special in that layout: its default fills only a missing value,
+    and its value map feeds `company`."""
+    out = dict(rules)
+    rule = out.get("organization_id", {})
+    if rule.get("type") == "default_value":
+        out["organization_id"] = {"mode": "if_absent", **rule}
+    elif rule.get("type") == "company_to_org_mapping":
+        out["organization_id"] = {"into": "company", **rule}
+    return out
+
+
 def _suffix_key(conf: Mapping[str, Any], exact: tuple[str, ...], suffix: str) -> str | None:
     for key in exact:
         if key in conf:
