@@ -153,7 +153,7 @@ _MAY = """(kind <> 'other' AND NOT coalesce(original_source IN ('a', 'b') AND or
 
 
 def _gated(t: Tables):
-    events = t("event_records").select(
+    events = t("gate_events").select(
         "event_id", "source", "original_source", F.col("kind").alias("entity"), micros().alias("us"),
         F.col("user_id").cast("string").alias("identity"),
     )
@@ -163,7 +163,7 @@ def _gated(t: Tables):
 
 _GATE_BASE = f"""base AS (
   SELECT event_id, epoch_us(ts) AS us, source, concat(kind, ':', cast(user_id AS string)) AS who,
-         {_MAY} AS may FROM event_records)"""
+         {_MAY} AS may FROM gate_events)"""
 
 
 @query("echo_suppress", f"""

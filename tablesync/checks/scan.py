@@ -195,10 +195,10 @@ SELECT event_id, entity,
             WHEN 'Task' THEN 'tasks_Task' WHEN 'tasks' THEN 'tasks_Task' END AS mapping,
        CASE WHEN entity = 'Invoice' THEN
          CASE WHEN source = 'a' THEN 'doctype_not_configured' ELSE 'table_not_configured' END END AS reason
-FROM event_records""")
+FROM gate_events""")
 def route_events(t: Tables):
     table = ev.routes(t.spark, presets.ALL)
-    return ev.route(t("landed_events"), table).select("event_id", "entity", "mapping", "reason")
+    return ev.route(t("gate_events"), table).select("event_id", "entity", "mapping", "reason")
 
 
 @query("direction_gate", """
@@ -206,9 +206,9 @@ SELECT event_id,
        CASE WHEN kind = 'other' THEN NULL
             WHEN original_source IN ('a', 'b') AND original_source <> source THEN NULL
             WHEN source = 'a' THEN 'a2b' ELSE 'b2a' END AS direction
-FROM event_records""")
+FROM gate_events""")
 def direction_gate(t: Tables):
-    routed = ev.route(t("landed_events"), ev.routes(t.spark, presets.ALL))
+    routed = ev.route(t("gate_events"), ev.routes(t.spark, presets.ALL))
     way = ev.direction(
         F.col("source"), F.col("a_type"), F.col("b_table"), F.col("original_source")
     )

@@ -100,17 +100,21 @@ SELECT concat('TRAIN-', cast(l_orderkey AS string), '-', cast(l_linenumber AS st
        CASE WHEN l_linenumber = 1 THEN '' ELSE l_returnflag END AS company,
        concat(substring(cast(l_shipdate AS string), 1, 10), ' ', {_two('l_linenumber')}, ':30:00.250000') AS modified
 FROM lineitem""",
-    # change events of both sides, with the record as typed columns
-    "event_records": """
-SELECT e.event_id, e.ts, e.user_id, e.value,
-       CASE WHEN e.event_id % 2 = 0 THEN 'a' ELSE 'b' END AS source,
-       CASE WHEN e.user_id % 10 < 5 THEN 'person' WHEN e.user_id % 10 < 9 THEN 'task' ELSE 'other' END AS kind,
-       CASE WHEN e.user_id % 10 < 5 THEN CASE WHEN e.event_id % 2 = 0 THEN 'Employee' ELSE 'users' END
-            WHEN e.user_id % 10 < 9 THEN CASE WHEN e.event_id % 2 = 0 THEN 'Task' ELSE 'tasks' END
+    # change events of both sides
+    "gate_events": """
+SELECT event_id, ts, user_id, value,
+       CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS source,
+       CASE WHEN user_id % 10 < 5 THEN 'person' WHEN user_id % 10 < 9 THEN 'task' ELSE 'other' END AS kind,
+       CASE WHEN user_id % 10 < 5 THEN CASE WHEN event_id % 2 = 0 THEN 'Employee' ELSE 'users' END
+            WHEN user_id % 10 < 9 THEN CASE WHEN event_id % 2 = 0 THEN 'Task' ELSE 'tasks' END
             ELSE 'Invoice' END AS entity,
-       CASE e.event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS operation,
-       CASE WHEN e.event_id % 17 = 0 THEN 'a' WHEN e.event_id % 19 = 0 THEN 'b'
-            WHEN e.event_id % 23 = 0 THEN 'import' END AS original_source,
+       CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS operation,
+       CASE WHEN event_id % 17 = 0 THEN 'a' WHEN event_id % 19 = 0 THEN 'b'
+            WHEN event_id % 23 = 0 THEN 'import' END AS original_source
+FROM events""",
+    # the same events with the record as typed columns
+    "event_records": """
+SELECT e.event_id, e.ts, e.user_id, e.value, e.source, e.kind, e.entity, e.operation, e.original_source,
        ap.name AS ap_name, ap.first_name, ap.last_name, ap.cell_number, ap.personal_email,
        ap.prefered_email, ap.company, ap.status AS ap_status,
        bp.id AS bp_id, bp.name AS bp_name, bp.email, bp.phone_number,
@@ -120,7 +124,7 @@ SELECT e.event_id, e.ts, e.user_id, e.value,
        bk.id AS bt_id, bk.task_name, bk.status AS bt_status, bk.start_date, bk.page_content,
        bk.needs_submission,
        substring(cast(e.ts AS string), 1, 19) AS stamp
-FROM events e
+FROM gate_events e
 LEFT JOIN a_person ap ON ap.name = concat('HR-EMP-', right(concat('000000', cast(e.user_id AS string)), 6))
 LEFT JOIN b_person bp ON bp.id = md5(concat('person', cast(e.user_id AS string)))
 LEFT JOIN a_task ak ON ak.subject = concat('Order ', cast(e.user_id AS string))

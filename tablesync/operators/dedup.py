@@ -14,13 +14,16 @@ over the whole key must not run in one task either. The job is a two-level scan:
    which gives every affected chunk the anchor that enters it;
 4. the chunks are folded for good, all in parallel.
 
+Where a window is so long that one key can have millions of instants in a chunk, hot keys
+are thinned before step 2 to the instants that can be accepted at all (`_thin_hot_keys`).
+
 Echo suppression then works on the accepted events only (at most one per T and source)
 with plain windows over (identity, time slice), see `echo_outcome`.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablesync.session import stage
+
 DEFAULT_WINDOW_MS = 500
 DEFAULT_CHUNK_WINDOWS = 64
 
+# A key with more instants than this is thinned first, if a chunk of it could hold as
+# many: with a short window it cannot, as there are only so many microseconds in one.
+HOT_ROWS = 4_000_000
+# Resolution of the thinning, and the longest chain it is worth while for.
+CELLS_PER_WINDOW = 65_536
+MAX_THINNED_WINDOWS = 512
+
 
 # --- vectorised kernels: run inside tasks on batches sorted by (key, chunk, time) ------
 
@@ -87,9 +99,8 @@ class _Chunks:
     """The events of many (key, chunk) groups as one sorted axis, so that "the first
     event at or after x" is a single binary search for all groups at once."""
 
-    def __init__(self, table: pa.Table, window: int, length: int):
-        self.window, self.length = window, length
-        self.group = np.concatenate(([0], np.cumsum(_differs(table, ("k", "chunk")))))
+    def __init__(self, table: pa.Table, keys: tuple[str, ...], window: int, length: int):
+        self.group = np.concatenate(([0], np.cumsum(_differs(table, (*keys, "chunk")))))
         self.offset = _ints(table, "us") - _ints(table, "chunk") * length
         self.stride = length + window + 1
         self.axis = self.offset + self.group * self.stride
@@ -119,13 +130,13 @@ class _Chunks:
         return taken
 
 
-def _step_functions(window: int, length: int):
+def _step_functions(keys: tuple[str, ...], window: int, length: int):
     """(key, chunk) -> rows (upto, exit): an anchor allowing events from x on leaves the
     chunk as the exit of the first row with upto >= x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, "k", "chunk"):
-            c = _Chunks(table, window, length)
+        for table in _whole_groups(batches, *keys, "chunk"):
+            c = _Chunks(table, keys, window, length)
             before = np.concatenate(([0], c.offset[:-1]))
             entries = np.flatnonzero(c.first | (before < window))
             ends = c.chain_ends(entries)
@@ -140,68 +151,54 @@ def _step_functions(window: int, length: int):
             keep &= matters[group]
             rows, exits = entries[keep], ends[keep]
             us = _ints(table, "us")
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "k": table.column("k").combine_chunks().take(pa.array(rows)),
-                    "chunk": pa.array(_ints(table, "chunk")[rows]),
-                    "upto": pa.array(us[rows]),
-                    "exit": pa.array(us[exits]),
-                }
-            ) if len(rows) else _empty("k string, chunk int64, upto int64, exit int64")
+            if len(rows):
+                out = table.select([*keys, "chunk", "us"]).take(pa.array(rows))
+                out = out.rename_columns([*keys, "chunk", "upto"])
+                yield from out.append_column("exit", pa.array(us[exits])).to_batches()
 
     return run
 
 
-def _empty(spec: str) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "int64": pa.int64()}
-    fields = [pa.field(n, kinds[t]) for n, t in (f.split(" ") for f in spec.split(", "))]
-    return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in fields], schema=pa.schema(fields))
-
-
-def _scan_anchors(window: int, length: int):
+def _scan_anchors(keys: tuple[str, ...], window: int, length: int):
     """Streams the step functions of each key in time order; state is one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_chunk, anchor = None, None, None
-        for table in _whole_groups(batches, "k", "chunk"):
-            cuts = np.flatnonzero(_differs(table, ("k", "chunk"))) + 1
+        for table in _whole_groups(batches, *keys, "chunk"):
+            cuts = np.flatnonzero(_differs(table, (*keys, "chunk"))) + 1
             starts = np.concatenate(([0], cuts))
             ends = np.concatenate((cuts, [table.num_rows]))
             upto, exits = _ints(table, "upto"), _ints(table, "exit")
-            keys = table.column("k").take(pa.array(starts)).to_pylist()
-            chunks = _ints(table, "chunk")[starts].tolist()
-            out_key, out_chunk, out_anchor = [], [], []
-            for key, chunk, lo, hi in zip(keys, chunks, starts.tolist(), ends.tolist()):
+            heads = table.select([*keys, "chunk"]).take(pa.array(starts))
+            names = list(zip(*(heads.column(k).to_pylist() for k in keys)))
+            chunks = heads.column("chunk").to_pylist()
+            affected, entering = [], []
+            for n, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist())):
                 at = lo
-                linked = key == last_key and chunk - 1 == last_chunk and anchor is not None
-                if linked and anchor + window > chunk * length:
-                    out_key.append(key)
-                    out_chunk.append(chunk)
-                    out_anchor.append(anchor)
+                linked = anchor is not None and names[n] == last_key and chunks[n] - 1 == last_chunk
+                if linked and anchor + window > chunks[n] * length:
+                    affected.append(n)
+                    entering.append(anchor)
                     at = lo + int(np.searchsorted(upto[lo:hi], anchor + window, side="left"))
                 anchor = int(exits[at]) if at < hi else None
-                last_key, last_chunk = key, chunk
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "k": pa.array(out_key, pa.string()),
-                    "chunk": pa.array(out_chunk, pa.int64()),
-                    "anchor": pa.array(out_anchor, pa.int64()),
-                }
-            )
+                last_key, last_chunk = names[n], chunks[n]
+            if affected:
+                out = heads.take(pa.array(affected))
+                yield from out.append_column("us", pa.array(entering)).to_batches()
 
     return run
 
 
-def _fold(window: int, length: int):
+def _fold(keys: tuple[str, ...], window: int, length: int):
     """Final fold: rows with a null `eid` are entering anchors, the others events."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, "k", "chunk"):
+        for table in _whole_groups(batches, *keys, "chunk"):
             is_event = pc.is_valid(table.column("eid")).to_numpy()
             events = table.filter(pa.array(is_event))
             if events.num_rows == 0:
                 continue
-            c = _Chunks(events, window, length)
+            c = _Chunks(events, keys, window, length)
             firsts = np.flatnonzero(c.first)
             # the anchor row, where there is one, sits right before its group's events
             position = np.flatnonzero(is_event)[firsts]
@@ -215,7 +212,7 @@ def _fold(window: int, length: int):
             inside[inside] = c.group[starts[inside]] == c.group[firsts][inside]
             taken = c.accepted(starts[inside])
             if taken.any():
-                yield from events.filter(pa.array(taken)).drop_columns(["k", "chunk"]).to_batches()
+                yield from events.filter(pa.array(taken)).drop_columns(["chunk"]).to_batches()
 
     return run
 
@@ -228,50 +225,119 @@ def floor_div(column: str, length: int) -> Column:
     return F.expr(f"({column} - pmod({column}, {length}L)) div {length}L")
 
 
+def _reachable(keys: tuple[str, ...], window: int):
+    """Cells (lo, hi: first and last instant) of one hot key -> ranges of cells that can
+    hold an accepted event.
+
+    Where the chain of accepted events is known to lie in [a, b], its next event lies
+    between the first instant from a + T on and the first known one from b + T on.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cell")
+        cell, lo, hi = (_ints(table, c) for c in ("cell", "lo", "hi"))
+        first, last = [0], [0]
+        low = high = int(lo[0])
+        while True:
+            i = int(np.searchsorted(hi, low + window, side="left"))
+            if i == len(hi):
+                break
+            j = min(int(np.searchsorted(hi, high + window, side="left")), len(hi) - 1)
+            low = max(low + window, int(lo[i]))
+            high = int(lo[j]) if lo[j] >= high + window else int(hi[j])
+            first.append(i)
+            last.append(j)
+        heads = table.select(list(keys)).take(pa.array([0] * len(first)))
+        return heads.append_column("first", pa.array(cell[first])).append_column(
+            "last", pa.array(cell[last])
+        )
+
+    return run
+
+
+def _thin_hot_keys(slim: DataFrame, keys: Sequence[str], window_us: int, hot_rows: int) -> DataFrame:
+    """Drops instants of hot keys that no chain of accepted events can reach.
+
+    Needed where a window is long enough to hold millions of instants of one key. The
+    first and last instant per cell, T / 65,536 long, follow from a partial aggregate and
+    bound the chain to few cells; only those go on to the exact fold.
+    """
+    slim = stage(slim, "instants")
+    named = slim.select(*keys).schema
+    hot = slim.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), (F.max("us") - F.min("us")).alias("_span")
+    )
+    hot = stage(
+        hot.where(
+            (F.col("_n") > hot_rows) & (F.col("_span") <= window_us * MAX_THINNED_WINDOWS)
+        ).select(*keys),
+        "hot-keys",
+    )
+    if hot.isEmpty():
+        return slim
+    cell = floor_div("us", max(1, window_us // CELLS_PER_WINDOW))
+    mine = slim.join(hot, list(keys), "left_semi").withColumn("cell", cell)
+    cells = mine.groupBy(*keys, "cell").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.fields)
+    ranges = cells.groupBy(*keys).applyInArrow(
+        _reachable(tuple(keys), window_us), f"{fields}, first long, last long"
+    )
+    reached = ranges.select(*keys, F.explode(F.sequence("first", "last")).alias("cell")).distinct()
+    kept = mine.join(reached, [*keys, "cell"], "left_semi").select(*slim.columns)
+    return slim.join(hot, list(keys), "left_anti").unionByName(kept)
+
+
 def accepted_events(
     events: DataFrame,
-    key: Column,
-    micros: Column,
-    event_id: Column,
+    keys: Sequence[str],
     window_ms: int = DEFAULT_WINDOW_MS,
     *,
-    carry: dict[str, Column] | None = None,
     chunk_windows: int = DEFAULT_CHUNK_WINDOWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """(us, eid, carried columns) of the accepted events of all non-null keys."""
+    """(keys, us, eid, may) of the accepted events, for events with those columns.
+
+    Events with a null key are not throttled and not returned.
+    """
+    slim = events.select(*keys, "us", "eid", "may").dropna(subset=list(keys))
     window_us = window_ms * 1000
-    carry = carry or {}
-    slim = events.select(
-        key.alias("k"),
-        micros.alias("us"),
-        event_id.cast("bigint").alias("eid"),
-        *[c.alias(n) for n, c in carry.items()],
-    ).where(F.col("k").isNotNull())
     if window_us <= 0:
-        return slim.drop("k")
+        return slim
     length = window_us * chunk_windows
-    packed = F.struct("eid", *carry)
-    slim = slim.groupBy("k", "us").agg(F.min(packed).alias("e")).select(
-        "k", floor_div("us", length).alias("chunk"), "us", "e.*"
+    # plain minima, so that the aggregate hashes instead of sorting: the first event of
+    # an instant may succeed if it is also the first of those that may
+    slim = (
+        slim.groupBy(*keys, "us")
+        .agg(F.min("eid").alias("eid"), F.min(F.when(F.col("may"), F.col("eid"))).alias("_m"))
+        .select(
+            *keys,
+            "us",
+            "eid",
+            F.coalesce(F.col("_m") == F.col("eid"), F.lit(False)).alias("may"),
+        )
     )
+    if length > 8 * hot_rows:
+        slim = _thin_hot_keys(slim, keys, window_us, hot_rows)
+    slim = slim.select(*keys, floor_div("us", length).alias("chunk"), "us", "eid", "may")
+    fields = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    named = ", ".join(f"`{k}` {fields[k]}" for k in keys)
+    args = (tuple(keys), window_us, length)
     steps = (
-        slim.repartition("k", "chunk")
-        .sortWithinPartitions("k", "chunk", "us")
-        .mapInArrow(_step_functions(window_us, length), "k string, chunk long, upto long, exit long")
+        slim.repartition(*keys, "chunk")
+        .sortWithinPartitions(*keys, "chunk", "us")
+        .mapInArrow(_step_functions(*args), f"{named}, chunk long, upto long, exit long")
     )
-    anchors = (
-        steps.repartition("k")
-        .sortWithinPartitions("k", "chunk", "upto")
-        .mapInArrow(_scan_anchors(window_us, length), "k string, chunk long, anchor long")
+    entering = (
+        steps.repartition(*keys)
+        .sortWithinPartitions(*keys, "chunk", "upto")
+        .mapInArrow(_scan_anchors(*args), f"{named}, chunk long, us long")
     )
-    entering = anchors.select("k", "chunk", F.col("anchor").alias("us"))
     folded = (
         slim.unionByName(entering, allowMissingColumns=True)
-        .repartition("k", "chunk")
-        .sortWithinPartitions("k", "chunk", "us")
+        .repartition(*keys, "chunk")
+        .sortWithinPartitions(*keys, "chunk", "us")
     )
-    out = slim.drop("k", "chunk").schema
-    return folded.mapInArrow(_fold(window_us, length), out)
+    return folded.mapInArrow(_fold(*args), f"{named}, us long, eid long, may boolean")
 
 
 def echo_outcome(
@@ -369,22 +435,20 @@ def gate_outcome(
     window_ms: int = DEFAULT_WINDOW_MS,
     chunk_windows: int = DEFAULT_CHUNK_WINDOWS,
     slice_windows: int = 4096,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds `gate`: null (goes on), 'duplicate' or 'echo'. No identity, no gate."""
-    who = F.concat_ws(":", F.col(entity), F.col(identity))
-    key = F.when(F.col(identity).isNotNull(), F.concat_ws(":", F.col(source), who))
+    who = F.concat(F.col(entity), F.lit(":"), F.col(identity))
+    may = F.lit(True) if may_succeed is None else F.coalesce(may_succeed, F.lit(False))
+    slim = events.select(
+        F.col(source).alias("source"),
+        who.alias("identity"),
+        F.col(micros).alias("us"),
+        F.col(id_col).alias("eid"),
+        may.alias("may"),
+    )
     accepted = accepted_events(
-        events,
-        key,
-        F.col(micros),
-        F.col(id_col),
-        window_ms,
-        carry={
-            "source": F.col(source),
-            "identity": who,
-            "may": F.lit(True) if may_succeed is None else F.coalesce(may_succeed, F.lit(False)),
-        },
-        chunk_windows=chunk_windows,
+        slim, ["source", "identity"], window_ms, chunk_windows=chunk_windows, hot_rows=hot_rows
     )
     echoes = echo_outcome(accepted, window_ms, slice_windows=slice_windows)
     joined = events.join(echoes, events[id_col] == echoes["eid"], "left")
@@ -410,9 +474,10 @@ def throttle(
     The flag comes back by a join on the event id, which is unique, so a hot key makes
     no hot partition there.
     """
-    ids = accepted_events(
-        events, key, micros, F.col(id_col), window_ms, chunk_windows=chunk_windows
-    ).select("eid")
+    slim = events.select(
+        key.alias("k"), micros.alias("us"), F.col(id_col).alias("eid"), F.lit(True).alias("may")
+    )
+    ids = accepted_events(slim, ["k"], window_ms, chunk_windows=chunk_windows).select("eid")
     joined = events.join(ids, events[id_col] == ids["eid"], "left")
     return joined.withColumn("accepted", key.isNull() | F.col("eid").isNotNull()).drop("eid")
 

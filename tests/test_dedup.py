@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablesync.operators.dedup import accepted_events, echo_outcome, gate_outcome, throttle
+from tablesync.operators.dedup import gate_outcome, throttle
 
 
 def sequential(events, window_us):
@@ -37,13 +37,14 @@ def frame(spark, events):
     )
 
 
-def run(spark, events, window_ms, chunk_windows, slice_windows):
+def run(spark, events, window_ms, chunk_windows, slice_windows, **options):
     out = gate_outcome(
         frame(spark, events),
         may_succeed=F.col("may"),
         window_ms=window_ms,
         chunk_windows=chunk_windows,
         slice_windows=slice_windows,
+        **options,
     )
     return {r.event_id: r.gate for r in out.select("event_id", "gate").collect()}
 
@@ -88,6 +89,24 @@ def test_long_alternating_runs_cross_slice_borders(spark):
         assert run(spark, events, 50, 4, slice_windows) == sequential(events, 50_000)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_thinned_hot_keys_keep_their_chain(spark, seed):
+    rng = random.Random(seed)
+    events = [
+        (i, rng.randrange(0, 40_000_000), rng.choice("ab"), "hot" if i % 3 else f"k{i % 50}", rng.random() < 0.9)
+        for i in range(6000)
+    ]
+    got = run(spark, events, 1000, 8, 4, hot_rows=500)
+    assert got == sequential(events, 1_000_000)
+
+
+def test_thinning_drops_what_no_chain_reaches(spark):
+    from tablesync.operators.dedup import _thin_hot_keys
+
+    df = spark.range(0, 50_000_000, 500).selectExpr("'hot' AS k", "id AS us", "id AS eid", "true AS may")
+    assert _thin_hot_keys(df, ["k"], 1_000_000, 1000).count() < 5_000
+
+
 def test_same_instant_copies_keep_the_first_id(spark):
     events = [(i, 5_000, "a", "x", True) for i in range(50)]
     got = run(spark, events, 50, 4, 4)
