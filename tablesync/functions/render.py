@@ -17,7 +17,7 @@ _STAMP = (
     r"^\d{4}-\d{2}-\d{2}"
     r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
 )
-_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
+_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.(?!0{6})\d{6})?$"
 _CLOCK_END = r"(?=[Z+.,-]|$)"
 
 
@@ -37,7 +37,8 @@ def render_timestamp(value: Column, iso: bool, type_name: str = "string") -> Col
 
     # the usual shape needs no rewriting but its separator
     plain = value.rlike(_PLAIN) & to_utc(value).isNotNull()
-    parts = [F.substring(value, 1, 10), F.lit("T" if iso else " "), F.substring(value, 12, 8)]
+    clock = F.substring(value, 12, 15 if iso else 8)
+    parts = [F.substring(value, 1, 10), F.lit("T" if iso else " "), clock]
     # each step rewrites the one before, so the value is named only once
     text = F.regexp_replace(value, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
     text = F.regexp_replace(text, r"^(.{10})[T ](\d{2}:\d{2})" + _CLOCK_END, "$1T$2:00")
