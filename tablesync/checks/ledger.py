@@ -138,6 +138,16 @@ def metric_timeframe(t: Tables):
     return mt.timeframe(_ledger(t), _newest(t))
 
 
+@query("metric_windows", """
+SELECT epoch_us(time_bucket(INTERVAL 24 HOUR, created_at, TIMESTAMP '1970-01-01')) AS start, count(*) AS operations,
+       round(avg(duration), 6) AS average FROM ledger GROUP BY 1""")
+def metric_windows(t: Tables):
+    out = mt.duration_windows(_ledger(t))
+    return out.select(
+        F.unix_micros("frame.start").alias("start"), "operations", F.round("average", 6).alias("average")
+    )
+
+
 @query("metric_model", """
 SELECT count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS successful, count(*) FILTER (WHERE status = 'failed') AS failed,
        count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'conflict') AS conflicts,

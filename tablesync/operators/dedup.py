@@ -287,6 +287,14 @@ def _thin_hot_keys(slim: DataFrame, keys: Sequence[str], window_us: int, hot_row
     return slim.join(hot, list(keys), "left_anti").unionByName(kept)
 
 
+def _in_groups(df: DataFrame, group: Sequence[str], *order: str) -> DataFrame:
+    """Rows of a group in one partition, next to each other and in order.
+
+    A repartition by columns is never split by adaptive execution, only coalesced.
+    """
+    return df.repartition(*group).sortWithinPartitions(*group, *order)
+
+
 def accepted_events(
     events: DataFrame,
     keys: Sequence[str],
@@ -322,21 +330,14 @@ def accepted_events(
     fields = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     named = ", ".join(f"`{k}` {fields[k]}" for k in keys)
     args = (tuple(keys), window_us, length)
-    steps = (
-        slim.repartition(*keys, "chunk")
-        .sortWithinPartitions(*keys, "chunk", "us")
-        .mapInArrow(_step_functions(*args), f"{named}, chunk long, upto long, exit long")
-    )
-    entering = (
-        steps.repartition(*keys)
-        .sortWithinPartitions(*keys, "chunk", "upto")
-        .mapInArrow(_scan_anchors(*args), f"{named}, chunk long, us long")
+    chunks = [*keys, "chunk"]
+    steps = _in_groups(slim, chunks, "us").mapInArrow(
+        _step_functions(*args), f"{named}, chunk long, upto long, exit long"
     )
-    folded = (
-        slim.unionByName(entering, allowMissingColumns=True)
-        .repartition(*keys, "chunk")
-        .sortWithinPartitions(*keys, "chunk", "us")
+    entering = _in_groups(steps, keys, "chunk", "upto").mapInArrow(
+        _scan_anchors(*args), f"{named}, chunk long, us long"
     )
+    folded = _in_groups(slim.unionByName(entering, allowMissingColumns=True), chunks, "us")
     return folded.mapInArrow(_fold(*args), f"{named}, us long, eid long, may boolean")
 
 

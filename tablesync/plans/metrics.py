@@ -101,6 +101,16 @@ def timeframe(ledger: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     )
 
 
+def duration_windows(ledger: DataFrame, hours: int = 24, delay: str = "1 hour") -> DataFrame:
+    """Operations and mean duration per time window, for a table or a stream."""
+    frame = F.window("created_at", f"{hours} hours")
+    return (
+        ledger.withWatermark("created_at", delay)
+        .groupBy(frame.alias("frame"))
+        .agg(F.count(F.lit(1)).alias("operations"), F.avg("duration").alias("average"))
+    )
+
+
 def model(ledger: DataFrame) -> DataFrame:
     def n(status: str) -> Column:
         return F.count_if(F.col("status") == status)
