@@ -123,8 +123,8 @@ def _stream(min_docs: int):
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """(k1, k2, keep_bitmap) for each row of `docs` (doc_id, text) that loses lines.
 
-    keep_bitmap is zlib-compressed, one bit per line up to the last dropped one, 1 = keep;
-    lines behind it stay. k1, k2 are the row's hashes; equal rows count as one document.
+    keep_bitmap is zlib-compressed, one bit per line up to the byte of the last dropped one,
+    1 = keep; lines behind it stay. k1, k2 are the row's hashes; equal rows count as one document.
 
     The range partitioner cuts by (hash, document, position), so a line that a third of all
     documents hold spreads over many partitions. Inside a partition a run is decided as soon
@@ -162,7 +162,7 @@ def _to_bitmaps(batch: pa.RecordBatch) -> pa.RecordBatch:
     maps = []
     for positions in batch.column("positions"):
         lost = np.asarray(positions.values)
-        keep = np.ones(int(lost.max()) + 1, np.uint8)
+        keep = np.ones((int(lost.max()) // 8 + 1) * 8, np.uint8)  # whole bytes
         keep[lost] = 0
         maps.append(zlib.compress(np.packbits(keep).tobytes()))
     return pa.RecordBatch.from_arrays(

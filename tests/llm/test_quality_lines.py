@@ -54,7 +54,7 @@ def test_boilerplate_is_counted_per_host_and_depleted_documents_go(spark):
 
 @pytest.mark.parametrize("parts", [1, 7])
 def test_lines_on_odd_rows_and_hot_lines(spark, parts):
-    rows = [*ODD, *((100 + i, "h", f"Hot line\nown {i}\n{'twice' if i < 9 else 'ten'}\nhot LINE ") for i in range(60))]
+    rows = [*ODD, *((100 + i, "h", f"Hot line\nown {i}\n{'twice' if i < 9 else 'ten'}\nhot LINE \ntail {i}\n") for i in range(60))]
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
