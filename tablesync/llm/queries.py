@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import lines, quality
+from tablesync.llm import lines, near, quality
 from tablesync.llm.common import sha256, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +33,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.judge(docs).drop("k1", "k2")
+
+
+@_query
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near.near_components(docs, near.Likeness(shingle=2)).drop("k1", "k2")

@@ -68,3 +68,41 @@ def boilerplate(docs, min_docs, max_share):
             and len(held[source, line]) > max_share * len(hosts[source])
         )
     return out
+
+
+def shingles(text, width):
+    words = WORD.findall((text or "").translate(UPPER))
+    if len(words) < width:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def near(docs, width, percent=80):
+    """docs: (doc_id, text), ids set -> {doc_id: (set size, component)}."""
+    sets = {i: shingles(t, width) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    rare = sorted(holders, key=lambda x: (len(holders[x]), x))
+    rank = {x: n for n, x in enumerate(rare)}
+    seen = defaultdict(list)
+    for i, s in sorted(sets.items()):
+        order = sorted(s, key=rank.get)
+        # two sets this alike share one of the rarest shingles of either
+        head = order[: len(s) - -(-percent * len(s) // 100) + 1]
+        for j in {j for x in head for j in seen[x]}:
+            both = len(s & sets[j])
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for x in head:
+            seen[x].append(i)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
