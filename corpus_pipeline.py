@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablesync.llm import lines, quality
+from tablesync.llm import bpe, lines, mixing, near, quality
 from tablesync.llm.common import prepare, table
 from tablesync.session import stage
 
@@ -25,9 +27,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.drop_lines(docs).drop("n_lines", "n_dropped")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies (shingles of five words, 80 % shared) the one with the smallest id stays."""
+    prepare(spark)
+    return near.keep_one_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source takes its share of the words: documents are repeated or left out."""
+    prepare(spark)
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text (packed, little-endian, 32 bits each), once per copy in the mix."""
+    prepare(spark)
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
 ]
 
 # Mixing draws by hash and the encoder needs its vocabulary file: not expressible in SQL.

@@ -14,7 +14,8 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a long, b long) -> (node, root): the smallest node each linked node can reach.
+    """links (a long, b long) -> (node, root): the smallest node each linked node can reach;
+    nodes that are the smallest themselves have no row.
 
     Alternates two steps, each of them an aggregate and a join: every node hands its larger
     neighbours, then its smaller ones, to the smallest of them, until nothing moves. The

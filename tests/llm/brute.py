@@ -106,3 +106,18 @@ def near(docs, width, percent=80):
         for x in head:
             seen[x].append(i)
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def targets(sizes, weights=(5, 2, 1), most=3.0):
+    """sizes: {source: words} -> {source: target}, by resharing until no target is above."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, cut = sum(sizes.values()), {}
+    while True:
+        rest = total - sum(cut.values())
+        free = [s for s in names if s not in cut]
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = {s: most * sizes[s] for s in free if share[s] > most * sizes[s]}
+        if not above:
+            return {**cut, **share}
+        cut |= above
