@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe, lines, mixing, near, quality
+from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, quality
 from tablesync.llm.common import sha256, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": oracles.CHAT_FORMAT,
+    "op4_line_dedup": oracles.LINE_DEDUP,
+    "op8_quality_rules": oracles.QUALITY_RULES,
+    "op9_near_dedup": oracles.NEAR_DEDUP,
+    "op10_exact_dedup": oracles.EXACT_DEDUP,
+}
 
 
 def _query(fn: Query) -> Query:
@@ -60,3 +66,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         sha256(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@_query
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact.copies(docs).drop("k1", "k2").withColumnRenamed("digest", "text_sha256")
+
+
+@_query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    roles = F.explode(F.array(F.lit("user"), F.lit("assistant")))
+    tricky = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"), roles.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    tricky = tricky.withColumn("turn", (F.col("role") == "assistant").cast("long"))
+    return chat.summaries(chat.examples(given.unionByName(tricky)))
