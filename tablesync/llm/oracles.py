@@ -45,10 +45,10 @@ s AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, CASE WHEN len(a) < 2 THEN a
     ELSE concat(a[i], ' ', a[i + 1]) END AS x
   FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a), 2))) AS i FROM w WHERE len(a) > 0))),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-b AS (SELECT l.doc_id AS i, r.doc_id AS j, count(*) AS both FROM s l JOIN s r ON l.x = r.x
+b AS (SELECT l.doc_id AS i, r.doc_id AS j, count(*) AS shared FROM s l JOIN s r ON l.x = r.x
   WHERE l.doc_id <> r.doc_id GROUP BY 1, 2),
 k AS (SELECT i, j FROM b JOIN n p ON p.doc_id = i JOIN n q ON q.doc_id = j
-  WHERE 100 * both >= 80 * (p.n + q.n - both)),
+  WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
 c(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.i, k.j FROM c JOIN k ON c.j = k.i)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.j AS component_id, d.doc_id = m.j AS kept
 FROM documents d JOIN (SELECT i, min(j) AS j FROM c GROUP BY i) m ON m.i = d.doc_id

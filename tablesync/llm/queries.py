@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, quality
+from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, quality, secret_scan
 from tablesync.llm.common import sha256, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tricky = tricky.withColumn("turn", (F.col("role") == "assistant").cast("long"))
     return chat.summaries(chat.examples(given.unionByName(tricky)))
+
+
+@_query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    samples = secret_scan.samples_by_rule(spark).unionByName(secret_scan.ordinary_samples(docs))
+    return secret_scan.digests(secret_scan.scan(docs, secret_scan.train(samples)))
