@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, quality, secret_scan
+from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, ppm, quality, secret_scan
 from tablesync.llm.common import sha256, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     samples = secret_scan.samples_by_rule(spark).unionByName(secret_scan.ordinary_samples(docs))
     return secret_scan.digests(secret_scan.scan(docs, secret_scan.train(samples)))
+
+
+@_query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = ppm.train(docs.filter(~held_out))
+    return ppm.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -32,11 +32,12 @@ _START = chr(1)
 @dataclass(frozen=True)
 class Suspicion:
     """A token of at least `min_chars` symbols is a secret if the random-string model gives it
-    a log-likelihood (natural) larger than the identifier model's by `margin`."""
+    a log-likelihood (natural) larger than the identifier model's by `margin`. Pairs of symbols
+    are smoothed with `smoothing` observations of the symbols' own frequencies."""
 
     min_chars: int = 16
     margin: float = 8.0
-    smoothing: float = 0.5
+    smoothing: float = 10.0
 
 
 def _running_sum(lengths: Column) -> Column:
@@ -129,12 +130,19 @@ def train(samples: DataFrame, suspicion: Suspicion = Suspicion()) -> list[float]
     symbols = [c for c in range(_CODES) if chr(c).isalnum() or chr(c) in "+/_=-"]
     seen = {(r.random, r.pair): r["count"] for r in counted}
     ratio = [0.0] * (_CODES * _CODES)
-    for a in [ord(_START), *symbols]:
+    contexts = [ord(_START), *symbols]
+    single = {}  # of each symbol, whatever came before it
+    for random in (True, False):
+        counts = [sum(seen.get((random, a * _CODES + b), 0) for a in contexts) + 0.5 for b in symbols]
+        single[random] = [c / sum(counts) for c in counts]
+    for a in contexts:
         logs = []
         for random in (True, False):
-            counts = [seen.get((random, a * _CODES + b), 0) + suspicion.smoothing for b in symbols]
-            total = math.log(sum(counts))
-            logs.append([math.log(c) - total for c in counts])
+            counts = [
+                seen.get((random, a * _CODES + b), 0) + suspicion.smoothing * p
+                for b, p in zip(symbols, single[random])
+            ]
+            logs.append([math.log(c / sum(counts)) for c in counts])
         for b, yes, no in zip(symbols, *logs):
             ratio[a * _CODES + b] = round(yes - no, 6)
     return ratio
