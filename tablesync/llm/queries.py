@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, ppm, quality, secret_scan
+from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, ppm, quality, secret_scan, warc
 from tablesync.llm.common import sha256, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = ppm.train(docs.filter(~held_out))
     return ppm.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read_archives(warc.write_archives(pages)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to")
+    )
