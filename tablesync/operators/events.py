@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,6 +140,20 @@ def filter_gate(filters: Mapping[str, object]) -> Column:
     return F.when(~keep, "filtered_out")
 
 
+def json_filter_gate(filters: Mapping[str, object], data: Column, op: Column) -> Column:
+    """The same filters on a record that is still JSON text. A delete may carry its id alone: a
+    field that it lacks does not keep it back."""
+    keep = F.lit(True)
+    for name, value in filters.items():
+        found = F.get_json_object(data, f"$['{name}']")
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            same = found.try_cast("double") == F.lit(float(value))
+        else:
+            same = found == F.lit(value if isinstance(value, str) else json.dumps(value))
+        keep = keep & F.coalesce(same, op == "delete")
+    return F.when(~F.coalesce(keep, F.lit(False)), "filtered_out")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Change rows between two snapshots: created, updated and deleted records.
 

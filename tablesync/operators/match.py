@@ -78,7 +78,7 @@ def find_targets(
     out = out.withColumn("target_id", F.coalesce(*found) if found else none)
     out = out.withColumn("found_id", F.coalesce(*unverified) if found else none)
     for p, options in carried.items():
-        out = out.withColumn(f"t_{p}", F.coalesce(*options))
+        out = out.withColumn(f"t_{p}", F.coalesce(*options) if options else F.lit(None).cast(target.schema[p].dataType))
     return out.drop(*[f"_{x}{n}" for n in ks for x in "vmt"])
 
 

@@ -3,10 +3,13 @@
     events -> route -> identity -> throttle and echo gate -> (per mapping and direction)
     map once -> match -> create/update/delete -> conflicts -> net changes -> merge
 
-The gate decides on narrow rows (ids, route, identity); its result is staged once and
-joined back to the payloads per route, so every payload is shuffled once and the gate job
-runs once however many routes there are. The mapped and matched rows of a route are
-staged too: the order of operations, the ledger and the merge all start from them.
+Deliveries of one event id are one event from the start; the others are duplicates. The gate
+decides on narrow rows (ids, route, identity); its result is staged once and joined back to
+the payloads per route, of which each route reads only its own source and entity. The mapped
+and matched rows of a route are staged too: the order of operations, the ledger and the merge
+all start from them. Every delivery has one row in the ledger: applied, skipped with a reason,
+or an error if its record cannot be read. Changes of several mappings of one target are
+netted together and merged once.
 """
 
 from __future__ import annotations
@@ -22,8 +25,15 @@ from tablesync.functions.identity import EMAIL_FIELDS, PHONE_FIELDS, dedup_ident
 from tablesync.operators import conflict as cf
 from tablesync.operators.apply import OP, apply_changes, net_changes
 from tablesync.operators.dedup import DEFAULT_WINDOW_MS, gate_outcome
-from tablesync.operators.events import direction, mapping_gate, route, routes, typed_record
-from tablesync.operators.mapping import PRESENT, conform, map_records, surrogate_key
+from tablesync.operators.events import (
+    direction,
+    json_filter_gate,
+    mapping_gate,
+    route,
+    routes,
+    typed_record,
+)
+from tablesync.operators.mapping import ERRORS, PRESENT, conform, map_records, surrogate_key
 from tablesync.operators.match import find_targets, resolve_operation
 from tablesync.profiles import A2B, B2A, MappingSpec, profile_of, sides
 from tablesync.session import stage, stage_all
@@ -73,9 +83,50 @@ class Side:
 
 @dataclass
 class SyncResult:
+    """`targets` by (side, entity) are the tables after the batch; `tables` names the same ones
+    by (mapping, direction)."""
+
     ledger: DataFrame
     writes: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     tables: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
+    targets: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
+
+
+def one_per_event(events: DataFrame, *first: Column) -> DataFrame:
+    """One row per event id, the first by `first`, then in the order of the columns (time, ...),
+    and how many there were in `deliveries`."""
+    rest = [c for c in events.columns if c not in ("event_id", "us")]
+    order = [c.alias(f"_first{n}") for n, c in enumerate(first)]
+    row = F.min(F.struct(*order, "us", *rest)).alias("_e")
+    picked = events.where("event_id is not null").groupBy("event_id").agg(
+        row, F.count(F.lit(1)).alias("deliveries")
+    )
+    return picked.select("event_id", "_e.us", *[f"_e.{c}" for c in rest], "deliveries")
+
+
+def _outcome(rows: DataFrame, status: str, reason: Column) -> DataFrame:
+    """Ledger rows of events that reach no target."""
+    return rows.select(
+        "event_id", "source", "entity", "record_id", "direction", "operation",
+        F.lit(status).alias("status"), reason.alias("reason"),
+        F.lit(None).cast("string").alias("target_id"),
+        F.array().cast("array<string>").alias("conflict_fields"),
+    )
+
+
+def repeated(gate: DataFrame, unique: DataFrame) -> DataFrame:
+    """Ledger rows of the deliveries that `one_per_event` left out."""
+    again = unique.where("deliveries > 1").select("event_id", "deliveries")
+    rows = gate.join(again, "event_id").withColumn(
+        "_nth", F.explode(F.sequence(F.lit(2).cast("long"), F.col("deliveries")))
+    )
+    return _outcome(rows, "skipped", F.lit(REASONS["duplicate"]))
+
+
+def nameless(events: DataFrame) -> DataFrame:
+    """Ledger rows of events without an id: they cannot be told apart, so none is applied."""
+    rows = events.where("event_id is null").withColumn("direction", F.lit(None).cast("string"))
+    return _outcome(rows, "error", F.lit("no_event_id"))
 
 
 def with_identity(events: DataFrame, data: str, entity: str) -> DataFrame:
@@ -94,6 +145,11 @@ def admitted(events: DataFrame, specs: Sequence[MappingSpec], *extra: str) -> Da
         "kind", F.coalesce("a_type", "entity")
     )
     way = direction(F.col("source"), F.col("a_type"), F.col("b_table"), F.col("original_source"))
+    filtered = F.lit(None).cast("string")
+    for spec in specs:
+        if spec.filters:
+            mine = json_filter_gate(spec.filters, F.col("data"), F.col("operation"))
+            filtered = F.when(F.col("mapping") == spec.name, mine).otherwise(filtered)
     return with_identity(routed, "data", "kind").select(
         "event_id",
         "source",
@@ -107,6 +163,7 @@ def admitted(events: DataFrame, specs: Sequence[MappingSpec], *extra: str) -> Da
             F.col("reason"),
             mapping_gate(way, F.col("enabled"), F.col("allowed")),
             F.when(way.isNull(), "direction_not_allowed"),
+            filtered,
         ).alias("refused"),
         "identity",
         *extra,
@@ -139,9 +196,15 @@ def matched_rows(
     """Records of one route in target shape, each with the target row it belongs to."""
     src, dst = (profile_of(s) for s in sides(way))
     mine = passed.where((F.col("mapping") == spec.name) & (F.col("direction") == way))
-    rows = mine.join(events.select("event_id", "data"), "event_id")
+    own = events.where(
+        (F.col("source") == sides(way)[0]) & F.col("entity").isin(spec.a_type, spec.b_table)
+    )
+    rows = mine.join(own.select("event_id", "data"), "event_id")
     keep = ("event_id", "us", "record_id", "operation")
     rows = rows.select(*[F.col(c).alias(f"_{c}") for c in keep], "data")
+    unreadable = F.json_object_keys("data").isNull() & (F.col("_operation") != "delete")
+    rows = rows.withColumn("_malformed", unreadable)
+    keep = (*keep, "malformed")
     records = typed_record(rows, source.schema, [f"_{c}" for c in keep])
     stamp = F.col(src.modified_col) if src.modified_col in records.columns else F.lit(None)
     records = records.withColumn("_stamp", stamp.cast("string"))
@@ -153,7 +216,20 @@ def matched_rows(
             + ([dst.modified_col] if dst.modified_col in target.table.columns else [])
         )
     )
-    return find_targets(mapped, target.table, spec, way, dst.id_col, payload, salt="_event_id")
+    found = find_targets(mapped, target.table, spec, way, dst.id_col, payload, salt="_event_id")
+    # a record in error is nobody's predecessor and has no target
+    found = found.withColumn("_error", _error(F.col("_malformed"), F.col(ERRORS), F.col("_operation")))
+    broken = F.col("_error").isNotNull()
+    for name in ("match_value", "target_id", "found_id"):
+        found = found.withColumn(name, F.when(~broken, F.col(name)))
+    return found
+
+
+def _error(malformed: Column, errors: Column, op: Column) -> Column:
+    lost = (F.size(errors) > 0) & (op != "delete")
+    return F.when(malformed, "malformed_record").when(
+        lost, F.concat(F.lit("unreadable_values: "), F.array_join(errors, "; "))
+    )
 
 
 def decide(
@@ -184,20 +260,24 @@ def decide(
         is_delete,
         F.when(F.col("match_value").isNull(), no_key).when(~F.col("was_there"), "record_not_found"),
     ).when(clash, why)
+    broken = F.col("_error").isNotNull()
     new_key = surrogate_key(spec.a_type, F.coalesce("match_value", "_record_id"))
     key = F.coalesce(F.when(is_delete, F.col("found_id")).otherwise(F.col("target_id")), new_key)
     return (
-        checked.withColumn("_status", F.when(clash, status).otherwise("success"))
-        .withColumn("_reason", reason)
-        .withColumn("_key", key)
+        checked.withColumn(
+            "_status", F.when(broken, "error").when(clash, status).otherwise("success")
+        )
+        .withColumn("_reason", F.coalesce("_error", reason))
+        .withColumn("_key", F.when(~broken, key))
+        .withColumn("resolved", F.when(broken, F.col("_operation")).otherwise(F.col("resolved")))
     )
 
 
-def merged(decided: DataFrame, spec: MappingSpec, way: str, target: DataFrame) -> DataFrame:
-    """The target table after the successful writes of one route."""
+def written(decided: DataFrame, spec: MappingSpec, way: str, target: DataFrame) -> DataFrame:
+    """The successful writes of one route, as changes of its target."""
     id_col = profile_of(sides(way)[1]).id_col
     columns = [c for c in spec_columns(decided, spec, way) if c in target.columns and c != id_col]
-    changes = decided.where(
+    return decided.where(
         (F.col("_status") == "success")
         & F.coalesce(F.col("_reason") != "record_not_found", F.lit(True))
         & ~((F.col("resolved") == "delete") & F.col("match_value").isNull())
@@ -209,8 +289,14 @@ def merged(decided: DataFrame, spec: MappingSpec, way: str, target: DataFrame) -
         *columns,
         F.array_except(PRESENT, F.array(F.lit(id_col))).alias(PRESENT),
     )
-    net = net_changes(changes, id_col, columns=columns)
-    return apply_changes(target, net, id_col)
+
+
+def merged(changes: Sequence[DataFrame], target: DataFrame, id_col: str) -> DataFrame:
+    """The target table after the writes of all routes that lead to it."""
+    all_changes = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), changes)
+    skip = {id_col, "us", "event_id", OP, PRESENT}
+    columns = [c for c in target.columns if c in all_changes.columns and c not in skip]
+    return apply_changes(target, net_changes(all_changes, id_col, columns=columns), id_col)
 
 
 def spec_columns(decided: DataFrame, spec: MappingSpec, way: str) -> list[str]:
@@ -234,8 +320,11 @@ def sync_batch(
     before the batch; a mapping with a side missing is left to the ledger as refused.
     """
     usable = usable_specs(specs, a_sides, b_sides)
-    passed = stage(gated(events, usable, window_ms), "gated")
-    return settle(events, passed, usable, a_sides, b_sides, merge=merge)
+    unique = stage(one_per_event(events), "events")
+    passed = stage(gated(unique, usable, window_ms), "gated")
+    result = settle(unique, passed, usable, a_sides, b_sides, merge=merge)
+    result.ledger = result.ledger.unionByName(repeated(passed, unique)).unionByName(nameless(events))
+    return result
 
 
 def usable_specs(specs, a_sides: Mapping[str, Side], b_sides: Mapping[str, Side]):
@@ -252,12 +341,7 @@ def settle(
     merge: bool = False,
 ) -> SyncResult:
     """Everything after the gate, for gate rows with their reason (see `with_reason`)."""
-    skipped = gate.where("reason is not null").select(
-        "event_id", "source", "entity", "record_id", "direction", "operation",
-        F.lit("skipped").alias("status"), "reason",
-        F.lit(None).cast("string").alias("target_id"),
-        F.array().cast("array<string>").alias("conflict_fields"),
-    )
+    skipped = _outcome(gate.where("reason is not null"), "skipped", F.col("reason"))
     passed = gate.where("reason is null")
     result = SyncResult(skipped)
     parts = [skipped]
@@ -274,6 +358,9 @@ def settle(
             for n, way in ends
         }
     )
+    leads_to: dict[tuple[str, str], tuple[str, str]] = {}
+    changes: dict[tuple[str, str], list[DataFrame]] = {}
+    goals: dict[tuple[str, str], DataFrame] = {}
     for name, way in ends:
         spec, (source, target) = by_name[name], ends[name, way]
         rows = decide(found[f"matched-{way}-{name}"], spec, way)
@@ -294,7 +381,14 @@ def settle(
                 "conflict_fields",
             )
         )
-        if merge:
-            result.tables[spec.name, way] = merged(rows, spec, way, target.table)
+        side = sides(way)[1]
+        place = side, spec.a_type if side == "a" else spec.b_table
+        leads_to[spec.name, way] = place
+        changes.setdefault(place, []).append(written(rows, spec, way, target.table))
+        goals[place] = target.table
+    if merge:
+        for place, parts_of in changes.items():
+            result.targets[place] = merged(parts_of, goals[place], profile_of(place[0]).id_col)
+        result.tables = {route: result.targets[place] for route, place in leads_to.items()}
     result.ledger = reduce(DataFrame.unionByName, [p.select(*_LEDGER) for p in parts])
     return result

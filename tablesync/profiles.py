@@ -139,10 +139,37 @@ class MappingSpec:
             direction=_direction_word(conf.get("direction", "bidirectional"), prefixes),
             enabled=bool(conf.get("enabled", True)),
             filters=dict(conf.get("filters") or {}),
-            match_keys=tuple(MatchKey(**k) for k in conf.get("match_keys", ())),
+            match_keys=tuple(MatchKey(**k) for k in conf["match_keys"])
+            if "match_keys" in conf
+            else default_match_keys(conf["field_mappings"]),
         )
 
 
+# The fields that identify a record, by kind, in the order they are looked up.
+_EMAIL_COLUMNS = ("email", "personal_email", "company_email", "preferred_contact_email")
+_PHONE_COLUMNS = ("phone_number", "cell_number", "mobile_no", "mobile", "phone", "contact_number")
+_SUBJECT_COLUMNS = ("subject", "task_name", "title", "name")
+_TEXT_COLUMNS = ("description", "page_content")
+
+
+def default_match_keys(fields_a2b: Mapping[str, str]) -> tuple[MatchKey, ...]:
+    """How records are matched if a mapping file says nothing: persons by email, then phone;
+    everything else by its subject, with the long text as a check."""
+
+    def pair(names: tuple[str, ...]) -> tuple[str, str] | None:
+        """The first mapped pair of which both, else one, is among the names."""
+        both = [(a, b) for a, b in fields_a2b.items() if a in names and b in names]
+        one = [(a, b) for a, b in fields_a2b.items() if a in names or b in names]
+        return next(iter([*both, *one]), None)
+
+    email, phone = pair(_EMAIL_COLUMNS), pair(_PHONE_COLUMNS)
+    keys = [MatchKey(kind, p[1], p[0]) for kind, p in (("email", email), ("phone", phone)) if p]
+    subject, text = pair(_SUBJECT_COLUMNS), pair(_TEXT_COLUMNS)
+    if not keys and subject:
+        keys = [MatchKey("subject", subject[1], subject[0], *(reversed(text) if text else ()))]
+    return tuple(keys)
+
+
 def _organization_rules(rules: Mapping[str, Any]) -> dict[str, Any]:
     """`organization_id` is special in that layout: its default fills only a missing value,
     and its value map feeds `company`."""
