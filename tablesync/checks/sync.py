@@ -1,5 +1,7 @@
 """Matching, conflicts, merges and whole sync batches."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from tablesync import presets
@@ -11,7 +13,7 @@ from tablesync.operators import conflict as cf
 from tablesync.operators import mapping as m
 from tablesync.operators import match
 from tablesync.plans.sync_batch import Side, SyncResult, sync_batch as run_batch
-from tablesync.profiles import A2B, B2A
+from tablesync.profiles import A2B, B2A, MappingSpec
 from tablesync.session import stage
 
 A_PERSON = (
@@ -38,9 +40,9 @@ def _events(t: Tables):
     return stage(t("landed_events").withColumn("us", micros()).drop("ts"), "landed")
 
 
-def _batch(t: Tables, merge: bool = False, specs=presets.ALL) -> SyncResult:
+def _batch(t: Tables, merge: bool = False, specs=presets.ALL, events=None) -> SyncResult:
     return run_batch(
-        _events(t),
+        _events(t) if events is None else events,
         specs,
         {"Employee": Side(A_PERSON, t("a_person")), "Task": Side(A_TASK, t("a_task"))},
         {"users": Side(B_PERSON, t("b_person")), "tasks": Side(B_TASK, t("b_task"))},
@@ -201,6 +203,77 @@ def sync_batch(t: Tables):
 
 
 
+_LEDGER_COLUMNS = """
+SELECT event_id, source, entity, record_id_ AS record_id, direction, operation, status, reason, target_id, conflict_fields
+FROM outcomes"""
+_DIRECTION = "CASE WHEN kind = 'other' OR returns THEN NULL WHEN source = 'a' THEN 'a2b' ELSE 'b2a' END"
+
+
+def _shown(result: SyncResult):
+    return result.ledger.withColumn("conflict_fields", F.array_join("conflict_fields", ","))
+
+
+@query("sync_redelivered", BATCH_SQL + f"""{_LEDGER_COLUMNS}
+UNION ALL
+SELECT event_id, source, entity, cast(user_id AS string), {_DIRECTION}, operation, 'skipped', 'duplicate_webhook', NULL, ''
+FROM r WHERE event_id % 5 = 0""")
+def sync_redelivered(t: Tables):
+    """Every fifth event is delivered twice: one is applied, the other is a duplicate."""
+    events = _events(t)
+    again = events.where("event_id % 5 = 0")
+    return _shown(_batch(t, events=events.unionByName(again)))
+
+
+# a filtered event has no success that an echo could follow
+_FILTERED = (
+    "kind = 'task' AND CASE WHEN coalesce(CASE WHEN source = 'a' THEN at_status ELSE bt_status END) IS NULL "
+    "THEN operation <> 'delete' ELSE CASE WHEN source = 'a' THEN at_status ELSE bt_status END <> 'O' END"
+)
+FILTERED_SQL = (
+    BATCH_SQL.replace("AS returns\n", f"AS returns,\n         coalesce({_FILTERED}, false) AS apart\n")
+    .replace("kind <> 'other' AND NOT returns AS may", "kind <> 'other' AND NOT returns AND NOT apart AS may")
+    .replace("AND NOT r.returns)", "AND NOT r.returns AND NOT r.apart)")
+    .replace("'table_not_configured' ELSE", "'table_not_configured' WHEN NOT returns THEN 'filtered_out' ELSE")
+    .replace("OR kind = 'other' OR returns)", "OR kind = 'other' OR returns OR apart)")
+)
+
+
+@query("sync_filtered", FILTERED_SQL + _LEDGER_COLUMNS)
+def sync_filtered(t: Tables):
+    """Tasks pass their mapping's filter or end as filtered_out."""
+    task = presets.TASK.with_(filters={"status": "O"})
+    return _shown(_batch(t, specs=(task, presets.PERSON)))
+
+
+@query("sync_malformed", BATCH_SQL.replace("FROM event_records)", "FROM event_records WHERE event_id % 7 <> 3)", 1) + f"""{_LEDGER_COLUMNS}
+UNION ALL
+SELECT event_id, source, entity, cast(user_id AS string), {_DIRECTION}, operation,
+       CASE WHEN {_DIRECTION} IS NULL THEN 'skipped' WHEN operation = 'delete' THEN 'success' ELSE 'error' END,
+       CASE WHEN kind = 'other' AND source = 'a' THEN 'doctype_not_configured' WHEN kind = 'other' THEN 'table_not_configured'
+            WHEN returns THEN 'direction_not_allowed' WHEN operation <> 'delete' THEN 'malformed_record'
+            WHEN kind = 'person' THEN 'no_email_for_lookup' ELSE 'no_task_name_for_lookup' END, NULL, ''
+FROM (SELECT *, coalesce(original_source IN ('a', 'b') AND original_source <> source, false) AS returns
+      FROM event_records WHERE event_id % 7 = 3) q""")
+def sync_malformed(t: Tables):
+    """Every seventh record breaks off: it writes nothing and ends as an error."""
+    broken = F.when(F.col("event_id") % 7 == 3, '{"name": broken').otherwise(F.col("data"))
+    return _shown(_batch(t, events=_events(t).withColumn("data", broken)))
+
+
+@query("sync_from_config", BATCH_SQL + _LEDGER_COLUMNS)
+def sync_from_config(t: Tables):
+    """The task mapping as a file gives it, without match keys: the same outcomes."""
+    spec = presets.TASK
+    conf = {
+        "a_type": spec.a_type, "b_table": spec.b_table, "field_mappings": dict(spec.fields_a2b),
+        "reverse_mappings": dict(spec.fields_b2a), "complex_mappings": dict(spec.derive_a2b),
+        "reverse_complex_mappings": dict(spec.derive_b2a), "sync_fields": list(spec.sync_fields),
+        "conflict_resolution": spec.strategy, "direction": spec.direction,
+    }
+    loaded = MappingSpec.from_dict(spec.name, json.loads(json.dumps(conf)))
+    return _shown(_batch(t, specs=(loaded, presets.PERSON)))
+
+
 @query("resolve_operation", """
 WITH dim AS (SELECT task_name, min(id) AS id FROM b_task GROUP BY task_name),
 m AS (SELECT r.*, epoch_us(ts) AS us, d.id AS target_id FROM event_records r LEFT JOIN dim d ON d.task_name = r.subject),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablesync import presets
 from tablesync.plans.sync_batch import Side, sync_batch
-from tablesync.profiles import A2B
+from tablesync.profiles import A2B, default_match_keys
 from tablesync.session import run_to_end
 from tablesync.sources.landing import quarantine, read_events, stream_events, usable
 from tablesync.streaming.gate import gate_stream
@@ -82,6 +82,69 @@ def test_batch_outcomes_and_merge(spark, tables):
     assert after["two"].status == "Open" and after["new"].status == "Closed"
 
 
+def ledger(result):
+    rows = result.ledger.collect()
+    return [(r.event_id or 0, r.operation, r.status, r.reason) for r in rows]
+
+
+def test_deliveries_of_one_event_are_applied_once(spark, tables):
+    events = [event(1, 0, "a", task("one", "Done"))] * 3 + [(None, *event(2, 5, "a", task("two", "x"))[1:])]
+    result = sync_batch(spark.createDataFrame(events, SCHEMA), [presets.TASK], *tables, merge=True)
+    again = (1, "update", "skipped", "duplicate_webhook")
+    want = [(0, "update", "error", "no_event_id"), (1, "update", "success", None), again, again]
+    assert sorted(ledger(result), key=str) == sorted(want, key=str)
+    assert result.targets["b", "tasks"].count() == 3
+
+
+def test_unreadable_records_are_errors_and_write_nothing(spark, tables):
+    bad = (1, 0, "a", "Task", "r1", "update", None, '{"name": broken')
+    typed = B_TASK.replace("status string", "status int")
+    b = tables[1]["tasks"].table.withColumn("status", F.lit(None).cast("int"))
+    events = [bad, event(2, 10**6, "a", task("one", "many")), event(3, 2 * 10**6, "a", task("two", "7"))]
+    result = sync_batch(
+        spark.createDataFrame(events, SCHEMA), [presets.TASK], tables[0], {"tasks": Side(typed, b)}, merge=True
+    )
+    got = {r.event_id: (r.status, r.reason) for r in result.ledger.collect()}
+    assert got[1] == ("error", "malformed_record")
+    assert got[2][0] == "error" and "status" in got[2][1]
+    assert got[3][0] in ("success", "skipped")
+    assert result.targets["b", "tasks"].where("task_name = 'one' and status is null").count() == 1
+
+
+def test_filters_keep_records_back(spark, tables):
+    events = [event(1, 0, "a", task("one", "Closed")), event(2, 10**6, "a", task("two", "Open", "2027-01-01 00:00:00"))]
+    spec = presets.TASK.with_(filters={"status": "Open"})
+    result = sync_batch(spark.createDataFrame(events, SCHEMA), [spec], *tables)
+    got = {r.event_id: (r.status, r.reason) for r in result.ledger.collect()}
+    assert got == {1: ("skipped", "filtered_out"), 2: ("success", None)}
+
+
+def test_mappings_of_one_target_are_merged_once(spark, tables):
+    issue = presets.TASK.with_(name="tasks_Issue", a_type="Issue")
+    rows = [event(1, 0, "a", task("new task", "Open"), "create"), event(2, 10**6, "a", task("new issue", "Open"), "create")]
+    rows[1] = (*rows[1][:3], "Issue", *rows[1][4:])
+    a_sides = {**tables[0], "Issue": tables[0]["Task"]}
+    result = sync_batch(spark.createDataFrame(rows, SCHEMA), [presets.TASK, issue], a_sides, tables[1], merge=True)
+    names = {r.task_name for r in result.targets["b", "tasks"].collect()}
+    assert names == {"one", "two", "three", "new task", "new issue"}
+
+
+def test_default_match_keys():
+    keys = default_match_keys({"subject": "task_name", "description": "page_content", "status": "status"})
+    assert keys == presets.TASK.match_keys
+    person = default_match_keys({"cell_number": "phone_number", "personal_email": "email", "status": "x"})
+    assert [(k.kind, k.a_col, k.b_col) for k in person] == [
+        ("email", "personal_email", "email"), ("phone", "cell_number", "phone_number"),
+    ]
+    assert default_match_keys({"x": "y"}) == ()
+
+
+def test_mapping_without_any_key_creates(spark, tables):
+    spec = presets.TASK.with_(match_keys=())
+    row = sync_batch(spark.createDataFrame([event(1, 0, "a", task("one", "Done"))], SCHEMA), [spec], *tables).ledger.first()
+    assert (row.operation, row.status) == ("create", "success")
+
+
 def test_manual_conflicts_wait_for_a_person(spark, tables):
     df = spark.createDataFrame([event(1, 0, "a", task("one", "Done"))], SCHEMA)
     result = sync_batch(df, [presets.TASK.with_(strategy="manual")], *tables, merge=True)
