@@ -102,13 +102,21 @@ class _Chunks:
     def __init__(self, table: pa.Table, keys: tuple[str, ...], window: int, length: int):
         self.group = np.concatenate(([0], np.cumsum(_differs(table, (*keys, "chunk")))))
         self.offset = _ints(table, "us") - _ints(table, "chunk") * length
-        self.stride = length + window + 1
-        self.axis = self.offset + self.group * self.stride
         self.first = np.concatenate(([True], self.group[1:] != self.group[:-1]))
-        self.next = np.searchsorted(self.axis, self.axis + window, side="left")
-        inside = self.next < len(self.axis)
-        inside[inside] = self.group[self.next[inside]] == self.group[inside]
-        self.next = np.where(inside, self.next, -1)
+        # places instead of instants: group x places stays small however long a chunk is
+        self.places = np.unique(self.offset)
+        self.axis = self._place(self.group, self.offset)
+        self.next = self.first_at(self.group, self.offset + window)
+
+    def _place(self, group: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        return group * (len(self.places) + 1) + np.searchsorted(self.places, offset, side="left")
+
+    def first_at(self, group: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """The group's first row at or after an offset, -1 if there is none."""
+        at = np.searchsorted(self.axis, self._place(group, offset), side="left")
+        inside = at < len(self.axis)
+        inside[inside] = self.group[at[inside]] == group[inside]
+        return np.where(inside, at, -1)
 
     def chain_ends(self, entries: np.ndarray) -> np.ndarray:
         """Last accepted row of the chain that starts at each entry row."""
@@ -207,10 +215,8 @@ def _fold(keys: tuple[str, ...], window: int, length: int):
             base = _ints(events, "chunk")[firsts] * length
             begin = np.where(has, anchor + window - base, 0)
             begin = np.clip(begin, 0, length)
-            starts = np.searchsorted(c.axis, begin + c.group[firsts] * c.stride, side="left")
-            inside = starts < len(c.axis)
-            inside[inside] = c.group[starts[inside]] == c.group[firsts][inside]
-            taken = c.accepted(starts[inside])
+            starts = c.first_at(c.group[firsts], begin)
+            taken = c.accepted(starts[starts >= 0])
             if taken.any():
                 yield from events.filter(pa.array(taken)).drop_columns(["chunk"]).to_batches()
 

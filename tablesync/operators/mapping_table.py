@@ -15,6 +15,7 @@ PROFILES: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
         {"field_mappings": "{", "sync_fields": "["},
     ),
 }
+_VARIANT = {"{": "OBJECT", "[": "ARRAY"}
 _CONTAINER = {"{": "must be a dictionary", "[": "must be a list"}
 
 
@@ -27,8 +28,9 @@ def validation_errors(conf: Column, profile: str = "mapper") -> Column:
         for name in required
     ]
     for name, opening in containers.items():
-        body = F.coalesce(F.get_json_object(conf, f"$.{name}"), F.lit(""))
-        wrong = F.array_contains(keys, name) & ~body.startswith(opening)
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(conf), f"$.{name}", "variant"))
+        right = F.coalesce(kind.startswith(_VARIANT[opening]), F.lit(False))
+        wrong = F.array_contains(keys, name) & ~right
         checks.append(F.when(wrong, F.lit(f"{name} {_CONTAINER[opening]}")))
     return F.array_compact(F.array(*checks))
 

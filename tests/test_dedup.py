@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablesync.operators.dedup import gate_outcome, throttle
+from tablesync.operators.dedup import accepted_events, gate_outcome, throttle
 
 
 def sequential(events, window_us):
@@ -120,3 +120,13 @@ def test_throttle_is_idempotent(spark):
     twice = throttle(once, F.col("identity"), F.col("us"), 100)
     assert twice.where("not accepted").count() == 0
     assert once.count() > 50
+
+
+def test_long_windows_over_many_keys_do_not_overflow(spark):
+    day = 86_400_000_000
+    events = spark.range(40_000).select(
+        (F.col("id") % 20_000).alias("k"), (F.col("id") * 7 % 11 * day).alias("us"),
+        F.col("id").alias("eid"), F.lit(True).alias("may"),
+    )
+    kept = accepted_events(events, ["k"], 400 * day // 1000)
+    assert kept.count() == 20_000

@@ -230,3 +230,13 @@ def test_snapshots_commit_once_per_batch(spark, tmp_path):
     log.commit(spark.range(3), 1)
     log.commit(spark.range(4), 2)
     assert log.read().count() == 7
+
+
+def test_mapping_validation_wants_containers_not_text(spark):
+    rows = [
+        ('{"a_type": "x", "b_table": "y", "field_mappings": "{x", "sync_fields": "[y"}',),
+        ('{"a_type": "x", "b_table": "y", "field_mappings": {}, "sync_fields": []}',),
+    ]
+    df = spark.createDataFrame(rows, "conf string")
+    got = [r.e for r in df.select(mtab.validation_errors(F.col("conf"), "api").alias("e")).collect()]
+    assert [len(e) for e in got] == [2, 0]
