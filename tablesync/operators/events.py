@@ -41,16 +41,21 @@ def entity_type(declared: Column, record_name: Column) -> Column:
     return F.coalesce(non_empty(declared), guess.otherwise(DEFAULT_TYPE))
 
 
+def _parsed(landed: DataFrame, payload: str, *names: str):
+    """The rows with the named fields of their JSON, all from one reading, and how to get them."""
+    taken = [f"_json_{n}" for n in names]
+    rows = landed.select("*", F.json_tuple(payload, *names).alias(*taken))
+    return rows, lambda name: F.col(f"_json_{name}")
+
+
 def normalize_a(landed: DataFrame, payload: str = "payload") -> DataFrame:
     """Flat JSON records of side a -> events (id, source, entity, record_id, operation)."""
-    def get(key: str) -> Column:
-        return F.get_json_object(payload, f"$.{key}")
-
+    rows, get = _parsed(landed, payload, "operation", "name", "employee", "doctype", "webhook_id")
     raw = F.coalesce(get("operation"), F.lit("after_update"))
     name = F.coalesce(get("name"), get("employee"), F.lit("unknown"))
     entity = entity_type(get("doctype"), F.coalesce(get("name"), F.lit("")))
-    return landed.select(
-        "*",
+    return rows.select(
+        *landed.columns,
         F.concat_ws("_", F.lit("a"), entity, name, raw).alias("id"),
         F.lit("a").alias("source"),
         entity.alias("entity"),
@@ -68,13 +73,11 @@ def normalize_b(landed: DataFrame, payload: str = "payload") -> DataFrame:
 
     A delete may carry its row in `old_record` only.
     """
-    def get(key: str) -> Column:
-        return F.get_json_object(payload, f"$.{key}")
-
+    rows, get = _parsed(landed, payload, "type", "table", "record", "old_record", "webhook_id")
     record = F.coalesce(get("record"), get("old_record"))
     record_id = F.get_json_object(record, "$.id")
-    return landed.select(
-        "*",
+    return rows.select(
+        *landed.columns,
         F.concat_ws("_", F.lit("b"), get("table"), F.coalesce(record_id, F.lit("None")), get("type"))
         .alias("id"),
         F.lit("b").alias("source"),
