@@ -203,7 +203,7 @@ def sync_batch(t: Tables):
 
 
 
-_LEDGER_COLUMNS = """
+LEDGER_COLUMNS = """
 SELECT event_id, source, entity, record_id_ AS record_id, direction, operation, status, reason, target_id, conflict_fields
 FROM outcomes"""
 _DIRECTION = "CASE WHEN kind = 'other' OR returns THEN NULL WHEN source = 'a' THEN 'a2b' ELSE 'b2a' END"
@@ -213,7 +213,7 @@ def _shown(result: SyncResult):
     return result.ledger.withColumn("conflict_fields", F.array_join("conflict_fields", ","))
 
 
-@query("sync_redelivered", BATCH_SQL + f"""{_LEDGER_COLUMNS}
+@query("sync_redelivered", BATCH_SQL + f"""{LEDGER_COLUMNS}
 UNION ALL
 SELECT event_id, source, entity, cast(user_id AS string), {_DIRECTION}, operation, 'skipped', 'duplicate_webhook', NULL, ''
 FROM r WHERE event_id % 5 = 0""")
@@ -238,14 +238,14 @@ FILTERED_SQL = (
 )
 
 
-@query("sync_filtered", FILTERED_SQL + _LEDGER_COLUMNS)
+@query("sync_filtered", FILTERED_SQL + LEDGER_COLUMNS)
 def sync_filtered(t: Tables):
     """Tasks pass their mapping's filter or end as filtered_out."""
     task = presets.TASK.with_(filters={"status": "O"})
     return _shown(_batch(t, specs=(task, presets.PERSON)))
 
 
-@query("sync_malformed", BATCH_SQL.replace("FROM event_records)", "FROM event_records WHERE event_id % 7 <> 3)", 1) + f"""{_LEDGER_COLUMNS}
+@query("sync_malformed", BATCH_SQL.replace("FROM event_records)", "FROM event_records WHERE event_id % 7 <> 3)", 1) + f"""{LEDGER_COLUMNS}
 UNION ALL
 SELECT event_id, source, entity, cast(user_id AS string), {_DIRECTION}, operation,
        CASE WHEN {_DIRECTION} IS NULL THEN 'skipped' WHEN operation = 'delete' THEN 'success' ELSE 'error' END,
@@ -260,7 +260,7 @@ def sync_malformed(t: Tables):
     return _shown(_batch(t, events=_events(t).withColumn("data", broken)))
 
 
-@query("sync_from_config", BATCH_SQL + _LEDGER_COLUMNS)
+@query("sync_from_config", BATCH_SQL + LEDGER_COLUMNS)
 def sync_from_config(t: Tables):
     """The task mapping as a file gives it, without match keys: the same outcomes."""
     spec = presets.TASK
