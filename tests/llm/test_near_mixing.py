@@ -57,6 +57,25 @@ def test_near_copies_chains_and_odd_rows(spark, width):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
 
+def test_members_that_are_unlike_their_head_are_still_linked(spark):
+    """One large group around 80 %: many members are linked with others but not with the head."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        family = random.Random(i % 9)  # members of a family share most of their changes
+        for at in family.sample(range(100), 9):
+            words[at] = f"f{i % 9}x{at}"
+        for at in rng.sample(range(100), rng.choice([1, 3, 6])):
+            words[at] = rng.choice([f"c{at}", f"own{i}x{at}"])
+        rows.append((1000 - i, "s", " ".join(words)))
+    want = brute.near([(i, t) for i, _, t in rows], 1)
+    assert 1 < len({c for _, c in want.values()})
+    got = near.near_components(frame(spark, rows), near.Likeness(shingle=1)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_with_null_and_repeated_ids(spark):
     a, b = "p q r s t u v", "other words than those there are"
     got = near.near_components(frame(spark, [(None, "s", a), (None, "s", a), (4, "s", a), (4, "s", b), (6, "s", b), (6, "s", b)]))
