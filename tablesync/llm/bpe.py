@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import codecs
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ PIECES = (
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-_CACHED_PIECES = 200_000
+_CACHED_PIECES = 500_000
 _CACHED_BYTES = 64
 _IDS_PER_STEP = 4096
 
@@ -49,7 +50,8 @@ class Vocabulary:
         ids = {raw(t): i for t, i in model["vocab"].items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         merges = [(ids[raw(a)], ids[raw(b)], ids[raw(a + b)]) for a, b in pairs]
-        self.merges = {(a, b): (rank, made) for rank, (a, b, made) in enumerate(merges)}
+        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(merges)}
+        self.made = [made for _, _, made in merges]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
         size = max([*ids.values(), *self.special.values()]) + 1
@@ -95,22 +97,21 @@ class Encoder:
 
     def merge(self, data: bytes) -> list[int]:
         """All merges inside `data`, lowest rank first, leftmost first."""
-        merges, byte_ids = self.vocabulary.merges, self.vocabulary.byte_ids
+        rank_of, made, byte_ids = self.vocabulary.ranks.get, self.vocabulary.made, self.vocabulary.byte_ids
         ids = [byte_ids[b] for b in data]
-        while len(ids) > 1:
-            best = min((merges[p][0] for p in zip(ids, ids[1:]) if p in merges), default=None)
-            if best is None:
+        none = len(made)
+        ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                found = merges.get((ids[i], ids[i + 1])) if i < last else None
-                if found and found[0] == best:
-                    out.append(found[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            token = ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of((token, ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank_of((ids[i - 1], token), none)
         return ids
 
     def stream(self, data: bytes) -> Iterator[int]:
@@ -132,8 +133,10 @@ class Encoder:
         found = self.known.get(piece)
         if found is None:
             data = piece.encode()
-            found = np.fromiter(self.stream(data), "<u4").tobytes()
-            if len(data) <= _CACHED_BYTES:
+            if len(data) > _CACHED_BYTES:
+                found = np.fromiter(self.stream(data), "<u4").tobytes()
+            else:
+                found = array("I", self.merge(data)).tobytes()
                 if len(self.known) >= _CACHED_PIECES:
                     self.known.clear()
                 self.known[piece] = found
