@@ -43,7 +43,8 @@ def copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts:
         counted.groupBy("digest").agg(F.sum("rows").alias("n")).filter("n > 1").select("digest"), "exact-shared"
     )
     alone = counted.join(shared, "digest", "left_anti")
-    texts = stage(rows.join(shared, "digest", "left_semi").select(*_ROW, "normal"), "exact-texts")
+    # shuffled at every size: a broadcast would fit small tables only
+    texts = stage(rows.join(shared.hint("merge"), "digest", "left_semi").select(*_ROW, "normal"), "exact-texts")
     rank = F.struct(
         (-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"),
         F.col("doc_id").alias("id"), F.col("k1").alias("w1"), F.col("k2").alias("w2"),
