@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +44,9 @@ def words_of(data: bytes) -> list[bytes]:
     return data.lower().split()  # bytes: A-Z and the six white-space characters only
 
 
-def shingle_set(words: list[bytes], width: int) -> set[tuple[bytes, ...]]:
-    """Distinct runs of `width` words; of fewer words the whole sequence; of none nothing."""
-    if len(words) < width:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[i:] for i in range(width))))
-
-
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """One 64-bit hash per distinct shingle, sorted. Distinctness is decided on exact numbers
+    """One 64-bit hash per distinct run of `width` words, sorted; of fewer words one for the whole
+    sequence, of none nothing. Distinctness is decided on exact numbers
     of words and runs, not on the hashes."""
     if not words:
         return np.zeros(0, _U)
@@ -129,40 +124,175 @@ def _sketches(likeness: Likeness):
 _SKETCHED = ["doc_id", *KEY, "n_shingles", "s1", "s2", "bands"]
 
 
+_LACKING = 1 << 62  # mark of a lacking element; added ones sort first
+
+
 def _compare(likeness: Likeness):
-    """Exact test of each pair of texts."""
+    """Of each pair (a, head b): whether they are linked, and how the set of a differs from the
+    head's: how many elements are added and lacking, and which."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked, last, right = [], None, set()
-        for b, left, other in zip(batch.column("b").to_pylist(), texts(batch, "text_a"), texts(batch, "text_b")):
+        rows: list[tuple] = []
+        parts, ends, last, head = [], [0], None, np.zeros(0, _U)
+        for b, left, right in zip(batch.column("b").to_pylist(), texts(batch, "text_a"), texts(batch, "text_b")):
             if b != last:
-                last, right = b, shingle_set(words_of(other), likeness.shingle)
-            left = shingle_set(words_of(left), likeness.shingle)
-            shared = len(left & right)
-            linked.append(100 * shared >= likeness.percent * (len(left) + len(right) - shared))
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
-            pa.array(linked)
-        )
+                last, head = b, shingle_hashes(words_of(right), likeness.shingle)
+            own = shingle_hashes(words_of(left), likeness.shingle)
+            added = np.setdiff1d(own, head, assume_unique=True)
+            lacking = np.setdiff1d(head, own, assume_unique=True)
+            shared, union = len(own) - len(added), len(head) + len(added)
+            rows.append((100 * shared >= likeness.percent * union, len(head), len(added), len(lacking)))
+            parts.append((added >> _U(2)).view(np.int64))
+            parts.append((lacking >> _U(2)).view(np.int64) | _LACKING)
+            ends.append(ends[-1] + len(added) + len(lacking))
+        linked, size, added, lacking = zip(*rows)
+        columns = [
+            batch.column("a"), batch.column("b"), pa.array(linked),
+            *(pa.array(c, pa.int64()) for c in (size, added, lacking)),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=_COMPARED)
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, likeness: Likeness) -> DataFrame:
-    """The pairs (a, b) of nodes that are links. Only texts that a pair needs are moved."""
-    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    rows = nodes.join(needed.withColumnRenamed("a", "node"), "node", "left_semi").select("node", *KEY)
-    text = stage(
-        docs.join(stage(rows, "near-rows"), [*KEY]).dropDuplicates(["node"]).select("node", "text"), "near-texts"
-    )
+_COMPARED = ["a", "b", "linked", "size", "added", "lacking", "differs"]
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, likeness: Likeness) -> DataFrame:
+    """The pairs (a, b) of nodes, compared on whole texts. Only texts that a pair needs stay; the
+    table of texts is always shuffled, so the plan is the same at every size."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = nodes.join(needed, "node", "left_semi").select("node", *KEY)
+    text = stage(docs.join(rows.hint("merge"), [*KEY]).select("node", *KEY, "text").dropDuplicates(["node", *KEY]), "near-texts")
     left = text.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = text.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return stage(
-        map_batches(pairs.join(left, "a").join(right, "b"), _compare(likeness), "a long, b long"), "near-links"
+        map_batches(
+            pairs.join(left, "a").join(right, "b"),
+            _compare(likeness),
+            "a long, b long, linked boolean, size long, added long, lacking long, differs array<long>",
+        ),
+        "near-compared",
+    )
+
+
+_BLOCK = {"hopeful": 256, "partner": 1024}  # rows of either kind that meet in one group
+
+
+def _links_in_block(share: float):
+    """Links between the hopeful rows and the partners of one block; of links that join the same
+    documents only as many as connect them, so there are fewer than rows."""
+
+    def run(block: pa.Table) -> pa.Table:
+        hopeful = block.column("hopeful").to_numpy()
+        ids, need, over = (block.column(n).to_numpy() for n in ("a", "need", "over"))
+        lists = block.column("differs").combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+        begins = np.cumsum(sizes) - sizes
+        partners = np.flatnonzero(~hopeful)
+        elements = flat[np.repeat(~hopeful, sizes)]
+        holders = np.repeat(np.arange(len(partners)), sizes[partners])
+        order = np.argsort(elements, kind="stable")
+        elements, holders = elements[order], holders[order]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        links: list[tuple[int, int]] = []
+        for i in np.flatnonzero(hopeful).tolist():
+            own = flat[begins[i] : begins[i] + sizes[i]]
+            low, high = np.searchsorted(elements, own, "left"), np.searchsorted(elements, own, "right")
+            held = [holders[x:y] for x, y in zip(low.tolist(), high.tolist()) if x < y]
+            if not held:
+                continue
+            shared = np.bincount(np.concatenate(held), minlength=len(partners))
+            enough = shared >= (over[i] + need[partners]) / (1 + share) - 1e-9
+            x = int(ids[i])
+            for y in ids[partners[enough]].tolist():
+                if (left := find(x)) != (right := find(y)):
+                    root[left] = right
+                    links.append((x, y))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _linked_beside(compared: DataFrame, apart: DataFrame, likeness: Likeness) -> DataFrame:
+    """Links (a, b) between a node of `apart` (a, b: a is not connected with its head b) and
+    other members of the same head, as many as connect what is linked.
+
+    Let C be the head's set, and let two members differ from it by n and m added and k and l
+    lacking elements, of which they share s. Then they share |C| - k - l + s elements of
+    |C| + n + m - s, so they are linked if and only if s reaches a bound. As one of the two is
+    not linked with the head, the bound is more than a part of what the other differs by.
+
+    An added element that one member alone has cannot be shared: members whose other differences
+    stay below their bound leave, which are all whose changes are their own. The nodes apart
+    that are left are held against the partners left, in blocks of bounded size that are dealt
+    over all tasks; only links leave a block.
+    """
+    share = likeness.percent / 100
+    several = compared.groupBy("b").count().filter("count > 1").select("b")
+    heads = several.join(apart.select("b").distinct(), "b", "left_semi")
+    # what a member adds to the number of shared elements that a link needs, times 1 + share
+    need = F.col("lacking") + share * F.col("added")
+    members = (
+        compared.join(heads, "b", "left_semi")
+        .withColumn("need", need)
+        .withColumn("over", need - (1 - share) * F.col("size"))
+    )
+    own = (
+        members.select("b", "a", F.explode(F.slice("differs", 1, F.col("added").cast("int"))).alias("element"))
+        .groupBy("b", "element")
+        .agg(F.min("a").alias("a"), F.count("*").alias("n"))
+        .filter("n = 1")
+        .groupBy("b", "a")
+        .agg(F.count("*").alias("own"))
+    )
+    common = F.col("lacking") + F.col("added") - F.coalesce("own", F.lit(0))
+    # of a partner of a node apart; and of a node apart, whose partner may differ by little
+    least, few = (
+        F.greatest(F.ceil(x / (1 + share) - 1e-9), F.lit(1)) for x in (F.col("need"), F.col("over") + share)
+    )
+    left = stage(
+        members.join(own, ["b", "a"], "left")
+        .join(apart.withColumn("apart", F.lit(True)), ["b", "a"], "left")
+        .withColumn("partner", common >= least)
+        .withColumn("hopeful", (common >= few) & F.coalesce("apart", F.lit(False)))
+        .filter("partner or hopeful")
+        .select("b", "a", "need", "over", "differs", "partner", "hopeful"),
+        "near-left",
+    )
+    counted = left.groupBy("b").agg(*[F.sum(F.col(r).cast("long")).alias(f"{r}s") for r in _BLOCK])
+    blocks = stage(
+        counted.filter("hopefuls > 0 and partners > 0").select(
+            "b", *[F.ceil(F.col(f"{r}s") / F.lit(float(n))).alias(f"{r}_blocks") for r, n in _BLOCK.items()]
+        ),
+        "near-blocks",
     )
 
+    def dealt(role: str, other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))
+        return (
+            left.filter(role)
+            .join(blocks, "b")
+            .withColumn(f"{role}_block", F.pmod(F.xxhash64("a"), F.col(f"{role}_blocks")))
+            .withColumn(f"{other}_block", every)
+            .select(
+                "b", "hopeful_block", "partner_block", "a", "need", "over", "differs",
+                F.lit(role == "hopeful").alias("hopeful"),
+            )
+        )
 
-def _alike_in_size(x: str, y: str, percent: int):
-    return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
+    met = dealt("hopeful", "partner").unionByName(dealt("partner", "hopeful"))
+    links = met.groupBy("b", "hopeful_block", "partner_block").applyInArrow(_links_in_block(share), "a long, b long")
+    return links.distinct()
 
 
 def near_components(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFrame:
@@ -170,12 +300,10 @@ def near_components(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
     row's hashes k1, k2.
 
     Rows with equal shingle sets are one class, and all later work is on one row per class.
-    A bucket (band key) of two or more classes has a head, first the smallest id in it, then
-    the largest; each member is tested against the heads of its buckets, on whole texts. That
-    is linear in the size of a bucket. Members that are by then not connected with their
-    bucket's head are tested against all members of the bucket they are not yet connected
-    with, so no link that a bucket holds is lost for the components; in a bucket of true near
-    copies next to none are left.
+    A bucket (band key) of two or more classes has a head, the smallest id in it. Each member is
+    compared with the heads of its buckets on whole texts, which is linear in the size of a
+    bucket. Members that are then not connected with a head are looked up among the head's
+    other members by what they share against it, so no link inside a bucket is lost.
 
     Null doc_id: the row is linked with nothing, its component_id is null and it is kept.
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with one
@@ -191,48 +319,33 @@ def near_components(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
         "near-sketches",
     )
     shingled = rows.filter("doc_id is not null and n_shingles > 0")
-    classes = stage(
-        shingled.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size")),
-        "near-classes",
-    )
-    members = rows.select("doc_id", "s1", "s2", *KEY).join(classes, ["s1", "s2"])
     nodes = stage(
-        shingled.join(classes.select("s1", "s2", "size", F.col("node").alias("doc_id")), ["s1", "s2", "doc_id"])
-        .select(F.col("doc_id").alias("node"), "size", *KEY, "bands")
-        .dropDuplicates(["node"]),
+        shingled.groupBy("s1", "s2")
+        .agg(F.min(F.struct("doc_id", *KEY)).alias("head"), F.first("bands").alias("bands"))
+        .select("s1", "s2", F.col("head.doc_id").alias("node"), *[f"head.{k}" for k in KEY], "bands"),
         "near-nodes",
     )
-    buckets = nodes.select(F.explode("bands").alias("bucket"), "node", "size")
+    buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
     heads = stage(
         buckets.groupBy("bucket")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("held"))
-        .filter("held > 1"),
+        .agg(F.min("node").alias("low"), F.count("*").alias("held"))
+        .filter("held > 1")
+        .drop("held"),
         "near-heads",
     )
-    seats = stage(buckets.join(heads, "bucket"), "near-seats")
-    sizes = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"))
-    head = F.explode(F.array("low", "high")).alias("b")
-    tested = (
-        seats.select(F.col("node").alias("a"), "size", head)
-        .filter("a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    tested = stage(
-        tested.join(sizes.select(F.col("b").alias("a"), F.col("size_b").alias("size_a")), "a")
-        .join(sizes, "b")
-        .filter(_alike_in_size("size_a", "size_b", likeness.percent))
-        .select("a", "b"),
+    pairs = stage(
+        buckets.join(heads, "bucket")
+        .filter("node <> low")
+        .select(F.col("node").alias("a"), F.col("low").alias("b"))
+        .distinct(),
         "near-pairs",
     )
-    texts_of = packed.select(*KEY, "text")
-    links = _verified(tested, texts_of, nodes, likeness)
-    same_id = members.select("doc_id", "node").distinct()
-    lowest = same_id.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    lowest = stage(lowest.filter("low < high"), "near-repeated")
-    repeated = same_id.join(lowest, "doc_id").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    links = links.unionByName(repeated.filter("a <> b"))
-    roots = components(links)
+    compared = _compared(pairs, packed.select(*KEY, "text"), nodes, likeness)
+    members = rows.select("doc_id", "s1", "s2").join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
+    of_id = members.filter("doc_id is not null").groupBy("doc_id")
+    repeated = of_id.agg(F.min("node").alias("low"), F.max("node").alias("high"), F.collect_set("node").alias("all"))
+    repeated = repeated.filter("low < high").select(F.explode("all").alias("a"), F.col("low").alias("b"))
+    roots = components(compared.filter("linked").select("a", "b").unionByName(repeated))
 
     def rooted(frame: DataFrame, column: str) -> DataFrame:
         found = roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
@@ -240,35 +353,17 @@ def near_components(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
             f"{column}_root", F.coalesce(f"{column}_root", column)
         )
 
-    seated = rooted(rooted(seats.filter("held > 2"), "node"), "low")
-    seated = stage(seated.withColumn("apart", F.col("node_root") != F.col("low_root")), "near-seated")
-    apart = seated.filter("apart").select(
-        "bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("node_root").alias("root_a")
-    )
-    open_buckets = stage(apart.groupBy("bucket").agg(F.count("*").alias("open")), "near-open")
-    others = seated.join(open_buckets, "bucket").select(
-        "bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("node_root").alias("root_b")
-    )
-    rest = (
-        apart.join(others, "bucket")
-        .filter(F.col("root_a") != F.col("root_b"))
-        .filter(_alike_in_size("size_a", "size_b", likeness.percent))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    rest = stage(rest.join(tested, ["a", "b"], "left_anti"), "near-rest")
-    if rest.head(1):
-        more = _verified(rest, texts_of, nodes, likeness)
-        closer = components(
-            roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-        )
-        roots = closer
-    component = rooted(classes.select("s1", "s2", "node"), "node").select(
-        "s1", "s2", F.col("node_root").alias("component")
-    )
+    apart = rooted(rooted(compared.filter("not linked").select("a", "b"), "a"), "b")
+    apart = stage(apart.filter("a_root <> b_root").select("a", "b"), "near-apart")
+    beside = stage(_linked_beside(compared, apart, likeness), "near-beside")
+    if beside.head(1):
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(known.unionByName(beside))
+    component = rooted(nodes.select("s1", "s2", "node"), "node")
+    component = stage(component.select("s1", "s2", F.col("node_root").alias("component")), "near-components")
     return (
         rows.drop("bands")
-        .join(stage(component, "near-components"), ["s1", "s2"], "left")
+        .join(component, ["s1", "s2"], "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
         .select("doc_id", "n_shingles", "component_id", "kept", *KEY)
