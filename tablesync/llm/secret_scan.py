@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,14 @@ ASSIGN = (
     r"|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# Runs of one class are maximal matches, so a least length inside the pattern finds the same.
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
 _SYMBOL = "A-Za-z0-9+/_=-"
-_TOKEN = rf"[{_SYMBOL}]+"
+# Every text with an `assign` match has one of these, lower-cased.
+_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _CODES = 128  # all symbols are ASCII; code 0 stands before a token's first
 _BLOCK = 256
 _START = chr(1)
@@ -62,13 +65,12 @@ def _running_sum(lengths: Column) -> Column:
     return F.flatten(shifted)
 
 
-def find(text: Column, pattern: str, kind: int, min_chars: int, group: int = 0, first: str | None = None) -> Column:
+def find(text: Column, pattern: str, kind: int, where: Column, group: int = 0, min_chars: int = 1) -> Column:
     """Matches of a pattern, leftmost and non-overlapping, whose `group` has `min_chars`:
     array<struct<start, kind, end, token>> in code points.
 
     The matches and the text between them, laid end to end, are the text, so sums of their
-    lengths are the positions. `first` is a cheaper pattern that every text with such a match
-    satisfies; other texts are not cut at all.
+    lengths are the positions. `where` holds for every text with a match; others are not cut.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
@@ -86,7 +88,7 @@ def find(text: Column, pattern: str, kind: int, min_chars: int, group: int = 0,
     )
     long = F.filter(spans, lambda s: F.char_length(s["token"]) >= min_chars)
     none = F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>")
-    return F.when(text.rlike(first or pattern), long).otherwise(none)
+    return F.when(where, long).otherwise(none)
 
 
 def _pairs(token: Column) -> Column:
@@ -163,15 +165,23 @@ def scan(docs: DataFrame, ratio: list[float], suspicion: Suspicion = Suspicion()
     a shuffle; only texts with a match are cut. Null text reads as empty. Empty table: no rows.
     """
     rows = pack(docs, "doc_id", "text").select("doc_id", *KEY, F.coalesce("text", F.lit("")).alias("text"))
-    text = F.col("text")
-    based = rows.select(
+    text, token = F.col("text"), rf"[{_SYMBOL}]{{{suspicion.min_chars},}}"
+    lowered = F.col("lowered")
+    flagged = rows.withColumn("lowered", F.lower("text")).select(
+        "doc_id", *KEY, "text",
+        reduce(Column.__or__, [lowered.contains(w) for w in _WORDS]).alias("worded"),
+        text.rlike(token).alias("long"),
+    )
+    # an access or hex match is a token of 20 symbols or more, or part of one
+    coded = F.col("long") if suspicion.min_chars <= 20 else F.lit(True)
+    based = flagged.select(
         "doc_id", *KEY,
         F.concat(
-            find(text, ASSIGN, 0, 6, group=2),
-            find(text, ACCESS, 1, 20, first=r"AKIA[A-Z0-9]{16}"),
-            find(text, HEX, 2, 24, first=r"[0-9a-f]{24}"),
+            find(text, ASSIGN, 0, F.col("worded"), group=2, min_chars=6),
+            find(text, ACCESS, 1, coded & text.contains("AKIA")),
+            find(text, HEX, 2, coded & text.rlike(HEX)),
         ).alias("base"),
-        find(text, _TOKEN, 3, suspicion.min_chars, first=rf"[{_SYMBOL}]{{{suspicion.min_chars}}}").alias("tokens"),
+        find(text, token, 3, F.col("long")).alias("tokens"),
     )
     added = F.filter(
         "tokens",
