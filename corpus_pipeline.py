@@ -16,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Boilerplate lines go from every text, and documents that the rules reject go."""
     prepare(spark)
     return quality.keep_good(docs)
 

@@ -59,7 +59,7 @@ def unpack(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType
 ) -> DataFrame:
     """fn over each Arrow batch."""
 

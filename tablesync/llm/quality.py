@@ -1,5 +1,5 @@
 """Quality rules: lines that many documents of a host share are removed, and a document that
-is left with too little goes."""
+is left with too little goes. `judge` gives the figures, `keep_good` the cleaned documents."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablesync.llm.common import KEY, WHITE, code_points, map_batches, pack, texts, unpack
+from tablesync.llm.common import KEY, WHITE, code_points, map_batches, pack, texts
 from tablesync.session import stage
 
 WINDOW = 8
@@ -55,6 +56,14 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
+def _line_key(parts: list[bytes]) -> bytes:
+    return b" ".join(parts).lower()
+
+
+def _line_hash(key: bytes, host: int) -> int:
+    return xxhash.xxh3_64_intdigest(key, host & _SEED_MASK)
+
+
 def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     figures: list[tuple[int, ...]] = []
     hashes, sizes, ends = [], [], [0]
@@ -69,10 +78,10 @@ def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
             if parts:
                 again += line in seen
                 seen.add(line)
-                weight[b" ".join(parts).lower()] += len(parts)
+                weight[_line_key(parts)] += len(parts)
         symbols = len(data) - len(data.translate(None, _SYMBOLS))
         figures.append((len(words), code_points(data) - white, symbols, again, repeated_words(words)))
-        hashes += [xxhash.xxh3_64_intdigest(k, host & _SEED_MASK) for k in weight]
+        hashes += [_line_hash(k, host) for k in weight]
         sizes += weight.values()
         ends.append(len(hashes))
     lines = pa.ListArray.from_arrays(
@@ -95,7 +104,7 @@ _NAMES = [
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per row of `docs` (doc_id, source, text): its figures, `base_failed` and `kept`,
-    with the row's hashes k1 and k2.
+    with the row's hashes k1 and k2. The texts without boilerplate come from `keep_good`.
 
     Each text is read once; its figures and the hashes of its lines (64 bits, seeded with the
     host) are written, and all else works on those. Documents of a host are counted per line
@@ -107,6 +116,11 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Null text: no words, base_failed. Null source: a host of its own. Equal rows count as one
     document and get equal results. Empty table: no rows.
     """
+    return _judged(docs, limits).drop("removed_lines")
+
+
+def _judged(docs: DataFrame, limits: Limits) -> DataFrame:
+    """`judge` and the hashes of each row's boilerplate lines (removed_lines, null if it has none)."""
     packed = pack(docs, "doc_id", "source", "text").select(
         "doc_id", *KEY, "text",
         F.xxhash64("source").alias("host"), F.xxhash64("text").alias("content"),
@@ -139,7 +153,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         .join(common, ["line", "host"])
         .dropDuplicates([*KEY, "line"])
         .groupBy(*KEY)
-        .agg(F.sum("words").alias("removed"))
+        .agg(F.sum("words").alias("removed"), F.collect_list("line").alias("removed_lines"))
     )
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed")
@@ -158,8 +172,31 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
+def _without_lines(text_at: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.schema.get_field_index(f"c{text_at}")
+        hosts, lost = (batch.column(n).to_pylist() for n in ("host", "removed_lines"))
+        kept: list[bytes | None] = []
+        for data, whole, host, gone in zip(texts(batch, f"c{text_at}"), batch.column(at).is_valid(), hosts, lost):
+            if gone:
+                held = {h & _SEED_MASK for h in gone}
+                lines = ((line, line.split()) for line in data.split(b"\n"))
+                data = b"\n".join(x for x, parts in lines if not parts or _line_hash(_line_key(parts), host) not in held)
+            kept.append(data if whole.as_py() else None)
+        out = list(batch.columns[:-2])
+        out[at] = pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(out[at].type)
+        return pa.RecordBatch.from_arrays(out, names=batch.schema.names[:-2])
+
+    return run
+
+
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of `docs` whose verdict is kept, with all their columns."""
-    verdicts = judge(docs, limits).filter("kept").select(*KEY).dropDuplicates()
-    kept = pack(docs, "doc_id").select(*KEY, "_row").join(verdicts, [*KEY], "left_semi")
-    return unpack(kept, docs.columns)
+    """The rows of `docs` whose verdict is kept, with all their columns; their texts are without
+    the lines that are boilerplate of their host. All other lines stay as they are, blank ones
+    too. Equal rows stay as many as they were."""
+    names = docs.columns
+    verdicts = _judged(docs, limits).filter("kept").groupBy(*KEY).agg(F.any_value("removed_lines").alias("removed_lines"))
+    packed = pack(docs, "doc_id", "source", "text").select(*KEY, "_row", F.xxhash64("source").alias("host"))
+    flat = packed.join(verdicts, [*KEY]).select("_row.*", "host", "removed_lines")
+    cleaned = map_batches(flat, _without_lines(names.index("text")), T.StructType(flat.schema.fields[:-2]))
+    return cleaned.toDF(*names)

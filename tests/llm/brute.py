@@ -70,6 +70,28 @@ def boilerplate(docs, min_docs, max_share):
     return out
 
 
+def without_boilerplate(docs, min_docs, max_share):
+    """docs: (doc_id, source, text) -> the same without the lines that `boilerplate` counts."""
+    held, hosts = defaultdict(set), defaultdict(set)
+
+    def key(line):
+        return " ".join(WORD.findall(line)).translate(UPPER)
+
+    for _, source, text in docs:
+        hosts[source].add(text)
+        for line in (text or "").split("\n"):
+            held[source, key(line)].add(text)
+
+    def stays(source, line):
+        n = len(held[source, key(line)])
+        return not key(line) or n <= min_docs or n <= max_share * len(hosts[source])
+
+    return [
+        (i, source, text and "\n".join(x for x in text.split("\n") if stays(source, x)))
+        for i, source, text in docs
+    ]
+
+
 def shingles(text, width):
     words = WORD.findall((text or "").translate(UPPER))
     if len(words) < width:

@@ -48,6 +48,12 @@ def test_quality_stage(kept):
     assert {r.doc_id for r in kept[1]} == want
 
 
+def test_quality_stage_gives_cleaned_texts(kept):
+    rows = [(r.doc_id, r.source, r.text) for r in kept[0]]
+    want = {i: t for i, _, t in brute.without_boilerplate(rows, 20, 0.10)}
+    assert all(r.text == want[r.doc_id] for r in kept[1])
+
+
 def test_line_stage(kept):
     want = brute.line_dedup([(r.doc_id, r.text) for r in kept[1]])
     assert {r.doc_id: brute.sha(r.text) for r in kept[2]} == {i: v[2] for i, v in want.items()}

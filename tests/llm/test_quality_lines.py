@@ -52,6 +52,20 @@ def test_boilerplate_is_counted_per_host_and_depleted_documents_go(spark):
     assert kept.count() == len(rows) - 5
 
 
+def test_kept_texts_are_without_boilerplate(spark):
+    body = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    rows = [(i, "a", f" Home  \tABOUT\n\n{body[i]}\nhome about \n \nown {i}\n") for i in range(30)]
+    rows += [(i, "a", rows[0][2]) for i in (0, 0)]  # equal rows stay as many as they were
+    rows += [(100, "b", rows[1][2]), (101, None, rows[2][2])]  # rare on these hosts
+    rows += [(200 + i, None, f"Ünï\u00a0menu\n{body[i]}" + "\nÜNÏ\u00a0MENU" * (i == 0)) for i in range(15)]
+    limits = quality.Limits(min_docs=10, max_share=0.1)
+    got = [(r.doc_id, r.source, r.text) for r in quality.keep_good(frame(spark, rows), limits).collect()]
+    assert sorted(got, key=repr) == sorted(brute.without_boilerplate(rows, 10, 0.1), key=repr)
+    texts = {i: t for i, _, t in got}
+    assert texts[3] == f"\n{body[3]}\n \nown 3\n" and texts[100] == rows[1][2]
+    assert texts[200] == f"{body[0]}\nÜNÏ\u00a0MENU"  # only A-Z are lower-cased
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_lines_on_odd_rows_and_hot_lines(spark, parts):
     rows = [*ODD, *((100 + i, "h", f"Hot line\nown {i}\n{'twice' if i < 9 else 'ten'}\nhot LINE \ntail {i}\n") for i in range(60))]
