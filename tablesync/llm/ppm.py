@@ -1,16 +1,21 @@
 """Language identification by prediction by partial matching: one byte context tree per
-language, whose frozen statistics give every text an exact code length."""
+language, whose frozen statistics give every text an exact code length. Languages beyond one
+model's width go into further models, and the shortest code over all of them counts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesync.llm.common import KEY, map_batches, pack, texts
+from tablesync.session import stage
 
 UNKNOWN = "und"
 _PIECE = 1 << 18  # bytes scored at a time
@@ -19,12 +24,12 @@ _PIECE = 1 << 18  # bytes scored at a time
 @dataclass(frozen=True)
 class Training:
     """Contexts of up to `order` bytes. Of each language at most `most_docs` documents are
-    learnt from, picked by the hashes of the rows, and of the languages at most
-    `most_languages`, those with the most documents."""
+    learnt from, picked by the hashes of the rows. Every language is learnt; one model holds
+    `languages_a_model` of them, so that its tables stay of bounded width."""
 
     order: int = 3
     most_docs: int = 400
-    most_languages: int = 64
+    languages_a_model: int = 64
 
 
 def _count_grams(order: int):
@@ -160,18 +165,30 @@ def build(counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]) -> Model:
     return Model(langs, symbol, child, cost, escape)
 
 
-def train(labelled: DataFrame, training: Training = Training()) -> Model:
+def train(labelled: DataFrame, training: Training = Training()) -> Model | Iterator[Model]:
     """labelled (text, lang) -> the model. Rows without text or language teach nothing.
 
-    The counts are summed on Spark; what comes to the driver is bounded by the sample's size."""
+    If there are more languages than one model holds: the models that together hold all of
+    them, for `identify` to read once. Each is built when it is asked for, from a pass of its
+    own over the labelled rows, so the driver holds one at a time."""
     rows = pack(labelled, "lang", "text").filter("lang is not null and text is not null and text <> ''")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(training.most_languages)
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    held = [(r.lang, r["count"]) for r in sizes.collect()]
+    step = training.languages_a_model
+    if len(held) <= step:
+        return build(_counts(rows, dict(held), training))
+    return (build(_counts(rows, dict(held[i : i + step]), training)) for i in range(0, len(held), step))
+
+
+def _counts(
+    rows: DataFrame, sizes: dict[str, int], training: Training
+) -> dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """What `build` takes, of the languages in `sizes`. The counts are summed on Spark; what comes
+    to the driver is bounded by the sample's size."""
+    if not sizes:
+        return {}
     # hashes below a language's limit: about twice as many as are wanted, so that no task ranks more
-    below = {
-        r.lang: int(min(1.0, 2 * (training.most_docs + 50) / r["count"]) * (1 << 32)) for r in sizes.collect()
-    }
-    if not below:
-        return build({})
+    below = {x: int(min(1.0, 2 * (training.most_docs + 50) / n) * (1 << 32)) for x, n in sizes.items()}
     limits = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
     first = Window.partitionBy("lang").orderBy("k1", "k2")
     sample = (
@@ -189,38 +206,93 @@ def train(labelled: DataFrame, training: Training = Training()) -> Model:
         for w in range(1, training.order + 2):
             at = order[(lang[order] == name) & (width[order] == w)]
             counts.setdefault(name, {})[w] = (gram[at], n[at])
-    return build(counts)
+    return counts
 
 
 def _predict(shared):
+    """Per row: the language with the shortest code, that code's bits, and how likely all languages
+    are together, with that one as the unit."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model: Model = shared.value
-        found, scores = [], []
+        found, shortest, weights = [], [], []
         for data, lettered in zip(texts(batch, "text"), batch.column("lettered").to_pylist()):
             if not lettered:
                 found.append(UNKNOWN)
-                scores.append(0.0)
+                shortest.append(0.0)
+                weights.append(None)
                 continue
             bits = model.bits(np.frombuffer(data, np.uint8))
             best = int(bits.argmin())
             found.append(model.langs[best])
-            scores.append(float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()))
-        columns = [*batch.columns[:-2], pa.array(found, pa.string()), pa.array(scores, pa.float64())]
-        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], "lang_pred", "score"])
+            shortest.append(float(bits[best]))
+            weights.append(float(np.exp2(np.maximum(bits[best] - bits, _LEAST)).sum()))
+        columns = [
+            *batch.columns[:-2], pa.array(found, pa.string()),
+            pa.array(shortest, pa.float64()), pa.array(weights, pa.float64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], "lang_pred", "bits", "weight"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+_LEAST = -1000.0  # log2 of the least ratio of probabilities told from 0
+
+
+def _shortest(parts: Sequence[DataFrame]) -> DataFrame:
+    """The predictions of several models as one: a row's shortest code counts, and the weights are
+    added in its unit. Equal rows have equal predictions and are counted, so a row that a table
+    holds many times is combined in the tasks."""
+    counted = [
+        part.groupBy("doc_id", *KEY)
+        .agg(F.count("*").alias("rows"), *[F.any_value(c).alias(c) for c in ("bits", "lang_pred", "weight")])
+        .withColumn("model", F.lit(n))
+        for n, part in enumerate(parts)
+    ]
+    best = F.struct("bits", "lang_pred")
+    met = reduce(DataFrame.unionByName, counted).groupBy("doc_id", *KEY).agg(
+        F.max("rows").alias("rows"),
+        F.min(best).alias("best"),
+        F.collect_list(F.struct("model", "bits", "weight")).alias("parts"),
+    )
+    total = F.aggregate(
+        F.array_sort("parts"),
+        F.lit(0.0),
+        lambda sum_, p: sum_ + p.weight * F.pow(F.lit(2.0), F.greatest(F.col("best.bits") - p.bits, F.lit(_LEAST))),
+    )
+    return met.select(
+        "doc_id", *KEY, F.col("best.lang_pred").alias("lang_pred"), total.alias("weight"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))),
+    ).drop("col")
+
+
+def identify(docs: DataFrame, model: Model | Iterator[Model]) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, k1, k2, lang_pred and score.
 
     Every byte of a text counts. lang_pred is the language with the shortest code, the first
     by name among equals; score is its probability if all languages were equally likely before.
+    Of several models each scores the texts in a pass of its own, so that a task holds one at a
+    time; what is combined are rows without text.
     A text that is null or has no letter, or a model without languages, gives `und` and 0.
     Equal rows get equal results. Empty table: no rows.
     """
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.langs))
-    rows = pack(docs, "doc_id", "text").select("doc_id", *KEY, "text", lettered.alias("lettered"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, k1 long, k2 long, lang_pred string, score double"
-    return map_batches(rows, _predict(shared), schema)
+    packed = pack(docs, "doc_id", "text")
+    context = docs.sparkSession.sparkContext
+
+    def scored(of: Model) -> tuple[DataFrame, Broadcast]:
+        lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(of.langs))
+        rows = packed.select("doc_id", *KEY, "text", lettered.alias("lettered"))
+        shared = context.broadcast(of)
+        schema = "doc_id long, k1 long, k2 long, lang_pred string, bits double, weight double"
+        return map_batches(rows, _predict(shared), schema), shared
+
+    if isinstance(model, Model):
+        found, _ = scored(model)
+    else:
+        parts = []
+        for part, shared in map(scored, model):
+            parts.append(stage(part, "language-codes"))
+            shared.destroy()
+        found = _shortest(parts)
+    score = F.coalesce(1 / F.col("weight"), F.lit(0.0))
+    return found.select("doc_id", *KEY, "lang_pred", score.alias("score"))

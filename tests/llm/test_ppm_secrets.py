@@ -56,6 +56,29 @@ def test_code_lengths_are_exact(spark, monkeypatch, piece):
         assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_every_language_is_learnt_and_models_agree_with_one_wide_model(spark):
+    """66 languages, two more than one model holds; the last ones are the rarest."""
+    rng = random.Random(3)
+    letters = {f"l{n:02}": [chr(0x4E00 + 7 * n + i) for i in range(5)] for n in range(66)}
+    made = {lang: ["".join(rng.choices(own, k=60)) for _ in range(3)] for lang, own in letters.items()}
+    rare = ("l03", "l65")
+    known = [(i, t, lang) for lang, ts in made.items() for i, t in enumerate(ts[: 1 if lang in rare else 2])]
+    rows = [(n, ts[2], lang) for n, (lang, ts) in enumerate(made.items())]
+    rows += [(3, made["l03"][2], "l03")] * 2 + [(100, None, None), (None, "12", None), (101, "abc " * 20, None)]
+    rows += [(102, made["l03"][2] + made["l65"][2], None), (103, "ё" + "z" * 3, None)]
+    several = ppm.train(frame(spark, known))
+    got = ppm.identify(frame(spark, rows), several).collect()
+    wide = ppm.train(frame(spark, known), ppm.Training(languages_a_model=66))
+    assert len(wide.langs) == 66
+    want = ppm.identify(frame(spark, rows), wide).collect()
+    key = lambda r: (repr(r.doc_id), r.k1)
+    got, want = sorted(got, key=key), sorted(want, key=key)
+    assert [(r.doc_id, r.k1, r.k2, r.lang_pred) for r in got] == [(r.doc_id, r.k1, r.k2, r.lang_pred) for r in want]
+    assert [r.score for r in got] == pytest.approx([r.score for r in want], rel=1e-6)
+    assert {r.lang_pred for r in got if r.doc_id is not None and r.doc_id < 66} == set(letters)
+    assert len(got) == len(rows)
+
+
 def test_languages_of_odd_rows(spark):
     known = [(1, "the cat and the dog " * 9, "en"), (2, "der Hund und die Katze " * 9, "de"), (3, "x", None), (4, None, "en")]
     model = ppm.train(frame(spark, known))
