@@ -309,7 +309,10 @@ def near_components(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with one
     doc_id are one document: they are linked, whatever their texts. Empty table: no rows.
     """
-    packed = pack(docs, "doc_id", "text")
+    return _components(pack(docs, "doc_id", "text"), likeness)
+
+
+def _components(packed: DataFrame, likeness: Likeness) -> DataFrame:
     rows = stage(
         map_batches(
             packed.select("doc_id", *KEY, "text"),
@@ -370,8 +373,26 @@ def near_components(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFra
     )
 
 
+_NAMELESS = 1 << 62  # ids given to rows without one start here, behind the others
+
+
 def keep_one_each(docs: DataFrame, likeness: Likeness = Likeness()) -> DataFrame:
-    """The rows of `docs` that stand for their component, with all their columns."""
-    kept = near_components(docs, likeness).filter("kept").select(*KEY).dropDuplicates()
-    rows = pack(docs, "doc_id").select(*KEY, "_row").join(kept, [*KEY], "left_semi")
-    return unpack(rows, docs.columns)
+    """One row of `docs` per component, with all its columns: that with the smallest doc_id (null
+    last), of several the one with the smallest row hashes; of repeated equal rows one.
+
+    Rows without a doc_id are compared like all others, under ids made from their row hashes;
+    equal ones are one document. Null, empty and blank texts stay once per doc_id, without one
+    once per distinct row.
+    """
+    nameless = F.shiftrightunsigned(F.xxhash64(*KEY), 2) + F.lit(_NAMELESS)
+    packed = pack(docs, "doc_id", "text")
+    named = packed.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), nameless))
+    kept = (
+        _components(named, likeness)
+        .filter("kept")
+        .groupBy("component_id")
+        .agg(F.min(F.struct(*KEY)).alias("best"))
+        .select("best.*")
+    )
+    rows = packed.select(*KEY, "_row").join(kept, [*KEY], "left_semi")
+    return unpack(rows.groupBy(*KEY).agg(F.any_value("_row").alias("_row")), docs.columns)

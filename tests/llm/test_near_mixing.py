@@ -84,6 +84,19 @@ def test_near_with_null_and_repeated_ids(spark):
     assert near.near_components(frame(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    words = [f"w{i}" for i in range(100)]
+    a, b = " ".join(words), " ".join([*words[:99], "other"])
+    c, d = " ".join(reversed(words)), "text of its own that nothing else is like"
+    rows = [(4, "s", a), (4, "s", a), (4, "s", b), (4, "t", a), (9, "s", b), (None, "s", a), (None, "t", b)]
+    rows += [(None, "s", c), (None, "s", c), (None, "t", c.upper()), (7, "s", d), (7, "s", d)]
+    rows += [(None, "s", ""), (None, "s", ""), (None, "t", None), (11, "s", " "), (11, "s", " "), (12, "s", " ")]
+    got = near.keep_one_each(frame(spark, rows)).collect()
+    groups = [(r.doc_id, (r.text or "").strip().lower()[:4]) for r in got]
+    want = [(4, "w0 w"), (None, "w99 "), (7, "text"), (None, ""), (None, ""), (11, ""), (12, "")]
+    assert sorted(groups, key=repr) == sorted(want, key=repr)
+
+
 def test_targets_against_resharing(spark):
     rng = random.Random(1)
     for sizes in ({"a": 10, "b": 1000, "é": 5, "z": 0, None: 70}, {f"s{i}": rng.randrange(1, 900) ** 2 for i in range(40)}):
