@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, ppm, quality, secret_scan, warc
+from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, piece, ppm, quality, secret_scan, warc
 from tablesync.llm.common import sha256, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(pages)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to")
     )
+
+
+@_query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), check=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
+        "agrees",
+    )
