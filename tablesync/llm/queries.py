@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, piece, ppm, quality, secret_scan, warc
+from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, piece, ppm, quality, repair, secret_scan, warc
 from tablesync.llm.common import sha256, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,9 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256(F.col("decoded")).alias("decoded_sha256"),
         "agrees",
     )
+
+
+@_query
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.summaries(given, repair.repair(repair.damaged(given)))
