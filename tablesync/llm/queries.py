@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, piece, ppm, quality, repair, secret_scan, warc
+from tablesync.llm import bpe, chat, exact, lines, mixing, near, oracles, piece, ppm, quality, repair, search, secret_scan, warc
 from tablesync.llm.common import sha256, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ ORACLES: dict[str, str] = {
     "op8_quality_rules": oracles.QUALITY_RULES,
     "op9_near_dedup": oracles.NEAR_DEDUP,
     "op10_exact_dedup": oracles.EXACT_DEDUP,
+    "op11_repair": oracles.CONVERSATION_REPAIR,
+    "op12_ranked_search": oracles.RANKED_SEARCH,
 }
 
 
@@ -125,3 +127,10 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair.summaries(given, repair.repair(repair.damaged(given)))
+
+
+@_query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return search.search(search.build_index(docs), items, k=50)
