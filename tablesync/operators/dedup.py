@@ -3,19 +3,21 @@
 Throttle: per key, an event is accepted when it lies at least T after the last
 *accepted* one; duplicates do not move that anchor. This is a recursion over time, so
 a plain window cannot express it, and one key may hold a third of all rows, so a fold
-over the whole key must not run in one task either. The job is a two-level scan:
+over the whole key must not run in one task either. One path serves every size:
 
 1. rows of one key and one instant collapse to their first event (partial aggregate);
-2. time is cut into chunks of `chunk_windows` x T and rows are shuffled by (key, chunk).
-   Within a window of length T at most one event is accepted, so what a chunk does to
-   the anchor that enters it is a short step function; only chunks that can hand an
-   anchor to a neighbour, or can be affected by one, emit it;
-3. the step functions, a small part of the rows, are scanned per key in time order,
-   which gives every affected chunk the anchor that enters it;
-4. the chunks are folded for good, all in parallel.
-
-Where a window is so long that one key can have millions of instants in a chunk, hot keys
-are thinned before step 2 to the instants that can be accepted at all (`_thin_hot_keys`).
+2. a range shuffle puts them in order, and every 2^`leaf_bits` places make a leaf: a run of
+   instants of one key that a task can hold, however long T is or how dense the key;
+3. first and last instant of a key's leaves bound where its chain of accepted events can
+   be; leaves that it cannot touch are out of it;
+4. what a leaf does to the anchor that enters it is a step function, and so is what several
+   leaves in a row do. Functions are composed in a tree, 2^`fan_bits` at a time, and the
+   anchors handed down it again: no task sees more than a few functions of a key;
+5. the leaves are folded for good, all in parallel.
+
+A function has a step per instant of the first T behind its beginning that the chain can
+reach. Where T holds d instants of a key of n, that is at most d, and by step 3 at most
+one leaf per window before it, n / d of them: never more than sqrt(n) x sqrt(leaf).
 
 Echo suppression then works on the accepted events only (at most one per T and source)
 with plain windows over (identity, time slice), see `echo_outcome`.
@@ -35,17 +37,11 @@ from pyspark.sql import functions as F
 from tablesync.session import stage
 
 DEFAULT_WINDOW_MS = 500
-DEFAULT_CHUNK_WINDOWS = 64
-
-# A key with more instants than this is thinned first, if a chunk of it could hold as
-# many: with a short window it cannot, as there are only so many microseconds in one.
-HOT_ROWS = 4_000_000
-# Resolution of the thinning, and the longest chain it is worth while for.
-CELLS_PER_WINDOW = 65_536
-MAX_THINNED_WINDOWS = 512
-
+LEAF_BITS = 15
+FAN_BITS = 4
+_NO_ANCHOR = -(1 << 63)
 
-# --- vectorised kernels: run inside tasks on batches sorted by (key, chunk, time) ------
+# --- vectorised kernels: run inside tasks on batches sorted by (key, leaf, time) ------
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
@@ -95,25 +91,25 @@ def _ints(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-class _Chunks:
-    """The events of many (key, chunk) groups as one sorted axis, so that "the first
+class _Leaves:
+    """The events of many (key, leaf) groups as one sorted axis, so that "the first
     event at or after x" is a single binary search for all groups at once."""
 
-    def __init__(self, table: pa.Table, keys: tuple[str, ...], window: int, length: int):
-        self.group = np.concatenate(([0], np.cumsum(_differs(table, (*keys, "chunk")))))
-        self.offset = _ints(table, "us") - _ints(table, "chunk") * length
+    def __init__(self, table: pa.Table, keys: tuple[str, ...], window: int):
+        self.group = np.concatenate(([0], np.cumsum(_differs(table, (*keys, "leaf")))))
+        self.us = _ints(table, "us")
         self.first = np.concatenate(([True], self.group[1:] != self.group[:-1]))
-        # places instead of instants: group x places stays small however long a chunk is
-        self.places = np.unique(self.offset)
-        self.axis = self._place(self.group, self.offset)
-        self.next = self.first_at(self.group, self.offset + window)
+        # places instead of instants: group x places stays small however long a leaf is
+        self.places = np.unique(self.us)
+        self.axis = self._place(self.group, self.us)
+        self.next = self.first_at(self.group, self.us + window)
 
-    def _place(self, group: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        return group * (len(self.places) + 1) + np.searchsorted(self.places, offset, side="left")
+    def _place(self, group: np.ndarray, us: np.ndarray) -> np.ndarray:
+        return group * (len(self.places) + 1) + np.searchsorted(self.places, us, side="left")
 
-    def first_at(self, group: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """The group's first row at or after an offset, -1 if there is none."""
-        at = np.searchsorted(self.axis, self._place(group, offset), side="left")
+    def first_at(self, group: np.ndarray, us: np.ndarray) -> np.ndarray:
+        """The group's first row at or after an instant, -1 if there is none."""
+        at = np.searchsorted(self.axis, self._place(group, us), side="left")
         inside = at < len(self.axis)
         inside[inside] = self.group[at[inside]] == group[inside]
         return np.where(inside, at, -1)
@@ -138,87 +134,160 @@ class _Chunks:
         return taken
 
 
-def _step_functions(keys: tuple[str, ...], window: int, length: int):
-    """(key, chunk) -> rows (upto, exit): an anchor allowing events from x on leaves the
-    chunk as the exit of the first row with upto >= x."""
+def _reachable(lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
+    """Which leaves of one key (first and last instants, in order) can hold an accepted event.
+
+    Where an accepted event is known to lie in [low, high], the next one lies between the first
+    instant from low + T on and the first known one from high + T on. The first instant behind
+    a gap of T is accepted for certain. Once it can lie anywhere in a window, all leaves up to
+    the next such gap can be touched; so every round here passes a leaf.
+    """
+    touched = np.zeros(len(lo), dtype=bool)
+    starts = np.append(0, np.flatnonzero(lo[1:] >= hi[:-1] + window) + 1)
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(lo)).tolist()):
+        low = high = int(lo[a])
+        i = j = a
+        while True:
+            touched[i : j + 1] = True
+            i = a + int(np.searchsorted(hi[a:b], low + window, side="left"))
+            if i == b:
+                break
+            j = min(a + int(np.searchsorted(hi[a:b], high + window, side="left")), b - 1)
+            low, high = max(low + window, int(lo[i])), int(lo[j]) if lo[j] >= high + window else int(hi[j])
+            if high - low >= window:
+                touched[i:b] = True
+                break
+    return touched
+
+
+def _rank_leaves(keys: tuple[str, ...], window: int):
+    """Leaves (lo, hi) of whole keys -> for keys with several leaves the `rank` of each one
+    that the chain can touch, -1 of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, *keys, "chunk"):
-            c = _Chunks(table, keys, window, length)
-            before = np.concatenate(([0], c.offset[:-1]))
-            entries = np.flatnonzero(c.first | (before < window))
-            ends = c.chain_ends(entries)
-            group = c.group[entries]
-            # entries with the same exit are one step: keep the latest of each run
-            keep = np.ones(len(entries), dtype=bool)
-            keep[:-1] = (ends[1:] != ends[:-1]) | (group[1:] != group[:-1])
-            # a chunk matters to others if an anchor may leave it or reach into it
-            matters = np.zeros(c.group[-1] + 1, dtype=bool)
-            matters[c.group[c.first & (c.offset < window)]] = True
-            matters[group[c.offset[ends] > length - window]] = True
-            keep &= matters[group]
-            rows, exits = entries[keep], ends[keep]
-            us = _ints(table, "us")
-            if len(rows):
-                out = table.select([*keys, "chunk", "us"]).take(pa.array(rows))
-                out = out.rename_columns([*keys, "chunk", "upto"])
-                yield from out.append_column("exit", pa.array(us[exits])).to_batches()
+        for table in _whole_groups(batches, *keys):
+            cuts = np.flatnonzero(_differs(table, keys)) + 1 if table.num_rows > 1 else np.array([], int)
+            starts, ends = np.append(0, cuts), np.append(cuts, table.num_rows)
+            lo, hi = _ints(table, "lo"), _ints(table, "hi")
+            rows, ranks = [], []
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                if b - a > 1:
+                    touched = _reachable(lo[a:b], hi[a:b], window)
+                    rows.append(np.arange(a, b))
+                    ranks.append(np.where(touched, np.cumsum(touched) - 1, -1))
+            if rows:
+                out = table.select([*keys, "leaf"]).take(pa.array(np.concatenate(rows)))
+                yield from out.append_column("rank", pa.array(np.concatenate(ranks))).to_batches()
 
     return run
 
 
-def _scan_anchors(keys: tuple[str, ...], window: int, length: int):
-    """Streams the step functions of each key in time order; state is one anchor."""
+def _steps(entries: np.ndarray, exits: np.ndarray) -> np.ndarray:
+    """Entries with the same exit are one step: true at the latest of each run."""
+    keep = np.ones(len(entries), dtype=bool)
+    keep[:-1] = exits[1:] != exits[:-1]
+    return keep
+
+
+def _leaf_functions(keys: tuple[str, ...], window: int):
+    """Leaf -> its step function (lo, upto, exit): an anchor that allows events from x on leaves
+    as the exit of the first step with upto >= x, and unchanged if there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_chunk, anchor = None, None, None
-        for table in _whole_groups(batches, *keys, "chunk"):
-            cuts = np.flatnonzero(_differs(table, (*keys, "chunk"))) + 1
-            starts = np.concatenate(([0], cuts))
-            ends = np.concatenate((cuts, [table.num_rows]))
-            upto, exits = _ints(table, "upto"), _ints(table, "exit")
-            heads = table.select([*keys, "chunk"]).take(pa.array(starts))
-            names = list(zip(*(heads.column(k).to_pylist() for k in keys)))
-            chunks = heads.column("chunk").to_pylist()
-            affected, entering = [], []
-            for n, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist())):
-                at = lo
-                linked = anchor is not None and names[n] == last_key and chunks[n] - 1 == last_chunk
-                if linked and anchor + window > chunks[n] * length:
-                    affected.append(n)
-                    entering.append(anchor)
-                    at = lo + int(np.searchsorted(upto[lo:hi], anchor + window, side="left"))
-                anchor = int(exits[at]) if at < hi else None
-                last_key, last_chunk = names[n], chunks[n]
-            if affected:
-                out = heads.take(pa.array(affected))
-                yield from out.append_column("us", pa.array(entering)).to_batches()
+        for table in _whole_groups(batches, *keys, "leaf"):
+            c = _Leaves(table, keys, window)
+            firsts = np.flatnonzero(c.first)
+            lo = c.us[firsts]
+            before = np.concatenate(([0], c.us[:-1]))
+            entries = np.flatnonzero(c.first | (before < lo[c.group] + window))
+            ends = c.chain_ends(entries)
+            # rows of different leaves never share an exit
+            keep = _steps(entries, ends)
+            entries, ends = entries[keep], ends[keep]
+            offsets = np.searchsorted(c.group[entries], np.arange(len(firsts) + 1)).astype(np.int32)
+            out = table.select([*keys, "rank"]).take(pa.array(firsts))
+            out = out.append_column("lo", pa.array(lo))
+            for name, rows in (("upto", entries), ("exit", ends)):
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(c.us[rows]))
+                out = out.append_column(name, lists)
+            yield from out.to_batches()
+
+    return run
+
+
+def _functions(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    upto, exits = (table.column(c).combine_chunks() for c in ("upto", "exit"))
+    return [(u.values.to_numpy(), e.values.to_numpy()) for u, e in zip(upto, exits)]
+
+
+def compose(functions: list[tuple[np.ndarray, np.ndarray]], lo: int, window: int):
+    """The step function of several in a row, whose first instant is lo."""
+    upto, exits = functions[0]
+    for u, e in functions[1:]:
+        at = np.searchsorted(u, exits + window, side="left")
+        exits = np.where(at < len(u), e[np.minimum(at, len(u) - 1)], exits)
+        if upto[-1] < lo + window:  # anchors may pass by all so far
+            upto, exits = np.concatenate([upto, u]), np.concatenate([exits, e])
+    useful = np.concatenate(([True], upto[:-1] < lo + window))
+    upto, exits = upto[useful], exits[useful]
+    keep = _steps(upto, exits)
+    return upto[keep], exits[keep]
+
+
+def _composed(keys: tuple[str, ...], window: int, bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        lo = int(_ints(table, "lo")[0])
+        upto, exits = compose(_functions(table), lo, window)
+        head = table.select([*keys]).slice(0, 1)
+        values = ("rank", int(_ints(table, "rank")[0]) >> bits), ("lo", lo)
+        for name, value in values:
+            head = head.append_column(name, pa.array([value], pa.int64()))
+        for name, value in (("upto", upto), ("exit", exits)):
+            head = head.append_column(name, pa.array([value], pa.list_(pa.int64())))
+        return head
 
     return run
 
 
-def _fold(keys: tuple[str, ...], window: int, length: int):
-    """Final fold: rows with a null `eid` are entering anchors, the others events."""
+def _handed_down(keys: tuple[str, ...], window: int):
+    """Functions in a row, with the anchor that enters the first -> the anchor entering each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        anchor = table.column("anchor")[0].as_py()
+        entering = []
+        for upto, exits in _functions(table):
+            entering.append(anchor)
+            at = 0 if anchor is None else int(np.searchsorted(upto, anchor + window, side="left"))
+            anchor = int(exits[at]) if at < len(upto) else anchor
+        out = table.select([*keys, "rank"])
+        return out.append_column("anchor", pa.array(entering, pa.int64()))
+
+    return run
+
+
+def _fold(keys: tuple[str, ...], window: int):
+    """Final fold: a row with a null `eid` before a leaf's events tells the anchor that enters
+    it, or, with `may` false, that nothing in it can be accepted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, *keys, "chunk"):
+        for table in _whole_groups(batches, *keys, "leaf"):
             is_event = pc.is_valid(table.column("eid")).to_numpy()
             events = table.filter(pa.array(is_event))
             if events.num_rows == 0:
                 continue
-            c = _Chunks(events, keys, window, length)
+            c = _Leaves(events, keys, window)
             firsts = np.flatnonzero(c.first)
-            # the anchor row, where there is one, sits right before its group's events
             position = np.flatnonzero(is_event)[firsts]
-            has = (position > 0) & ~is_event[position - 1]
-            anchor = _ints(table, "us")[np.maximum(position - 1, 0)]
-            base = _ints(events, "chunk")[firsts] * length
-            begin = np.where(has, anchor + window - base, 0)
-            begin = np.clip(begin, 0, length)
+            told = np.maximum(position - 1, 0)
+            has = (position > 0) & ~is_event[told]
+            us, may = _ints(table, "us")[told], table.column("may").to_numpy()[told].astype(bool)
+            begin = np.where(has & (us != _NO_ANCHOR), us + window, c.us[firsts])
             starts = c.first_at(c.group[firsts], begin)
-            taken = c.accepted(starts[starts >= 0])
+            taken = c.accepted(starts[(starts >= 0) & (~has | may)])
             if taken.any():
-                yield from events.filter(pa.array(taken)).drop_columns(["chunk"]).to_batches()
+                yield from events.filter(pa.array(taken)).drop_columns(["leaf"]).to_batches()
 
     return run
 
@@ -231,68 +300,6 @@ def floor_div(column: str, length: int) -> Column:
     return F.expr(f"({column} - pmod({column}, {length}L)) div {length}L")
 
 
-def _reachable(keys: tuple[str, ...], window: int):
-    """Cells (lo, hi: first and last instant) of one hot key -> ranges of cells that can
-    hold an accepted event.
-
-    Where the chain of accepted events is known to lie in [a, b], its next event lies
-    between the first instant from a + T on and the first known one from b + T on.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cell")
-        cell, lo, hi = (_ints(table, c) for c in ("cell", "lo", "hi"))
-        first, last = [0], [0]
-        low = high = int(lo[0])
-        while True:
-            i = int(np.searchsorted(hi, low + window, side="left"))
-            if i == len(hi):
-                break
-            j = min(int(np.searchsorted(hi, high + window, side="left")), len(hi) - 1)
-            low = max(low + window, int(lo[i]))
-            high = int(lo[j]) if lo[j] >= high + window else int(hi[j])
-            first.append(i)
-            last.append(j)
-        heads = table.select(list(keys)).take(pa.array([0] * len(first)))
-        return heads.append_column("first", pa.array(cell[first])).append_column(
-            "last", pa.array(cell[last])
-        )
-
-    return run
-
-
-def _thin_hot_keys(slim: DataFrame, keys: Sequence[str], window_us: int, hot_rows: int) -> DataFrame:
-    """Drops instants of hot keys that no chain of accepted events can reach.
-
-    Needed where a window is long enough to hold millions of instants of one key. The
-    first and last instant per cell, T / 65,536 long, follow from a partial aggregate and
-    bound the chain to few cells; only those go on to the exact fold.
-    """
-    slim = stage(slim, "instants")
-    named = slim.select(*keys).schema
-    hot = slim.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), (F.max("us") - F.min("us")).alias("_span")
-    )
-    hot = stage(
-        hot.where(
-            (F.col("_n") > hot_rows) & (F.col("_span") <= window_us * MAX_THINNED_WINDOWS)
-        ).select(*keys),
-        "hot-keys",
-    )
-    if hot.isEmpty():
-        return slim
-    cell = floor_div("us", max(1, window_us // CELLS_PER_WINDOW))
-    mine = slim.join(hot, list(keys), "left_semi").withColumn("cell", cell)
-    cells = mine.groupBy(*keys, "cell").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.fields)
-    ranges = cells.groupBy(*keys).applyInArrow(
-        _reachable(tuple(keys), window_us), f"{fields}, first long, last long"
-    )
-    reached = ranges.select(*keys, F.explode(F.sequence("first", "last")).alias("cell")).distinct()
-    kept = mine.join(reached, [*keys, "cell"], "left_semi").select(*slim.columns)
-    return slim.join(hot, list(keys), "left_anti").unionByName(kept)
-
-
 def _in_groups(df: DataFrame, group: Sequence[str], *order: str) -> DataFrame:
     """Rows of a group in one partition, next to each other and in order.
 
@@ -301,23 +308,47 @@ def _in_groups(df: DataFrame, group: Sequence[str], *order: str) -> DataFrame:
     return df.repartition(*group).sortWithinPartitions(*group, *order)
 
 
+def _entering(functions: DataFrame, keys: Sequence[str], window: int, leaves: int, bits: int) -> DataFrame:
+    """(keys, rank, anchor): the anchor that enters each of a key's leaves, by a tree over their
+    functions. Its height follows from the most leaves that a key has."""
+    named = [f"`{f.name}` {f.dataType.simpleString()}" for f in functions.select(*keys).schema.fields]
+    function = ", ".join([*named, "rank long, lo long, upto array<long>, exit array<long>"])
+    anchored = ", ".join([*named, "rank long, anchor long"])
+    above = F.shiftright("rank", bits)
+    levels = [functions]
+    while leaves > 1 << bits:
+        grouped = levels[-1].groupBy(*keys, above.alias("_above"))
+        levels.append(stage(grouped.applyInArrow(_composed(tuple(keys), window, bits), function), "functions"))
+        leaves = -(-leaves // (1 << bits))
+    entering = None
+    for level in reversed(levels):
+        level = level.withColumn("_above", above)
+        if entering is None:
+            level = level.withColumn("anchor", F.lit(None).cast("long"))
+        else:
+            level = level.join(entering.withColumnRenamed("rank", "_above"), [*keys, "_above"])
+        entering = stage(
+            level.groupBy(*keys, "_above").applyInArrow(_handed_down(tuple(keys), window), anchored), "anchors"
+        )
+    return entering
+
+
 def accepted_events(
     events: DataFrame,
     keys: Sequence[str],
     window_ms: int = DEFAULT_WINDOW_MS,
     *,
-    chunk_windows: int = DEFAULT_CHUNK_WINDOWS,
-    hot_rows: int = HOT_ROWS,
+    leaf_bits: int = LEAF_BITS,
+    fan_bits: int = FAN_BITS,
 ) -> DataFrame:
     """(keys, us, eid, may) of the accepted events, for events with those columns.
 
     Events with a null key are not throttled and not returned.
     """
     slim = events.select(*keys, "us", "eid", "may").dropna(subset=list(keys))
-    window_us = window_ms * 1000
-    if window_us <= 0:
+    window = window_ms * 1000
+    if window <= 0:
         return slim
-    length = window_us * chunk_windows
     # plain minima, so that the aggregate hashes instead of sorting: the first event of
     # an instant may succeed if it is also the first of those that may
     slim = (
@@ -330,21 +361,35 @@ def accepted_events(
             F.coalesce(F.col("_m") == F.col("eid"), F.lit(False)).alias("may"),
         )
     )
-    if length > 8 * hot_rows:
-        slim = _thin_hot_keys(slim, keys, window_us, hot_rows)
-    slim = slim.select(*keys, floor_div("us", length).alias("chunk"), "us", "eid", "may")
     fields = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     named = ", ".join(f"`{k}` {fields[k]}" for k in keys)
-    args = (tuple(keys), window_us, length)
-    chunks = [*keys, "chunk"]
-    steps = _in_groups(slim, chunks, "us").mapInArrow(
-        _step_functions(*args), f"{named}, chunk long, upto long, exit long"
+    names, leaf = tuple(keys), [*keys, "leaf"]
+    placed = stage(
+        slim.repartitionByRange(*keys, "us")
+        .sortWithinPartitions(*keys, "us")
+        .withColumn("leaf", F.shiftright(F.monotonically_increasing_id(), leaf_bits)),
+        "instants",
+    )
+    ends = placed.groupBy(*leaf).agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    ranked = stage(
+        _in_groups(ends, keys, "leaf").mapInArrow(_rank_leaves(names, window), f"{named}, leaf long, rank long"),
+        "leaves",
     )
-    entering = _in_groups(steps, keys, "chunk", "upto").mapInArrow(
-        _scan_anchors(*args), f"{named}, chunk long, us long"
+    touched = ranked.where("rank >= 0")
+    functions = stage(
+        _in_groups(placed.join(touched, leaf), leaf, "us").mapInArrow(
+            _leaf_functions(names, window), f"{named}, rank long, lo long, upto array<long>, exit array<long>"
+        ),
+        "functions",
     )
-    folded = _in_groups(slim.unionByName(entering, allowMissingColumns=True), chunks, "us")
-    return folded.mapInArrow(_fold(*args), f"{named}, us long, eid long, may boolean")
+    leaves = (touched.agg(F.max("rank")).first()[0] or 0) + 1
+    entering = _entering(functions, keys, window, leaves, fan_bits)
+    told = ranked.join(entering, [*keys, "rank"], "left").select(
+        *keys, F.coalesce("anchor", F.lit(_NO_ANCHOR)).alias("us"), F.lit(None).cast("long").alias("eid"),
+        (F.col("rank") >= 0).alias("may"), "leaf",
+    )
+    folded = _in_groups(placed.unionByName(told), leaf, "us")
+    return folded.mapInArrow(_fold(names, window), f"{named}, us long, eid long, may boolean")
 
 
 def echo_outcome(
@@ -352,8 +397,10 @@ def echo_outcome(
     window_ms: int = DEFAULT_WINDOW_MS,
     *,
     slice_windows: int = 4096,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(eid, echo) for accepted events (us, eid, source, identity, may).
+    """(eid, echo) for accepted events (us, eid, source, identity, may), and the columns of
+    these named in `keep`.
 
     An event is an echo if the other side successfully synced the same record less
     than T before it. Accepted events of one source lie at least T apart, so the only
@@ -368,7 +415,7 @@ def echo_outcome(
     """
     window_us = window_ms * 1000
     if window_us <= 0:
-        return accepted.select("eid", F.lit(False).alias("echo"))
+        return accepted.select("eid", F.lit(False).alias("echo"), *keep)
     length = window_us * slice_windows
     home = floor_div("us", length)
     near_end = F.expr(f"pmod(us, {length}L) >= {length - window_us}L")
@@ -426,7 +473,7 @@ def echo_outcome(
     )
     placed = rows.join(carried, ["identity", "part", "run"], "left")
     return placed.select(
-        "eid", ((F.col("pos") + F.coalesce("carry", F.lit(0))) % 2 == 1).alias("echo")
+        "eid", ((F.col("pos") + F.coalesce("carry", F.lit(0))) % 2 == 1).alias("echo"), *keep
     )
 
 
@@ -440,31 +487,66 @@ def gate_outcome(
     id_col: str = "event_id",
     may_succeed: Column | None = None,
     window_ms: int = DEFAULT_WINDOW_MS,
-    chunk_windows: int = DEFAULT_CHUNK_WINDOWS,
     slice_windows: int = 4096,
-    hot_rows: int = HOT_ROWS,
+    **tree: int,
 ) -> DataFrame:
     """Adds `gate`: null (goes on), 'duplicate' or 'echo'. No identity, no gate."""
-    who = F.concat(F.col(entity), F.lit(":"), F.col(identity))
+    slim = _slim(events, entity, source, identity, micros, id_col, may_succeed)
+    accepted = accepted_events(slim, ["source", "identity"], window_ms, **tree)
+    echoes = echo_outcome(accepted, window_ms, slice_windows=slice_windows)
+    joined = events.join(echoes, events[id_col] == echoes["eid"], "left")
+    return joined.withColumn("gate", _gate(identity)).drop("eid", "echo")
+
+
+def _slim(events, entity, source, identity, micros, id_col, may_succeed) -> DataFrame:
     may = F.lit(True) if may_succeed is None else F.coalesce(may_succeed, F.lit(False))
-    slim = events.select(
+    return events.select(
         F.col(source).alias("source"),
-        who.alias("identity"),
+        F.concat(F.col(entity), F.lit(":"), F.col(identity)).alias("identity"),
         F.col(micros).alias("us"),
         F.col(id_col).alias("eid"),
         may.alias("may"),
     )
-    accepted = accepted_events(
-        slim, ["source", "identity"], window_ms, chunk_windows=chunk_windows, hot_rows=hot_rows
-    )
-    echoes = echo_outcome(accepted, window_ms, slice_windows=slice_windows)
-    joined = events.join(echoes, events[id_col] == echoes["eid"], "left")
-    gate = (
+
+
+def _gate(identity: str) -> Column:
+    return (
         F.when(F.col(identity).isNull(), None)
         .when(F.col("eid").isNull(), "duplicate")
         .when(F.col("echo"), "echo")
     )
-    return joined.withColumn("gate", gate).drop("eid", "echo")
+
+
+MARKS = "source string, identity string, us bigint, eid bigint, may boolean"
+
+
+def gate_step(
+    events: DataFrame,
+    marks: DataFrame,
+    *,
+    may_succeed: Column | None = None,
+    window_ms: int = DEFAULT_WINDOW_MS,
+    **options: int,
+) -> tuple[DataFrame, DataFrame]:
+    """The gate of events that all lie behind those of earlier steps: (events with their `gate`,
+    marks for the next step).
+
+    A mark is the last accepted event of a source and identity; `may` tells whether it
+    succeeded. It goes first among the events of its key, where it is accepted as it was
+    before. An earlier success of that source lies T before the mark at least and cannot
+    matter any more.
+    """
+    slim = _slim(events, "entity", "source", "identity", "us", "event_id", may_succeed)
+    accepted = accepted_events(slim.unionByName(marks), ["source", "identity"], window_ms)
+    echoes = stage(
+        echo_outcome(accepted, window_ms, keep=("source", "identity", "us", "may"), **options), "echoes"
+    )
+    # a mark may share its event id with a later delivery, but not its instant
+    mine = echoes.select("eid", "echo", F.col("us").alias("_us"))
+    joined = events.join(mine, (events["event_id"] == mine["eid"]) & (events["us"] == mine["_us"]), "left")
+    last = F.max_by(F.struct("us", "eid", (F.col("may") & ~F.col("echo")).alias("may")), F.col("us"))
+    after = echoes.groupBy("source", "identity").agg(last.alias("m")).select("source", "identity", "m.*")
+    return joined.withColumn("gate", _gate("identity")).drop("eid", "echo", "_us"), after
 
 
 def throttle(
@@ -474,7 +556,7 @@ def throttle(
     window_ms: int = DEFAULT_WINDOW_MS,
     *,
     id_col: str = "event_id",
-    chunk_windows: int = DEFAULT_CHUNK_WINDOWS,
+    **tree: int,
 ) -> DataFrame:
     """Adds the `accepted` flag; events without a key are never duplicates.
 
@@ -484,7 +566,7 @@ def throttle(
     slim = events.select(
         key.alias("k"), micros.alias("us"), F.col(id_col).alias("eid"), F.lit(True).alias("may")
     )
-    ids = accepted_events(slim, ["k"], window_ms, chunk_windows=chunk_windows).select("eid")
+    ids = accepted_events(slim, ["k"], window_ms, **tree).select("eid")
     joined = events.join(ids, events[id_col] == ids["eid"], "left")
     return joined.withColumn("accepted", key.isNull() | F.col("eid").isNotNull()).drop("eid")
 

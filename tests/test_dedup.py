@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablesync.operators.dedup import accepted_events, gate_outcome, throttle
+from tablesync.operators.dedup import MARKS, accepted_events, gate_outcome, gate_step, throttle
 
 
 def sequential(events, window_us):
@@ -37,14 +37,14 @@ def frame(spark, events):
     )
 
 
-def run(spark, events, window_ms, chunk_windows, slice_windows, **options):
+def run(spark, events, window_ms, leaf_bits, slice_windows, fan_bits=2):
     out = gate_outcome(
         frame(spark, events),
         may_succeed=F.col("may"),
         window_ms=window_ms,
-        chunk_windows=chunk_windows,
+        leaf_bits=leaf_bits,
+        fan_bits=fan_bits,
         slice_windows=slice_windows,
-        **options,
     )
     return {r.event_id: r.gate for r in out.select("event_id", "gate").collect()}
 
@@ -61,15 +61,15 @@ def test_golden_echo(spark):
     assert run(spark, events, 500, 64, 64) == {1: None, 2: "echo", 3: None}
 
 
-@pytest.mark.parametrize("seed,chunk_windows,slice_windows", [(1, 1, 1), (2, 3, 2), (3, 64, 4096)])
-def test_random_events_match_the_sequential_rules(spark, seed, chunk_windows, slice_windows):
+@pytest.mark.parametrize("seed,leaf_bits,slice_windows", [(1, 2, 1), (2, 5, 2), (3, 15, 4096)])
+def test_random_events_match_the_sequential_rules(spark, seed, leaf_bits, slice_windows):
     rng = random.Random(seed)
     keys = ["hot"] * 10 + [f"k{i}" for i in range(20)] + [None]
     events = [
         (i, rng.randrange(-3_000_000, 9_000_000), rng.choice("ab"), rng.choice(keys), rng.random() < 0.8)
         for i in range(3000)
     ]
-    got = run(spark, events, 50, chunk_windows, slice_windows)
+    got = run(spark, events, 50, leaf_bits, slice_windows)
     assert got == sequential(events, 50_000)
 
 
@@ -77,8 +77,8 @@ def test_periodic_events_never_merge_their_chains(spark):
     # every start leads to a different chain: the case where chunk functions stay large
     events = [(i, i * 1000, "a", "hot", True) for i in range(4000)]
     events += [(10_000 + i, i * 1000 + 7, "b", "hot", i % 3 > 0) for i in range(4000)]
-    for chunk_windows in (1, 2, 5):
-        got = run(spark, events, 37, chunk_windows, 2)
+    for leaf_bits in (3, 6, 15):
+        got = run(spark, events, 37, leaf_bits, 2)
         assert got == sequential(events, 37_000)
 
 
@@ -89,22 +89,70 @@ def test_long_alternating_runs_cross_slice_borders(spark):
         assert run(spark, events, 50, 4, slice_windows) == sequential(events, 50_000)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_thinned_hot_keys_keep_their_chain(spark, seed):
+@pytest.mark.parametrize("seed,window_ms", [(1, 1000), (2, 1000), (3, 9000), (4, 400 * 86_400_000)])
+def test_dense_keys_keep_their_chain(spark, seed, window_ms):
+    """Windows that hold many leaves of one key, up to all of them."""
     rng = random.Random(seed)
     events = [
         (i, rng.randrange(0, 40_000_000), rng.choice("ab"), "hot" if i % 3 else f"k{i % 50}", rng.random() < 0.9)
         for i in range(6000)
     ]
-    got = run(spark, events, 1000, 8, 4, hot_rows=500)
-    assert got == sequential(events, 1_000_000)
+    got = run(spark, events, window_ms, 4, 4)
+    assert got == sequential(events, window_ms * 1000)
 
 
-def test_thinning_drops_what_no_chain_reaches(spark):
-    from tablesync.operators.dedup import _thin_hot_keys
+def test_a_hot_key_over_two_thousand_windows(spark):
+    rng = random.Random(6)
+    events = [(i, rng.randrange(0, 2_000_000_000), "a", "hot", True) for i in range(8000)]
+    events += [(10_000 + i, rng.randrange(0, 2_000_000_000), rng.choice("ab"), f"k{i % 4000}", True) for i in range(16_000)]
+    assert run(spark, events, 1000, 5, 64) == sequential(events, 1_000_000)
 
-    df = spark.range(0, 50_000_000, 500).selectExpr("'hot' AS k", "id AS us", "id AS eid", "true AS may")
-    assert _thin_hot_keys(df, ["k"], 1_000_000, 1000).count() < 5_000
+
+def test_leaves_that_no_chain_reaches_are_out():
+    import numpy as np
+
+    from tablesync.operators.dedup import _reachable
+
+    us = np.arange(0, 50_000_000, 500)
+    lo, hi = us[::64], np.append(us[63::64], us[-1])[: len(us[::64])]
+    assert _reachable(lo, hi, 1_000_000).sum() < 1300 < len(lo)
+    assert _reachable(lo, hi, 10**12).tolist() == [True] + [False] * (len(lo) - 1)
+
+
+def test_composed_functions_equal_the_chain():
+    import numpy as np
+    import pyarrow as pa
+
+    from tablesync.operators.dedup import _functions, _leaf_functions, compose
+
+    rng = np.random.default_rng(3)
+    for window in (3, 40, 2000):
+        us = np.unique(rng.integers(0, 3000, 700)) + 5000
+        table = pa.table({"k": ["x"] * len(us), "leaf": np.arange(len(us)) // 16, "us": us})
+        table = table.append_column("rank", table.column("leaf"))
+        made = pa.Table.from_batches(list(_leaf_functions(("k",), window)(iter(table.to_batches()))))
+        upto, exits = compose(_functions(made), int(us[0]), window)
+        for anchor in range(5000 - window, 5000):
+            last = anchor
+            for u in us.tolist():
+                last = u if u - last >= window else last
+            at = int(np.searchsorted(upto, anchor + window))
+            assert (int(exits[at]) if at < len(upto) else anchor) == last
+
+
+def test_steps_of_a_gate_equal_one(spark):
+    rng = random.Random(9)
+    keys = ["hot"] * 6 + [f"k{i}" for i in range(12)] + [None]
+    events = [
+        (i, rng.randrange(0, 3_000_000), rng.choice("ab"), rng.choice(keys), rng.random() < 0.8) for i in range(1200)
+    ]
+    marks = spark.createDataFrame([], MARKS)
+    got = {}
+    for start in range(0, 3_000_000, 750_000):
+        part = frame(spark, [e for e in events if start <= e[1] < start + 750_000])
+        gated, marks = gate_step(part, marks, may_succeed=F.col("may"), window_ms=50)
+        got |= {r.event_id: r.gate for r in gated.collect()}
+    assert got == sequential(events, 50_000)
 
 
 def test_same_instant_copies_keep_the_first_id(spark):
