@@ -524,6 +524,7 @@ def gate_step(
     events: DataFrame,
     marks: DataFrame,
     *,
+    entity: str = "entity",
     may_succeed: Column | None = None,
     window_ms: int = DEFAULT_WINDOW_MS,
     **options: int,
@@ -536,7 +537,7 @@ def gate_step(
     before. An earlier success of that source lies T before the mark at least and cannot
     matter any more.
     """
-    slim = _slim(events, "entity", "source", "identity", "us", "event_id", may_succeed)
+    slim = _slim(events, entity, "source", "identity", "us", "event_id", may_succeed)
     accepted = accepted_events(slim.unionByName(marks), ["source", "identity"], window_ms)
     echoes = stage(
         echo_outcome(accepted, window_ms, keep=("source", "identity", "us", "may"), **options), "echoes"

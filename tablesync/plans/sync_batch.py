@@ -42,6 +42,7 @@ from tablesync.session import stage, stage_all
 REASONS = {
     "duplicate": "duplicate_webhook",
     "echo": "opposite_service_webhook_after_sync",
+    "late": "late",
 }
 MISSING_KEY = {"email": "no_email_for_lookup", "subject": "no_task_name_for_lookup"}
 
@@ -123,6 +124,11 @@ def repeated(gate: DataFrame, unique: DataFrame) -> DataFrame:
     return _outcome(rows, "skipped", F.lit(REASONS["duplicate"]))
 
 
+def late(events: DataFrame) -> DataFrame:
+    """Ledger rows of events behind the watermark: what came after them is decided already."""
+    return _outcome(events, "skipped", F.lit(REASONS["late"]))
+
+
 def nameless(events: DataFrame) -> DataFrame:
     """Ledger rows of events without an id: they cannot be told apart, so none is applied."""
     rows = events.where("event_id is null").withColumn("direction", F.lit(None).cast("string"))

@@ -234,5 +234,48 @@ def test_stream_survives_a_restart_and_replays_nothing(spark, tmp_path, tables):
     assert table.where("task_name = 'one'").first().status == "Later" and table.count() == 3
 
 
+def test_late_and_waiting_events_are_never_lost(spark, tmp_path, tables):
+    (tmp_path / "in").mkdir()
+
+    def land(name, *events, broken=0):
+        lines = [json.dumps({"event_id": n, "ts": ts, "source": "a", "entity": "Task", "record_id": "r",
+                             "operation": "update", "original_source": None, "data": d}) for n, ts, d in events]
+        (tmp_path / "in" / name).write_text("\n".join(lines + ["{broken"] * broken) + "\n")
+
+    stream = SyncStream(
+        spark, str(tmp_path / "run"), [presets.TASK], {"Task": A_TASK}, {"tasks": B_TASK}, window_ms=500, delay="1 hour"
+    )
+    stream.load("a", "Task", tables[0]["Task"].table)
+    stream.load("b", "tasks", tables[1]["tasks"].table)
+
+    def outcome(drain=False):
+        for query in stream.start(str(tmp_path / "in")):
+            query.awaitTermination()
+        if drain:
+            stream.drain()
+        return {(r.event_id, r.status, r.reason) for r in stream.ledger.read().collect()}
+
+    late_task, nameless = task("late", "X"), json.dumps({"status": "Z"})
+    land("1.json", (1, "2025-03-01T10:00:00Z", task("one", "A")), (2, "2025-03-01T12:00:00Z", task("two", "B")), broken=1)
+    assert outcome() == {(1, "success", None)}
+    assert [r.event_id for r in stream.waiting.collect()] == [2]
+    # behind the watermark (11:00): late, with or without an identity; within the delay: in order
+    land("2.json", (3, "2025-03-01T10:59:59.999Z", late_task), (4, "2025-03-01T11:59:59.800Z", task("two", "C")),
+         (5, "2025-03-01T10:30:00Z", nameless), (6, "2025-03-01T12:30:00Z", nameless), (6, "2025-03-01T12:30:00Z", nameless))
+    assert outcome() >= {(3, "skipped", "late"), (5, "skipped", "late")}
+    done = outcome(drain=True)
+    # the second of the two in time came first
+    assert {n for n, _, r in done if r == "duplicate_webhook"} >= {2} and (4, "skipped", "duplicate_webhook") not in done
+    ledger, bad = stream.ledger.read().count(), spark.read.text(stream.rejected).count()
+    assert (ledger, bad, stream.waiting.count()) == (7, 1, 0)
+    stream.drain()  # nothing waits: nothing happens
+    assert stream.ledger.read().count() == 7
+    # marks leave with the watermark: those of hours before are gone
+    assert {r.identity for r in stream.marks.collect()} <= {"Task:subject:two"}
+    land("3.json", (7, "2025-03-02T12:00:00Z", task("one", "D")), (8, "2025-03-02T14:00:00Z", task("one", "E")))
+    outcome()
+    assert [r.eid for r in stream.marks.collect()] == []
+
+
 def test_landing_stream_has_the_corrupt_column(spark, tmp_path):
     assert stream_events(spark, str(tmp_path)).isStreaming
