@@ -292,16 +292,33 @@ def resolve_operation(t: Tables):
 
 
 @query("match_task", f"""
-WITH dim AS (SELECT *, row_number() OVER (PARTITION BY task_name ORDER BY id) AS pick FROM b_task)
-SELECT a.name, CASE WHEN a.description IS NULL OR contains(d.page_content, {_SNIP.format('a.description')}) THEN d.id END AS target_id,
-       d.id AS found_id
-FROM a_task a LEFT JOIN dim d ON d.task_name = a.subject AND d.pick = 1""")
+SELECT a.name, min(CASE WHEN a.description IS NULL OR contains(d.page_content, {_SNIP.format('a.description')}) THEN d.id END) AS target_id,
+       min(d.id) AS found_id
+FROM a_task a LEFT JOIN b_task d ON d.task_name = a.subject GROUP BY a.name""")
 def match_task(t: Tables):
     mapped = m.map_records(t("a_task"), presets.TASK, A2B, keep=("name",))
     found = match.find_targets(mapped, t("b_task"), presets.TASK, A2B, "id", salt="_name")
     return found.select(F.col("_name").alias("name"), "target_id", "found_id")
 
 
+def _shared(subject: str) -> str:
+    return f"concat('Order ', cast(cast(split_part({subject}, ' ', 2) AS bigint) % 40 AS string))"
+
+
+@query("match_subject_all", f"""
+WITH a AS (SELECT name, {_shared('subject')} AS subject, {_SNIP.format('description')} AS piece FROM a_task),
+b AS (SELECT id, {_shared('task_name')} AS task_name, page_content FROM b_task)
+SELECT a.name, min(CASE WHEN coalesce(piece, '') = '' OR contains(page_content, piece) THEN b.id END) AS target_id, min(b.id) AS found_id
+FROM a LEFT JOIN b ON b.task_name = a.subject GROUP BY a.name""")
+def match_subject_all(t: Tables):
+    """Forty subjects for all tasks: every target of a subject is tested for the text."""
+    source = t("a_task").withColumn("subject", F.expr(_shared("subject")))
+    target = t("b_task").withColumn("task_name", F.expr(_shared("task_name")))
+    mapped = m.map_records(source, presets.TASK, A2B, keep=("name",))
+    found = match.find_targets(mapped, target, presets.TASK, A2B, "id", salt="_name")
+    return found.select(F.col("_name").alias("name"), "target_id", "found_id")
+
+
 _PAIRS = """
 SELECT a.name, a.subject, a.status, a.act_start_date, a.modified, b.id, b.task_name, b.status AS t_status,
        b.start_date AS t_start_date, b.updated_at,

@@ -39,10 +39,12 @@ def find_targets(
 ) -> DataFrame:
     """Adds `match_kind`, `match_value`, `target_id` and payload (as `t_<name>`).
 
-    Each kind of key is one equi left join against the target reduced to one row per
-    key. Where the key is a subject, the mapped text's snippet must also occur in the
-    text of the row found; if it does not, the record counts as not found. `found_id` is
-    the row before that test: deletes go by the key alone.
+    Each kind of key is one equi left join against the target, cut to the keys that the batch
+    has and reduced to one row per key, that with the smallest id. Where the key is a
+    subject, the mapped text's snippet must also occur in the text of the target: all rows
+    of the subject are tested, and the smallest id of those that fit is the one. If none does, the record
+    counts as not found. `found_id` is the smallest id before that test: deletes go by
+    the key alone.
     """
     out = mapped
     for n, value in enumerate(match_values(mapped, spec, direction)):
@@ -53,23 +55,28 @@ def find_targets(
     for n, key in enumerate(spec.match_keys):
         column, text = key.column(direction), key.text(direction)
         extra = tuple(dict.fromkeys([*payload, *([text] if text else [])]))
-        sought = _key_value(target, key, direction)
-        side = first_by(target, sought, id_col, extra).select(
+        known = asked_for(target, _key_value(target, key, direction), out.select(F.col(f"_v{n}").alias("_match")))
+        side = first_by(known, F.col("_match"), id_col, extra).select(
             F.col("_match").alias(f"_m{n}"), F.struct("_target_id", *extra).alias(f"_t{n}")
         )
         own = F.col(f"_v{n}")
         if salt:  # rows without a key would all meet in one partition
             own = F.coalesce(own, F.concat(F.lit("\u0000"), F.col(salt).cast("string")))
+        checks = bool(text) and text in mapped.columns
+        pieces = out.select(f"_v{n}", snippet(F.col(text)).alias("_piece")) if checks else None
         out = out.join(side, own == F.col(f"_m{n}"), "left")
-        ok = F.col(f"_m{n}").isNotNull()
-        unverified.append(F.when(ok, F.col(f"_t{n}._target_id")))
-        if text and text in mapped.columns:
+        first = F.when(F.col(f"_m{n}").isNotNull(), F.col(f"_t{n}"))
+        unverified.append(first["_target_id"])
+        if checks:
+            fits = fitting(known, pieces, f"_v{n}", text, id_col, extra).withColumnsRenamed(
+                {f"_v{n}": f"_w{n}", "_piece": f"_p{n}", "_fit": f"_f{n}"}
+            )
             piece = snippet(F.col(text))
-            inside = F.coalesce(F.col(f"_t{n}.{text}"), F.lit("")).contains(piece)
-            ok = ok & ((piece == "") | inside)
-        found.append(F.when(ok, F.col(f"_t{n}._target_id")))
+            out = out.join(fits, (own == F.col(f"_w{n}")) & (piece == F.col(f"_p{n}")), "left")
+            first = F.when(piece == "", first).otherwise(F.col(f"_f{n}"))
+        found.append(first["_target_id"])
         for p in payload:
-            carried[p].append(F.when(ok, F.col(f"_t{n}.{p}")))
+            carried[p].append(first[p])
     none = F.lit(None).cast("string")
     ks = range(len(spec.match_keys))
     kind = [F.when(F.col(f"_v{n}").isNotNull(), k.kind) for n, k in enumerate(spec.match_keys)]
@@ -79,7 +86,36 @@ def find_targets(
     out = out.withColumn("found_id", F.coalesce(*unverified) if found else none)
     for p, options in carried.items():
         out = out.withColumn(f"t_{p}", F.coalesce(*options) if options else F.lit(None).cast(target.schema[p].dataType))
-    return out.drop(*[f"_{x}{n}" for n in ks for x in "vmt"])
+    return out.drop(*[f"_{x}{n}" for n in ks for x in "vmtwpf"])
+
+
+def asked_for(target: DataFrame, key: Column, asked: DataFrame) -> DataFrame:
+    """The target's rows whose key (`_match`) the batch asks for: what is moved from here on
+    grows with the batch, not with the table."""
+    wanted = asked.where(F.col("_match").isNotNull()).distinct()
+    return target.withColumn("_match", key).join(wanted, "_match", "left_semi")
+
+
+def fitting(
+    known: DataFrame, pieces: DataFrame, key: str, text: str, id_col: str, extra: tuple[str, ...]
+) -> DataFrame:
+    """(key, _piece, _fit): of each key and piece of text, the row with the smallest id among the
+    key's rows whose text holds the piece.
+
+    Equal texts of a key and equal pieces meet once each, however many rows have them; the
+    pairs of a hot key are split by adaptive execution and combined by a partial minimum.
+    """
+    row = F.struct(F.col(id_col).alias("_target_id"), *extra)
+    texts = known.groupBy("_match", F.coalesce(text, F.lit("")).alias("_text")).agg(
+        F.min_by(row, F.col(id_col)).alias("_row")
+    )
+    asked = pieces.where((F.col("_piece") != "") & F.col(key).isNotNull()).distinct()
+    return (
+        asked.join(texts, F.col(key) == F.col("_match"))
+        .where(F.col("_text").contains(F.col("_piece")))
+        .groupBy(key, "_piece")
+        .agg(F.min_by("_row", F.col("_row._target_id")).alias("_fit"))
+    )
 
 
 def resolve_operation(
