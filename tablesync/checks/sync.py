@@ -12,6 +12,8 @@ from tablesync.operators import apply as ap
 from tablesync.operators import conflict as cf
 from tablesync.operators import mapping as m
 from tablesync.operators import match
+from tablesync.plans.conflicts import INCOMING, TARGET, pending
+from tablesync.plans.conflicts import resolve_manual as decide_manual
 from tablesync.plans.sync_batch import Side, SyncResult, sync_batch as run_batch
 from tablesync.profiles import A2B, B2A, MappingSpec
 from tablesync.session import stage
@@ -274,6 +276,56 @@ def sync_from_config(t: Tables):
     return _shown(_batch(t, specs=(loaded, presets.PERSON)))
 
 
+# tasks in SQL whose conflicts wait for a person: what the batch found, and both records
+_CLASHES = BATCH_SQL + """,
+clashes AS (
+  SELECT o.event_id, o.us, o.direction, o.target_id, o.conflict_fields, r.at_status, r.bt_status,
+         b.status AS b_now, a.status AS a_now
+  FROM (SELECT o.*, epoch_us(e.ts) AS us FROM outcomes o JOIN event_records e USING (event_id)) o
+  JOIN event_records r USING (event_id) LEFT JOIN b_task b ON b.id = o.target_id LEFT JOIN a_task a ON a.name = o.target_id
+  WHERE o.conflict_fields <> '' AND r.kind = 'task')"""
+_INCOMING = "CASE direction WHEN 'a2b' THEN at_status ELSE coalesce(bt_status, '') END"
+
+
+def _manual(t: Tables) -> SyncResult:
+    return _batch(t, specs=(presets.TASK.with_(strategy="manual"), presets.PERSON))
+
+
+@query("conflicts", _CLASHES + f"""
+SELECT event_id, direction, target_id, 'conflict' AS status, conflict_fields, {_INCOMING} AS incoming_status,
+       CASE direction WHEN 'a2b' THEN b_now ELSE a_now END AS existing_status FROM clashes""")
+def conflicts(t: Tables):
+    """Conflicts of tasks under the manual strategy, with both records."""
+    found = pending(_manual(t).conflicts)
+    return found.select(
+        "event_id", "direction", "target_id", "status", F.array_join("conflict_fields", ",").alias("conflict_fields"),
+        F.get_json_object("incoming", "$.status").alias("incoming_status"),
+        F.get_json_object("existing", "$.status").alias("existing_status"),
+    )
+
+
+_SETTLED = """
+SELECT target_id, arg_max({0}, (us, event_id)) AS status FROM clashes
+WHERE direction = '{1}' AND event_id % 3 = 0 GROUP BY target_id"""
+
+
+@query("resolve_manual", _CLASHES + f"""
+SELECT 'b' AS side, id, coalesce(s.status, t.status) AS status FROM b_task t
+LEFT JOIN ({_SETTLED.format("at_status", "a2b")}) s ON s.target_id = t.id
+UNION ALL SELECT 'a', name, coalesce(s.status, t.status) FROM a_task t
+LEFT JOIN ({_SETTLED.format("coalesce(bt_status, '')", "b2a")}) s ON s.target_id = t.name""")
+def resolve_manual(t: Tables):
+    """Every third conflict is decided for the incoming record, every other for the target."""
+    found = stage(_manual(t).conflicts, "conflicts")
+    winner = F.when(F.col("event_id") % 3 == 0, INCOMING).when(F.col("event_id") % 3 == 1, TARGET).otherwise("?")
+    decisions = found.select("event_id", "mapping", winner.alias("winner"))
+    after = decide_manual(found, decisions, {("b", "tasks"): t("b_task"), ("a", "Task"): t("a_task")})
+    b, a = after["b", "tasks"], after["a", "Task"]
+    return b.select(F.lit("b").alias("side"), "id", "status").unionByName(
+        a.select(F.lit("a").alias("side"), F.col("name").alias("id"), "status")
+    )
+
+
 @query("resolve_operation", """
 WITH dim AS (SELECT task_name, min(id) AS id FROM b_task GROUP BY task_name),
 m AS (SELECT r.*, epoch_us(ts) AS us, d.id AS target_id FROM event_records r LEFT JOIN dim d ON d.task_name = r.subject),

@@ -35,6 +35,7 @@ from tablesync.operators.events import (
 )
 from tablesync.operators.mapping import ERRORS, PRESENT, conform, map_records, surrogate_key
 from tablesync.operators.match import find_targets, resolve_operation
+from tablesync.plans import conflicts as cr
 from tablesync.profiles import A2B, B2A, MappingSpec, profile_of, sides
 from tablesync.session import stage, stage_all
 
@@ -85,9 +86,12 @@ class Side:
 @dataclass
 class SyncResult:
     """`targets` by (side, entity) are the tables after the batch; `tables` names the same ones
-    by (mapping, direction)."""
+    by (mapping, direction). `conflicts` holds both records of each clash, `net` the net changes
+    by (side, entity)."""
 
     ledger: DataFrame
+    conflicts: DataFrame | None = None
+    net: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     writes: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     tables: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     targets: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
@@ -297,12 +301,12 @@ def written(decided: DataFrame, spec: MappingSpec, way: str, target: DataFrame)
     )
 
 
-def merged(changes: Sequence[DataFrame], target: DataFrame, id_col: str) -> DataFrame:
-    """The target table after the writes of all routes that lead to it."""
+def netted(changes: Sequence[DataFrame], target: DataFrame, id_col: str) -> DataFrame:
+    """The net changes of all routes that lead to a target."""
     all_changes = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), changes)
     skip = {id_col, "us", "event_id", OP, PRESENT}
     columns = [c for c in target.columns if c in all_changes.columns and c not in skip]
-    return apply_changes(target, net_changes(all_changes, id_col, columns=columns), id_col)
+    return net_changes(all_changes, id_col, columns=columns)
 
 
 def spec_columns(decided: DataFrame, spec: MappingSpec, way: str) -> list[str]:
@@ -364,6 +368,7 @@ def settle(
             for n, way in ends
         }
     )
+    clashes: list[DataFrame] = []
     leads_to: dict[tuple[str, str], tuple[str, str]] = {}
     changes: dict[tuple[str, str], list[DataFrame]] = {}
     goals: dict[tuple[str, str], DataFrame] = {}
@@ -371,6 +376,7 @@ def settle(
         spec, (source, target) = by_name[name], ends[name, way]
         rows = decide(found[f"matched-{way}-{name}"], spec, way)
         result.writes[spec.name, way] = rows
+        clashes.append(cr.conflict_rows(rows, spec, way, spec_columns(rows, spec, way)))
         parts.append(
             rows.select(
                 F.col("_event_id").alias("event_id"),
@@ -394,7 +400,11 @@ def settle(
         goals[place] = target.table
     if merge:
         for place, parts_of in changes.items():
-            result.targets[place] = merged(parts_of, goals[place], profile_of(place[0]).id_col)
+            id_col = profile_of(place[0]).id_col
+            result.net[place] = netted(parts_of, goals[place], id_col)
+            result.targets[place] = apply_changes(goals[place], result.net[place], id_col)
         result.tables = {route: result.targets[place] for route, place in leads_to.items()}
     result.ledger = reduce(DataFrame.unionByName, [p.select(*_LEDGER) for p in parts])
+    none = events.sparkSession.createDataFrame([], cr.SCHEMA)
+    result.conflicts = reduce(DataFrame.unionByName, clashes, none)
     return result
