@@ -1,6 +1,7 @@
 """Matching, conflicts, merges and whole sync batches."""
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from tablesync.plans.conflicts import INCOMING, TARGET, pending
 from tablesync.plans.conflicts import resolve_manual as decide_manual
 from tablesync.plans.sync_batch import Side, SyncResult, sync_batch as run_batch
 from tablesync.profiles import A2B, B2A, MappingSpec
-from tablesync.session import stage
+from tablesync.session import checkpoint_root, stage
+from tablesync.sources.buckets import BucketTable
 
 A_PERSON = (
     "name string, first_name string, last_name string, cell_number string, personal_email string, "
@@ -556,6 +558,15 @@ def apply_changes(t: Tables):
     return ap.apply_changes(t("customer"), _net(t), "c_custkey")
 
 
+@query("apply_buckets", _APPLY_SQL)
+def apply_buckets(t: Tables):
+    """The same changes played into a bucketed table: only touched buckets are written again."""
+    table = BucketTable(t.spark, f"{checkpoint_root(t.spark)}/buckets-{uuid.uuid4().hex}", "c_custkey")
+    table.commit(t("customer"), 0)
+    table.merge(stage(_net(t), "net"), 1)
+    return table.read()
+
+
 def _merge_sql(route: str, target: str, key: str, columns: list[tuple[str, str]], source: str) -> str:
     """The target after one route's successful writes, in SQL: rank the writes per column."""
     ctes = ",\n".join(

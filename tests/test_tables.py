@@ -17,6 +17,7 @@ from tablesync.operators import schema_match as sm
 from tablesync.plans import ledger as lg
 from tablesync.plans import metrics as mt
 from tablesync.profiles import A2B, B2A
+from tablesync.sources.buckets import BucketTable
 from tablesync.sources.snapshots import BatchLog, SnapshotTable
 
 
@@ -232,6 +233,31 @@ def test_snapshots_commit_once_per_batch(spark, tmp_path):
     assert log.read().count() == 7
 
 
+def test_buckets_without_changes_keep_their_files(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "t"), "k", buckets=16, keep=2)
+    first = spark.range(200).select(F.col("id").cast("int").alias("k"), F.lit("a").alias("p"), F.lit("b").alias("q"), F.lit(1).alias("r"))
+    assert table.commit(first, 0) and not table.commit(first, 0)
+    before = table.files()
+    assert len(before) == 16
+    changes = net(spark, [(7, 1, 1, "update", "new", None, ["p"]), (500, 1, 2, "create", "x", "y", ["p", "q"]), (9, 1, 3, "delete", None, None, [])])
+    assert table.merge(changes, 1) and not table.merge(changes, 1)
+    after = table.files()
+    touched = {r[0] for r in changes.select(table.bucket_of("k")).collect()}
+    assert {b for b in after if after[b] != before.get(b)} == touched
+    assert set(rows(table.read().where("k in (7, 9, 500)"))) == {(7, "new", "b", 1), (500, "x", "y", None)}
+    assert table.read().count() == 200 and rows(table.read(before=1).where("k = 7")) == [(7, "a", "b", 1)]
+    # nothing to write: no version, no file
+    assert not table.merge(changes.limit(0), 2) and table.latest() == 1
+    # old versions leave, with the files that only they have
+    for n in (3, 4):
+        table.merge(net(spark, [(7, n, n, "update", f"v{n}", None, ["p"])]), n)
+    assert table.manifests.batches() == [3, 4]
+    assert table.read().count() == 200 and rows(table.read().where("k = 7")) == [(7, "v4", "b", 1)]
+    assert not (tmp_path / "t" / before[next(iter(touched))]).exists()
+    everything = net(spark, [(i, 9, i, "delete", None, None, []) for i in [*range(200), 500]])
+    assert table.merge(everything, 5) and table.read().count() == 0 and table.read().columns == first.columns
+
+
 def test_mapping_validation_wants_containers_not_text(spark):
     rows = [
         ('{"a_type": "x", "b_table": "y", "field_mappings": "{x", "sync_fields": "[y"}',),
