@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("scan", "identity", "mapping", "transforms", "sync", "ledger", "catalogs", "streams")
+_MODULES = ("scan", "identity", "mapping", "transforms", "sync", "ledger", "operations", "catalogs", "streams")
 
 
 def load() -> None:

@@ -2,12 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from tablesync.checks.registry import query
+from tablesync.checks.registry import query as register
 from tablesync.checks.views import Tables
 from tablesync.plans import ledger as lg
 from tablesync.plans import metrics as mt
 
 
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str):
+    SQL[name] = sql
+    return register(name, sql)
+
+
 def _ledger(t: Tables):
     """Stamps as instants, so that intervals and order mean the same everywhere."""
     rows = t("ledger")

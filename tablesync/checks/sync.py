@@ -249,7 +249,8 @@ def sync_filtered(t: Tables):
     return _shown(_batch(t, specs=(task, presets.PERSON)))
 
 
-@query("sync_malformed", BATCH_SQL.replace("FROM event_records)", "FROM event_records WHERE event_id % 7 <> 3)", 1) + f"""{LEDGER_COLUMNS}
+MALFORMED_SQL = BATCH_SQL.replace("FROM event_records)", "FROM event_records WHERE event_id % 7 <> 3)", 1)
+MALFORMED_ROWS = LEDGER_COLUMNS + f"""
 UNION ALL
 SELECT event_id, source, entity, cast(user_id AS string), {_DIRECTION}, operation,
        CASE WHEN {_DIRECTION} IS NULL THEN 'skipped' WHEN operation = 'delete' THEN 'success' ELSE 'error' END,
@@ -257,11 +258,18 @@ SELECT event_id, source, entity, cast(user_id AS string), {_DIRECTION}, operatio
             WHEN returns THEN 'direction_not_allowed' WHEN operation <> 'delete' THEN 'malformed_record'
             WHEN kind = 'person' THEN 'no_email_for_lookup' ELSE 'no_task_name_for_lookup' END, NULL, ''
 FROM (SELECT *, coalesce(original_source IN ('a', 'b') AND original_source <> source, false) AS returns
-      FROM event_records WHERE event_id % 7 = 3) q""")
+      FROM event_records WHERE event_id % 7 = 3) q"""
+
+
+@query("sync_malformed", MALFORMED_SQL + MALFORMED_ROWS)
 def sync_malformed(t: Tables):
     """Every seventh record breaks off: it writes nothing and ends as an error."""
+    return _shown(_batch(t, events=malformed_events(t)))
+
+
+def malformed_events(t: Tables):
     broken = F.when(F.col("event_id") % 7 == 3, '{"name": broken').otherwise(F.col("data"))
-    return _shown(_batch(t, events=_events(t).withColumn("data", broken)))
+    return _events(t).withColumn("data", broken)
 
 
 @query("sync_from_config", BATCH_SQL + LEDGER_COLUMNS)
