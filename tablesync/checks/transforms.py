@@ -7,7 +7,8 @@ from tablesync.checks.views import Tables
 from tablesync.functions import text
 from tablesync.functions import transforms as tr
 from tablesync.functions.transforms import Context, apply_transform
-from tablesync.profiles import A2B, B2A
+from tablesync.operators import lookups as lk
+from tablesync.profiles import A2B, B2A, MappingSpec
 
 
 def _apply(column, conf, direction, kind="string", row=None):
@@ -237,3 +238,71 @@ def labels(t: Tables):
         "SELECT p_partkey, concat(replace(p_name, ' ', '_'), '_2nd-', p_type, '_', p_brand, 'x') AS name FROM part"
     )
     return rows.select("p_partkey", text.field_label(F.col("name")).alias("label"))
+
+
+LINES = MappingSpec(
+    "lines", "Line", "sessions",
+    {"name": "code", "instructor": "instructor", "project": "project", "owner": "owner", "items": "items"},
+    {"code": "name", "instructor": "instructor", "project": "project", "items": "items"},
+    derive_a2b={
+        "instructor": {"type": "lookup", "b_table": "suppliers", "a_field": "key", "b_field": "label"},
+        "project": {"type": "project_lookup", "a_field": "label", "b_field": "key"},
+        "owner": {"type": "task_project", "b_table": "projects", "a_field": "label", "b_field": "key"},
+        "items": {"type": "array_to_uuid_array", "b_table": "suppliers", "a_field": "key", "b_field": "label"},
+    },
+    derive_b2a={
+        "instructor": {"type": "lookup", "a_type": "suppliers", "a_field": "key", "b_field": "label"},
+        "project": {"type": "project_lookup", "a_field": "label", "b_field": "key"},
+        "items": {"type": "uuid_array_to_array", "a_type": "suppliers", "a_field": "key", "b_field": "label"},
+    },
+)
+_DIMS = {
+    "suppliers": "SELECT cast(s_suppkey AS string) AS key, s_name AS label FROM supplier",
+    "projects": "SELECT cast(p_partkey AS string) AS key, concat('PROJ-', p_name) AS label FROM part WHERE p_partkey % 2 = 0",
+}
+_LINES_A = """
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS name, cast(l_partkey AS string) AS instructor,
+       CASE WHEN l_linenumber = 1 THEN '' ELSE concat('PROJ-', p_name) END AS project,
+       CASE WHEN l_linenumber = 2 THEN concat('PROJ-', p_name) WHEN l_linenumber = 3 THEN 'PROJ-007'
+            ELSE cast(l_suppkey AS string) END AS owner,
+       concat('[', chr(39), cast(l_suppkey AS string), chr(39), ', ', chr(39), 'x', chr(39), ', "', cast(l_partkey AS string), '"]') AS items
+FROM lineitem JOIN part ON p_partkey = l_partkey"""
+_LINES_B = """
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS code,
+       CASE WHEN l_linenumber = 1 THEN 'nobody' ELSE s_name END AS instructor, cast(l_partkey AS string) AS project,
+       concat('["', s_name, '", "x"]') AS items
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"""
+_S = "(SELECT key, min(label) AS label FROM suppliers GROUP BY key)"
+_SL = "(SELECT label, min(key) AS key FROM suppliers GROUP BY label)"
+_P = "(SELECT key, min(label) AS label FROM projects GROUP BY key)"
+_PL = "(SELECT label, min(key) AS key FROM projects GROUP BY label)"
+
+
+@query("map_with_lookups", f"""
+WITH suppliers AS ({_DIMS["suppliers"]}), projects AS ({_DIMS["projects"]}), a AS ({_LINES_A}), b AS ({_LINES_B})
+SELECT 'a2b' AS way, a.name AS code, coalesce(s.label, a.instructor) AS instructor, p.key AS project, project <> '' AND p.key IS NOT NULL AS has_project,
+       CASE WHEN a.owner = 'PROJ-007' THEN '7' ELSE coalesce(o.key, a.owner) END AS owner,
+       concat(coalesce(x.label, split_part(items, chr(39), 2)), ',x,', coalesce(y.label, a.instructor)) AS items
+FROM a LEFT JOIN {_S} s ON s.key = a.instructor LEFT JOIN {_PL} p ON p.label = a.project
+LEFT JOIN {_PL} o ON o.label = a.owner
+LEFT JOIN {_S} x ON x.key = split_part(items, chr(39), 2) LEFT JOIN {_S} y ON y.key = a.instructor
+UNION ALL
+SELECT 'b2a', b.code, coalesce(s.key, b.instructor), coalesce(p.label, b.project), true, NULL,
+       concat(coalesce(x.key, split_part(items, '"', 2)), ',x')
+FROM b LEFT JOIN {_SL} s ON s.label = b.instructor LEFT JOIN {_P} p ON p.key = b.project
+LEFT JOIN {_SL} x ON x.label = split_part(items, '"', 2)""")
+def map_with_lookups(t: Tables):
+    """Lookups named by a mapping, both ways: a value, a project, a project's name, and elements."""
+    dims = {name: t.sql(sql) for name, sql in _DIMS.items()}
+    dims["Project"] = dims["projects"]
+    there = lk.map_with_lookups(t.sql(_LINES_A), LINES, A2B, dims, "name")
+    back = lk.map_with_lookups(t.sql(_LINES_B), LINES, B2A, dims, "code")
+    a2b = there.select(
+        F.lit("a2b").alias("way"), "code", "instructor", "project",
+        F.array_contains("_present", "project").alias("has_project"), "owner", F.array_join("items", ",").alias("items"),
+    )
+    return a2b.unionByName(back.select(
+        F.lit("b2a").alias("way"), F.col("name").alias("code"), "instructor", "project",
+        F.array_contains("_present", "project").alias("has_project"), F.lit(None).cast("string").alias("owner"),
+        F.array_join("items", ",").alias("items"),
+    ))

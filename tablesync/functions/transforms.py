@@ -25,6 +25,7 @@ class Context:
     row: Mapping[str, Column] = field(default_factory=dict)
     types: Mapping[str, str] = field(default_factory=dict)  # field -> simple type name
     name: str = ""
+    hit: Column | None = None  # what a lookup in front of the mapping found
 
     @property
     def to_b(self) -> bool:
@@ -32,6 +33,7 @@ class Context:
 
 
 Transform = Callable[[Column, Context], Column]
+HIT = "_hit_"  # columns with what lookups found, by field
 _REGISTRY: dict[str, Transform] = {}
 
 
@@ -49,9 +51,13 @@ def _named(*names: str):
 
 
 def apply_transform(value: Column, ctx: Context) -> Column:
-    """The transform of `ctx.conf['type']`; an unknown type leaves the value as it is."""
-    fn = _REGISTRY.get(ctx.conf.get("type", ""))
-    return value if fn is None else fn(value, ctx)
+    """The transform of `ctx.conf['type']`; no type leaves the value as it is."""
+    kind = ctx.conf.get("type")
+    if not kind:
+        return value
+    if kind not in _REGISTRY:
+        raise ValueError(f"unknown transform type {kind!r}")
+    return _REGISTRY[kind](value, ctx)
 
 
 # --- names -------------------------------------------------------------------------
@@ -169,7 +175,25 @@ def encode_task_id(value: Column, year: int) -> Column:
 
 @_named("task_project")
 def _task_project(value: Column, ctx: Context) -> Column:
-    return decode_project_id(value) if ctx.to_b else encode_project_id(value)
+    return decode_project_id(value, ctx.hit) if ctx.to_b else encode_project_id(value)
+
+
+@_named("lookup")
+def _lookup(value: Column, ctx: Context) -> Column:
+    return value if ctx.hit is None else F.coalesce(ctx.hit, value.cast("string"))
+
+
+@_named("project_lookup")
+def _project_lookup(value: Column, ctx: Context) -> Column:
+    """Going a2b a project that is not found is null; coming back it stays as it is."""
+    if ctx.hit is None:
+        return non_empty(value.cast("string"))
+    return ctx.hit if ctx.to_b else F.coalesce(ctx.hit, non_empty(value.cast("string")))
+
+
+@_named("array_mapping")
+def _kept(value: Column, ctx: Context) -> Column:
+    return value
 
 
 @_named("task_id")
@@ -224,6 +248,9 @@ def _iso_to_date(value: Column, ctx: Context) -> Column:
 
 @_named("array_to_uuid_array", "uuid_array_to_array")
 def _array(value: Column, ctx: Context) -> Column:
+    if ctx.hit is not None:
+        own = value.cast("array<string>") if ctx.types.get(ctx.name, "string") != "string" else parse_array(value)
+        return F.coalesce(ctx.hit, own)
     return value if ctx.types.get(ctx.name, "string") != "string" else parse_array(value)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablesync.functions import render
 from tablesync.functions.text import first_non_empty, non_empty
-from tablesync.functions.transforms import Context, apply_transform, combine_name, split_name
+from tablesync.functions.transforms import HIT, Context, apply_transform, combine_name, split_name
 from tablesync.profiles import A2B, B2A, MappingSpec, profile_of, sides
 
 PRESENT = "_present"
@@ -39,6 +39,7 @@ class _Field:
 class _Row:
     fields: dict[str, _Field] = field(default_factory=dict)
     errors: list[Column] = field(default_factory=list)
+    hits: dict[str, Column] = field(default_factory=dict)
 
     def context(self, name: str, conf: Mapping, direction: str) -> Context:
         return Context(
@@ -47,6 +48,7 @@ class _Row:
             {n: f.value for n, f in self.fields.items()},
             {n: f.type_name for n, f in self.fields.items()},
             name,
+            self.hits.get(name),
         )
 
     def put(self, name: str, value: Column, type_name: str, present: Column) -> None:
@@ -76,6 +78,9 @@ def _source_row(df: DataFrame) -> _Row:
     for f in df.schema.fields:
         if f.name in (PRESENT, ERRORS):
             continue
+        if f.name.startswith(HIT):
+            row.hits[f.name[len(HIT):]] = F.col(f.name)
+            continue
         present = F.array_contains(PRESENT, f.name) if masked else F.lit(True)
         row.fields[f.name] = _Field(F.col(f.name), f.dataType.typeName(), present)
     return row
@@ -126,12 +131,14 @@ def _derive(row: _Row, spec: MappingSpec, direction: str) -> None:
             present = F.lit(True)
         elif kind == "date_fallback":
             present = row.either_present(conf["primary_field"], conf["fallback_field"])
+        elif kind == "project_lookup" and to_b:
+            present = known.present & result.isNotNull()  # not found: the field is left alone
         else:
             present = known.present
-        row.put(into, result, _result_type(kind, known, to_b), present)
+        row.put(into, result, _result_type(kind, known, to_b, name in row.hits), present)
 
 
-def _result_type(kind: str | None, known: _Field | None, to_b: bool) -> str:
+def _result_type(kind: str | None, known: _Field | None, to_b: bool, looked_up: bool) -> str:
     if kind in ("boolean", "is_milestone_to_needs_submission", "needs_submission_to_is_milestone"):
         return "boolean" if to_b else "integer"
     if kind == "status_mapping":
@@ -140,6 +147,8 @@ def _result_type(kind: str | None, known: _Field | None, to_b: bool) -> str:
         return "array"
     if kind in ("date_fallback", "date_format_conversion") and known is not None:
         return known.type_name
+    if kind == "lookup" and looked_up:
+        return "string"
     if known is not None and kind in (None, "array_mapping", "lookup"):
         return known.type_name
     return "string"

@@ -33,7 +33,8 @@ from tablesync.operators.events import (
     routes,
     typed_record,
 )
-from tablesync.operators.mapping import ERRORS, PRESENT, conform, map_records, surrogate_key
+from tablesync.operators.lookups import map_with_lookups
+from tablesync.operators.mapping import ERRORS, PRESENT, conform, surrogate_key
 from tablesync.operators.match import find_targets, resolve_operation
 from tablesync.plans import conflicts as cr
 from tablesync.profiles import A2B, B2A, MappingSpec, profile_of, sides
@@ -201,7 +202,13 @@ def gated(events: DataFrame, specs: Sequence[MappingSpec], window_ms: int) -> Da
 
 
 def matched_rows(
-    events: DataFrame, passed: DataFrame, spec: MappingSpec, way: str, source: Side, target: Side
+    events: DataFrame,
+    passed: DataFrame,
+    spec: MappingSpec,
+    way: str,
+    source: Side,
+    target: Side,
+    dims: Mapping[str, DataFrame],
 ) -> DataFrame:
     """Records of one route in target shape, each with the target row it belongs to."""
     src, dst = (profile_of(s) for s in sides(way))
@@ -218,7 +225,8 @@ def matched_rows(
     records = typed_record(rows, source.schema, [f"_{c}" for c in keep])
     stamp = F.col(src.modified_col) if src.modified_col in records.columns else F.lit(None)
     records = records.withColumn("_stamp", stamp.cast("string"))
-    mapped = map_records(records, spec, way, keep=(*[f"_{c}" for c in keep], "_stamp"))
+    kept = (*[f"_{c}" for c in keep], "_stamp")
+    mapped = map_with_lookups(records, spec, way, dims, "_event_id", keep=kept)
     mapped = conform(mapped, target.table)
     payload = tuple(
         dict.fromkeys(
@@ -322,17 +330,19 @@ def sync_batch(
     *,
     window_ms: int = DEFAULT_WINDOW_MS,
     merge: bool = False,
+    dims: Mapping[str, DataFrame] | None = None,
 ) -> SyncResult:
     """Outcomes of all events (event_id, us, source, entity, record_id, operation,
     original_source, data JSON); with `merge`, also the new target tables.
 
     `a_sides` by a_type and `b_sides` by b_table hold the record schema and the table
-    before the batch; a mapping with a side missing is left to the ledger as refused.
+    before the batch; a mapping with a side missing is left to the ledger as refused. `dims`
+    are the tables that lookups of the mappings ask, by name (see `operators.lookups`).
     """
     usable = usable_specs(specs, a_sides, b_sides)
     unique = stage(one_per_event(events), "events")
     passed = stage(gated(unique, usable, window_ms), "gated")
-    result = settle(unique, passed, usable, a_sides, b_sides, merge=merge)
+    result = settle(unique, passed, usable, a_sides, b_sides, merge=merge, dims=dims)
     result.ledger = result.ledger.unionByName(repeated(passed, unique)).unionByName(nameless(events))
     return result
 
@@ -349,6 +359,7 @@ def settle(
     b_sides: Mapping[str, Side],
     *,
     merge: bool = False,
+    dims: Mapping[str, DataFrame] | None = None,
 ) -> SyncResult:
     """Everything after the gate, for gate rows with their reason (see `with_reason`)."""
     skipped = _outcome(gate.where("reason is not null"), "skipped", F.col("reason"))
@@ -364,7 +375,7 @@ def settle(
     by_name = {s.name: s for s in usable}
     found = stage_all(
         {
-            f"matched-{way}-{n}": matched_rows(events, passed, by_name[n], way, *ends[n, way])
+            f"matched-{way}-{n}": matched_rows(events, passed, by_name[n], way, *ends[n, way], dims or {})
             for n, way in ends
         }
     )
