@@ -20,8 +20,11 @@ from tablesync.llm.common import KEY, pack, texts
 
 SPACE = "▁"  # fixed value: stands for a space inside pieces
 _UNKNOWN, _CONTROL, _BYTE, _NORMAL = 2, 3, 6, 1
-_KNOWN_SEGMENTS = 400_000
-_KNOWN_CHARS = 48
+_KNOWN_SEGMENTS = 500_000
+_LISTED_CHARS = 48
+_WINDOW_CHARS = 1 << 16
+_NEVER = float("inf")
+_IDS_PER_STEP = 4096
 _IDS_PER_BATCH = 2_000_000
 _NO_TEXT = re.compile("[\udc80-\udcff]")
 
@@ -41,44 +44,78 @@ class Vocabulary:
         if train.treat_whitespace_as_suffix:
             raise ValueError("white space as a suffix is not supported")
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
+        #: the better a piece, the lower its rank
+        self.ranks: dict[str, float] = {}
         self.byte_ids = [0] * 256
-        #: what each id stands for: text, a byte, or None for ids without text
-        self.stands: list[str | int | None] = []
+        #: the bytes each id stands for
+        self.stands: list[bytes] = []
         for i, p in enumerate(spec.pieces):
             if p.type == _NORMAL:
-                self.ids[p.piece], self.scores[p.piece] = i, p.score
-                self.stands.append(p.piece)
+                self.ids[p.piece], self.ranks[p.piece] = i, -p.score
+                self.stands.append(p.piece.replace(SPACE, " ").encode())
             elif p.type == _BYTE:
                 byte = int(p.piece[3:-1], 16)
                 self.byte_ids[byte] = i
-                self.stands.append(byte)
+                self.stands.append(bytes([byte]))
             elif p.type in (_UNKNOWN, _CONTROL):
-                self.stands.append(None)
+                self.stands.append(train.unk_surface.encode() if p.type == _UNKNOWN else b"")
             else:
                 raise ValueError(f"piece {p.piece!r} is of a kind that is not supported")
-        self.unknown = next((i for i, p in enumerate(spec.pieces) if p.type == _UNKNOWN), None)
-        self.unknown_text = train.unk_surface
         self.end = next(i for i, p in enumerate(spec.pieces) if p.piece == train.eos_piece)
         self.dummy_prefix = normal.add_dummy_prefix
+        self.spaced = {i for piece, i in self.ids.items() if piece.startswith(SPACE)}
         # Two neighbours that no piece holds side by side never merge: the text can be cut there.
         self.joints = {a + b for piece in self.ids for a, b in zip(piece, piece[1:])}
         self.space_leads = all(not piece.lstrip(SPACE).count(SPACE) for piece in self.ids)
 
 
+def _segments(vocabulary: Vocabulary) -> re.Pattern:
+    """How a text is cut first, at places where nothing can merge: before spaces, if they can only
+    lead a piece, and between letters and other characters. Letters that some piece joins
+    with others (such as a raised digit and a full stop) count as others."""
+    if not vocabulary.space_leads:
+        return re.compile(r"(?s).+")
+    letter = re.compile(r"[^\W\d_]")
+    mixed = "".join(
+        c for j in vocabulary.joints if SPACE not in j and bool(letter.match(j[0])) != bool(letter.match(j[1])) for c in j
+    )
+    odd = re.escape("".join(c for c in set(mixed) if letter.match(c)))
+    return re.compile(f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[^\\w{SPACE}]|[\\d_{odd}])+|{SPACE}+")
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, array] = {}
-        # where a space can only lead a piece, nothing merges across "letter, space"
-        self.segment = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if vocabulary.space_leads else r"(?s).+")
-
-    def merged(self, segment: str) -> list[str]:
-        """All merges inside a segment. The agenda holds the neighbours whose union is a piece; the
-        best score goes first, of equal ones the leftmost. Entries whose symbols have changed
-        meanwhile are known by their length and skipped."""
-        scores = self.vocabulary.scores.get
-        symbols: list[str] = list(segment)
+        self.known: dict[str, bytes] = {}
+        self.segment = _segments(vocabulary)
+
+    def merged(self, stretch: str) -> list[str]:
+        """All merges inside a stretch of text. The agenda holds the neighbours whose union is a
+        piece; the best score goes first, of equal ones the leftmost. A short agenda is a list in
+        the order of the text, a long one a heap."""
+        return self._listed(stretch) if len(stretch) <= _LISTED_CHARS else self._heaped(stretch)
+
+    def _listed(self, stretch: str) -> list[str]:
+        rank, never = self.vocabulary.ranks.get, _NEVER
+        symbols = list(stretch)
+        agenda = [rank(a + b, never) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            union = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(union + symbols[i + 1], never)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + union, never)
+        return symbols
+
+    def _heaped(self, stretch: str) -> list[str]:
+        """Entries whose symbols have changed meanwhile are known by their length and skipped."""
+        rank = self.vocabulary.ranks.get
+        symbols: list[str] = list(stretch)
         before = list(range(-1, len(symbols) - 1))
         behind = [*range(1, len(symbols)), -1]
         agenda: list[tuple[float, int, int, int]] = []
@@ -86,9 +123,9 @@ class Encoder:
         def propose(left: int, right: int) -> None:
             if left >= 0 and right >= 0:
                 union = symbols[left] + symbols[right]
-                score = scores(union)
-                if score is not None:
-                    heapq.heappush(agenda, (-score, left, right, len(union)))
+                place = rank(union)
+                if place is not None:
+                    heapq.heappush(agenda, (place, left, right, len(union)))
 
         for i in range(len(symbols) - 1):
             propose(i, i + 1)
@@ -105,80 +142,63 @@ class Encoder:
             propose(left, after)
         return [s for s in symbols if s]
 
-    def pieces(self, segment: str) -> Iterator[str]:
-        """A long segment is cut where nothing can merge, so that an agenda stays small."""
-        if len(segment) <= _KNOWN_CHARS:
-            yield from self.merged(segment)
-            return
-        joints, start = self.vocabulary.joints, 0
-        for at in range(1, len(segment)):
-            if segment[at - 1 : at + 1] not in joints:
-                yield from self.merged(segment[start:at])
-                start = at
-        yield from self.merged(segment[start:])
-
-    def segment_ids(self, segment: str) -> array:
+    def cut(self, text: str, size: int) -> Iterator[tuple[int, int]]:
+        """Parts of at least `size` characters, cut where nothing can merge."""
+        joints, start, end = self.vocabulary.joints, 0, len(text)
+        while end - start > size:
+            at = start + size
+            while at < end and text[at - 1 : at + 1] in joints:
+                at += 1
+            yield start, at
+            start = at
+        yield start, end
+
+    def segment_ids(self, segment: str) -> bytes:
+        """The packed ids of a segment; those of a short one are remembered, up to a fixed number."""
         ids, byte_ids = self.vocabulary.ids.get, self.vocabulary.byte_ids
         out = array("i")
-        for piece in self.pieces(segment):
-            found = ids(piece)
-            if found is not None:
-                out.append(found)
-            else:  # a single character without a piece: its bytes
-                out.extend([byte_ids[b] for b in piece.encode()])
-        return out
+        short = len(segment) <= _LISTED_CHARS
+        for a, b in ((0, len(segment)),) if short else self.cut(segment, 1):
+            for piece in self.merged(segment[a:b]):
+                found = ids(piece)
+                if found is not None:
+                    out.append(found)
+                else:  # a single character without a piece: its bytes
+                    out.extend([byte_ids[b] for b in piece.encode()])
+        packed = out.tobytes()
+        if short:
+            if len(self.known) >= _KNOWN_SEGMENTS:
+                self.known.clear()
+            self.known[segment] = packed
+        return packed
 
     def encode(self, text: str) -> array:
-        """The ids of a text, the end id last; short segments are remembered, up to a fixed number."""
-        out, known = array("i"), self.known
+        """The ids of a text, the end id last."""
+        out = array("i")
         if text:
             spaced = (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE)
-            for m in self.segment.finditer(spaced):
-                segment = m[0]
-                ids = known.get(segment)
-                if ids is None:
-                    ids = self.segment_ids(segment)
-                    if len(segment) <= _KNOWN_CHARS:
-                        if len(known) >= _KNOWN_SEGMENTS:
-                            known.clear()
-                        known[segment] = ids
-                out.extend(ids)
+            known, segment_ids, segments = self.known.get, self.segment_ids, self.segment.findall
+            for start, end in self.cut(spaced, _WINDOW_CHARS):
+                out.frombytes(b"".join([known(s) or segment_ids(s) for s in segments(spaced, start, end)]))
         out.append(self.vocabulary.end)
         return out
 
 
-def decode(ids, vocabulary: Vocabulary) -> Iterator[str]:
-    """Text piece by piece. The state between ids: at most three bytes of an unfinished character,
-    and whether a leading space is still the one that encoding put there."""
+def decode(ids: array, vocabulary: Vocabulary) -> Iterator[str]:
+    """Text step by step. The state between ids: at most three bytes of an unfinished character,
+    and whether a leading space is still the one that encoding put there. Each byte that is no
+    text becomes U+FFFD."""
     machine = codecs.getincrementaldecoder("utf-8")("surrogateescape")
-    leading, pending = vocabulary.dummy_prefix, False
-
-    def readable(said: str) -> str:
-        return _NO_TEXT.sub("�", said)  # each byte that is no text
-
-    for i in ids:
-        what = vocabulary.stands[i]
-        if isinstance(what, int):
-            said = machine.decode(bytes([what]))
-            pending = True
-            if said:
-                leading = False
-                yield readable(said)
-            continue
-        if pending:
-            pending, leading = False, False
-            yield readable(machine.decode(b"", final=True))
-            machine.reset()
-        if what is None:
-            if i == vocabulary.unknown:
-                leading = False
-                yield vocabulary.unknown_text
-            continue
-        if leading and what.startswith(SPACE):
-            what = what[1:]
-        leading = False
-        yield what.replace(SPACE, " ")
-    yield readable(machine.decode(b"", final=True))
+    stands, first = vocabulary.stands, 0
+    if vocabulary.dummy_prefix:
+        while first < len(ids) and not stands[ids[first]]:
+            first += 1
+        if first < len(ids) and ids[first] in vocabulary.spaced:
+            yield machine.decode(stands[ids[first]][1:])
+            first += 1
+    for at in range(first, len(ids), _IDS_PER_STEP):
+        yield _NO_TEXT.sub("\ufffd", machine.decode(b"".join([stands[i] for i in ids[at : at + _IDS_PER_STEP]])))
+    yield _NO_TEXT.sub("\ufffd", machine.decode(b"", final=True))
 
 
 @lru_cache(maxsize=2)

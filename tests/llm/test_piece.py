@@ -56,7 +56,17 @@ def test_cutting_long_segments_changes_nothing(encoder):
     some = [p for p in encoder.vocabulary.ids if not p.startswith(piece.SPACE)]
     for _ in range(40):
         text = "".join(rng.choice(some) for _ in range(200))
-        assert list(encoder.pieces(text)) == encoder.merged(text)
+        whole = encoder._heaped(text)
+        assert [p for a, b in encoder.cut(text, 1) for p in encoder.merged(text[a:b])] == whole
+        assert encoder._listed(text) == whole
+
+
+def test_windows_and_odd_letters(encoder, library, monkeypatch):
+    monkeypatch.setattr(piece, "_WINDOW_CHARS", 5)
+    for text in odd_texts():
+        assert encoder.encode(text).tolist() == library.encode(text, add_eos=True), text
+    for text in ("x².y ². a². ²", "1².²b", "é².é"):
+        assert encoder.encode(text).tolist() == library.encode(text, add_eos=True), text
 
 
 def test_a_long_stretch_takes_no_quadratic_time(encoder, library):
