@@ -20,12 +20,15 @@ from tablesync.llm.common import KEY, pack, texts
 
 SPACE = "▁"  # fixed value: stands for a space inside pieces
 _UNKNOWN, _CONTROL, _BYTE, _NORMAL = 2, 3, 6, 1
-_KNOWN_SEGMENTS = 500_000
+_KNOWN_SEGMENTS = 400_000
+_KNOWN_WORDS = 700_000
 _LISTED_CHARS = 48
 _WINDOW_CHARS = 1 << 16
 _NEVER = float("inf")
 _IDS_PER_STEP = 4096
 _IDS_PER_BATCH = 2_000_000
+_BYTES_TOGETHER = 1 << 18
+_FIRST_SPACE = re.compile("(?<! ) ")
 _NO_TEXT = re.compile("[\udc80-\udcff]")
 
 
@@ -87,6 +90,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.plain = vocabulary.space_leads and vocabulary.dummy_prefix
         self.segment = _segments(vocabulary)
 
     def merged(self, stretch: str) -> list[str]:
@@ -172,18 +177,55 @@ class Encoder:
             self.known[segment] = packed
         return packed
 
+    def spaced_ids(self, spaced: str) -> bytes:
+        known, segment_ids = self.known.get, self.segment_ids
+        return b"".join([known(s) or segment_ids(s) for s in self.segment.findall(spaced)])
+
+    def word_ids(self, word: str) -> bytes:
+        """The packed ids of a word with a space before it; short words are remembered, too."""
+        packed = self.spaced_ids(SPACE + word)
+        if len(word) <= _LISTED_CHARS:
+            if len(self.words) >= _KNOWN_WORDS:
+                self.words.clear()
+            self.words[word] = packed
+        return packed
+
     def encode(self, text: str) -> array:
-        """The ids of a text, the end id last."""
+        """The ids of a text, the end id last. The text is read in windows; where single spaces
+        separate its words, a word is looked up as it is."""
         out = array("i")
-        if text:
+        if not text:
+            pass
+        elif not self.plain or SPACE in text:
             spaced = (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE)
-            known, segment_ids, segments = self.known.get, self.segment_ids, self.segment.findall
             for start, end in self.cut(spaced, _WINDOW_CHARS):
-                out.frombytes(b"".join([known(s) or segment_ids(s) for s in segments(spaced, start, end)]))
+                out.frombytes(self.spaced_ids(spaced[start:end]))
+        else:
+            known, word_ids = self.words.get, self.word_ids
+            for part in _windows(text, _WINDOW_CHARS):
+                if "  " in part or part.startswith(" "):
+                    spaced = SPACE + part.replace(" ", SPACE)
+                    for start, end in self.cut(spaced, _WINDOW_CHARS):
+                        out.frombytes(self.spaced_ids(spaced[start:end]))
+                else:
+                    out.frombytes(b"".join([known(w) or word_ids(w) for w in part.split(" ")]))
         out.append(self.vocabulary.end)
         return out
 
 
+def _windows(text: str, size: int) -> Iterator[str]:
+    """Parts of a text between two spaces; the space before a part, like that which encoding puts
+    before the text, is left out."""
+    start = 0
+    while len(text) - start > size:
+        found = _FIRST_SPACE.search(text, start + size)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.end()
+    yield text[start:]
+
+
 def decode(ids: array, vocabulary: Vocabulary) -> Iterator[str]:
     """Text step by step. The state between ids: at most three bytes of an unfinished character,
     and whether a leading space is still the one that encoding put there. Each byte that is no
@@ -207,6 +249,20 @@ def _loaded(model: bytes) -> tuple[Vocabulary, Encoder, sentencepiece.SentencePi
     return vocabulary, Encoder(vocabulary), sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
+def _together(found: Iterator[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """Numbered texts in lists of a bounded size, or one text each."""
+    some: list[tuple[int, bytes]] = []
+    size = 0
+    for row, data in enumerate(found):
+        if some and size + len(data) > _BYTES_TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append((row, data))
+        size += len(data)
+    if some:
+        yield some
+
+
 def _packets(rows: Iterator[tuple], columns: int) -> Iterator[list[list]]:
     """Rows gathered to batches of a bounded number of ids, however long a text is."""
     held: list[list] = [[] for _ in range(columns)]
@@ -252,20 +308,20 @@ def encode(docs: DataFrame, path: str, check: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, encoder, library = _loaded(model.value)
         for batch in batches:
+            keys = batch.select(["doc_id", *KEY])
 
             def coded(batch=batch) -> Iterator[tuple]:
-                for row, data in enumerate(texts(batch, "text")):
-                    text = data.decode()
-                    ids = encoder.encode(text)
-                    back = "".join(decode(ids, vocabulary))
-                    agrees = None
-                    if check:
-                        theirs = library.encode(text, add_eos=True)
-                        agrees = array("i", theirs) == ids and library.decode(theirs) == back
-                    yield len(ids), (row, ids, back, agrees)
+                for some in _together(texts(batch, "text")):
+                    said = [data.decode() for _, data in some]
+                    theirs = library.encode(said, add_eos=True, num_threads=1) if check else [None] * len(some)
+                    for (row, _), text, their in zip(some, said, theirs):
+                        ids = encoder.encode(text)
+                        back = "".join(decode(ids, vocabulary))
+                        agrees = array("i", their) == ids and library.decode(their) == back if check else None
+                        yield len(ids), (row, ids, back, agrees)
 
             for place, ids, back, agrees in _packets(coded(), 4):
-                kept = batch.take(pa.array(place))
+                kept = keys.take(pa.array(place))
                 flat = array("i")
                 ends = array("i", [0])
                 for some in ids:
@@ -273,7 +329,7 @@ def encode(docs: DataFrame, path: str, check: bool = False) -> DataFrame:
                     ends.append(len(flat))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [*kept.columns[:3], lists, pa.array(back, pa.string()), pa.array(agrees, pa.bool_())],
+                    [*kept.columns, lists, pa.array(back, pa.string()), pa.array(agrees, pa.bool_())],
                     names=schema.names,
                 )
 

@@ -65,6 +65,8 @@ def test_windows_and_odd_letters(encoder, library, monkeypatch):
     monkeypatch.setattr(piece, "_WINDOW_CHARS", 5)
     for text in odd_texts():
         assert encoder.encode(text).tolist() == library.encode(text, add_eos=True), text
+    for text in ("a b  c d", " a b c d e f", "abcdef  ", "abcde f", "abcdef ghijkl  mnop"):
+        assert encoder.encode(text).tolist() == library.encode(text, add_eos=True), text
     for text in ("x².y ². a². ²", "1².²b", "é².é"):
         assert encoder.encode(text).tolist() == library.encode(text, add_eos=True), text
 
