@@ -51,13 +51,14 @@ def _named(*names: str):
 
 
 def apply_transform(value: Column, ctx: Context) -> Column:
-    """The transform of `ctx.conf['type']`; no type leaves the value as it is."""
-    kind = ctx.conf.get("type")
-    if not kind:
-        return value
-    if kind not in _REGISTRY:
-        raise ValueError(f"unknown transform type {kind!r}")
-    return _REGISTRY[kind](value, ctx)
+    """The transform of `ctx.conf['type']`; an unknown type leaves the value as it is. Mappings
+    that name one are refused when they are compiled (`known_transform`)."""
+    fn = _REGISTRY.get(ctx.conf.get("type", ""))
+    return value if fn is None else fn(value, ctx)
+
+
+def known_transform(kind: str | None) -> bool:
+    return not kind or kind in _REGISTRY
 
 
 # --- names -------------------------------------------------------------------------

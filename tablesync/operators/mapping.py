@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablesync.functions import render
 from tablesync.functions.text import first_non_empty, non_empty
-from tablesync.functions.transforms import HIT, Context, apply_transform, combine_name, split_name
+from tablesync.functions.transforms import HIT, Context, apply_transform, combine_name, known_transform, split_name
 from tablesync.profiles import A2B, B2A, MappingSpec, profile_of, sides
 
 PRESENT = "_present"
@@ -118,6 +118,8 @@ def _derive(row: _Row, spec: MappingSpec, direction: str) -> None:
         kind = conf.get("type")
         if kind in ("email_priority", "name_combination", "reverse_name_combination"):
             continue
+        if not known_transform(kind):
+            raise ValueError(f"the rule of {name!r} names an unknown transform {kind!r}")
         into = conf.get("into", name)
         known = row.fields.get(name)
         creates = kind == "default_value" or (

@@ -129,3 +129,26 @@ def test_mapping_lookup_prefers_the_given_specs():
 def test_bad_direction():
     with pytest.raises(ValueError):
         sides("a2a")
+
+
+def test_a_mapping_with_an_unknown_transform_is_refused(spark):
+    spec = MappingSpec("m", "A", "b", {"x": "y"}, derive_a2b={"x": {"type": "no such type"}})
+    with pytest.raises(ValueError, match="unknown transform"):
+        m.compile_mapping(spark.createDataFrame([("1",)], "x string"), spec, A2B)
+
+
+def test_lookups_keep_what_they_do_not_find(spark):
+    from tablesync.operators.lookups import map_with_lookups
+
+    conf = {"type": "lookup", "b_table": "dim", "a_field": "k", "b_field": "v"}
+    items = {**conf, "type": "array_to_uuid_array"}
+    spec = MappingSpec("m", "A", "b", {"x": "y", "items": "items"}, derive_a2b={"x": conf, "items": items})
+    df = spark.createDataFrame(
+        [("1", "p", "['p', 'q', 'p']"), ("2", "?", "[]"), ("3", None, "no list"), ("4", "q", None)], "name string, x string, items string"
+    )
+    # two rows for one key: the smaller value; a key without a value is no hit
+    dim = spark.createDataFrame([("p", "P2"), ("p", "P1"), ("q", None)], "k string, v string")
+    rows = map_with_lookups(df, spec, A2B, {"dim": dim}, "name", keep=("name",)).sort("_name").collect()
+    assert [(r.y, r["items"]) for r in rows] == [("P1", ["P1", "q", "P1"]), ("?", []), (None, None), ("q", None)]
+    with pytest.raises(ValueError, match="not given"):
+        map_with_lookups(df, spec, A2B, {}, "name")

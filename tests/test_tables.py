@@ -71,12 +71,28 @@ def test_match_by_subject_verifies_the_snippet(spark):
     )
     mapped = m.map_records(tasks, presets.TASK, A2B, keep=("name",))
     found = match.find_targets(mapped, target, presets.TASK, A2B, "id", salt="_name")
-    # the first row of a subject is the one that is tested
+    # all rows of a subject are tested, the smallest id of those that fit is taken
     assert rows(found, "_name", "target_id", "found_id") == [
-        ("a", None, "1"), ("b", "1", "1"), ("c", None, "3"), ("d", None, None),
+        ("a", "2", "1"), ("b", "1", "1"), ("c", None, "3"), ("d", None, None),
     ]
 
 
+def test_many_targets_and_texts_of_one_subject(spark):
+    target = spark.createDataFrame(
+        [(f"{i:04d}", "hot", f"page {i % 50} end") for i in range(2000)] + [(f"x{i}", f"s{i}", "y") for i in range(500)],
+        "id string, task_name string, page_content string",
+    )
+    tasks = [(f"n{i}", "hot", f"page {i % 60} end") for i in range(300)] + [("o", "s7", "y"), ("p", "s7", "z")]
+    mapped = m.map_records(spark.createDataFrame(tasks, "name string, subject string, description string"), presets.TASK, A2B, keep=("name",))
+    found = match.find_targets(mapped, target, presets.TASK, A2B, "id", ("page_content",), salt="_name")
+    got = {r._name: (r.target_id, r.t_page_content) for r in found.collect()}
+    want = {f"n{i}": (f"{i % 60:04d}", f"page {i % 60} end") if i % 60 < 50 else (None, None) for i in range(300)}
+    assert got == want | {"o": ("x7", "y"), "p": (None, None)}
+    # the target is cut to the keys of the batch before anything is aggregated
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2
+
+
 def test_operations_follow_the_batch(spark):
     hour = 3_600_000_000
     events = spark.createDataFrame(
