@@ -282,3 +282,55 @@ def test_mapping_validation_wants_containers_not_text(spark):
     df = spark.createDataFrame(rows, "conf string")
     got = [r.e for r in df.select(mtab.validation_errors(F.col("conf"), "api").alias("e")).collect()]
     assert [len(e) for e in got] == [2, 0]
+
+
+def test_attempts_add_up_to_operations(spark):
+    from tablesync.plans import operations as op
+
+    names = "event_id long, source string, entity string, record_id string, direction string, operation string, target_id string, status string, reason string"
+    events = spark.createDataFrame([(1, 10**6), (2, 2 * 10**6), (2, 5 * 10**6), (3, 10**6)], "event_id long, us long")
+
+    def outcome(event_id, status, reason=None):
+        return (event_id, "a", "Task", "r", "a2b", "update", "t", status, reason)
+
+    def attempt(n, *rows_):
+        return op.attempts(spark.createDataFrame(list(rows_), names), events, F.timestamp_seconds(F.lit(10 * n)), n)
+
+    # a repeated delivery of a failed event is one operation with it
+    log = attempt(1, outcome(1, "success"), outcome(2, "error", "bad"), outcome(2, "skipped", "duplicate"), outcome(3, "conflict", "manual"))
+    ops = op.operations(log)
+    assert rows(ops, "event_id", "status", "retry_count", "error", "duration") == [
+        (1, "completed", 0, None, 9.0), (2, "failed", 0, "bad", 8.0), (3, "conflict", 0, None, 9.0),
+    ]
+    assert {r.event_id for r in op.reinjected(events, ops).collect()} == {2}
+    for n in (2, 3, 4):
+        log = log.unionByName(attempt(n, outcome(2, "error", f"bad {n}")))
+    last = op.operations(log).where("event_id = 2").first()
+    assert (last.status, last.retry_count, last.error) == ("failed", 3, "bad 4")
+    assert op.reinjected(events, op.operations(log)).count() == 0  # a dead letter
+    healed = op.operations(log.unionByName(attempt(5, outcome(2, "success")))).where("event_id = 2").first()
+    assert (healed.status, healed.error) == ("completed", None) and healed.completed_at is not None
+
+
+def test_decisions_settle_conflicts(spark):
+    from tablesync.plans import conflicts as cr
+
+    def clash(event_id, us, key, incoming, written):
+        return (event_id, us, "m", "a2b", "b", "tasks", "r", key, "manual", "conflict", ["p"], incoming, "{}", written)
+
+    found = spark.createDataFrame(
+        [clash(1, 1, "k1", '{"p":"first","q":"x"}', ["p"]), clash(2, 2, "k1", '{"p":"second"}', ["p"]),
+         clash(3, 3, "k2", '{"p":"third"}', ["p"]), clash(4, 4, "k3", '{"p":"fourth"}', ["p"])],
+        cr.SCHEMA,
+    )
+    table = spark.createDataFrame([("k1", "a", "b"), ("k2", "c", "d"), ("k3", "e", "f")], "id string, p string, q string")
+    said = spark.createDataFrame(
+        [(1, "m", "incoming"), (2, "m", "incoming"), (3, "m", "target"), (4, "m", "perhaps"), (9, "m", "incoming")],
+        "event_id long, mapping string, winner string",
+    )
+    after = cr.resolve_manual(found, said, {("b", "tasks"): table})["b", "tasks"]
+    # played in the order of the events; what was not to be written stays
+    assert rows(after) == [("k1", "second", "b"), ("k2", "c", "d"), ("k3", "e", "f")]
+    assert rows(cr.settlements(found, said), "event_id", "status", "reason") == [
+        (1, "success", "manual_incoming"), (2, "success", "manual_incoming"), (3, "skipped", "manual_target"),
+    ]
