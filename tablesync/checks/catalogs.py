@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.checks.registry import query
@@ -10,6 +10,7 @@ from tablesync.checks.views import Tables
 from tablesync.operators import catalog as ct
 from tablesync.operators import mapping_table as mtab
 from tablesync.operators import schema_match as sm
+from tablesync.session import stage
 
 
 @query("catalog_a", """
@@ -141,44 +142,111 @@ def translate_types(t: Tables):
     return t("typed_fields").select("p_partkey", b.alias("b"), ct.spark_type(b).alias("spark"))
 
 
-# --- schema matching: catalogs of the derived records of both systems -----------------
+# --- schema matching: catalogs whose names are made from the rows of the parts --------
 
-_SIDE_A = {"Person": "a_person", "Task": "a_task", "Part": "part", "Order_Line": "lineitem"}
-_SIDE_B = {"persons": "b_person", "tasks": "b_task", "parts": "part", "order_lines": "lineitem"}
-# The field type of side a that each inferred type stands for.
-_A_TYPE = {"varchar": "Data", "text": "Text", "integer": "Int", "numeric": "Float", "boolean": "Check",
-           "timestamp": "Datetime", "date": "Date"}
+
+def _block(x: str, y: str) -> str:
+    """SQL: 1000 x length - start of the longest common part, the first in x of equals; or 0."""
+    return (
+        f"coalesce(list_max(flatten([[k * 1000 - i for k in range(1, len({x}) - i + 2) if contains({y}, {x}[i:i + k - 1])]"
+        f" for i in range(1, len({x}) + 1)])), 0)"
+    )
+
+
+# Ratios of all pairs (l, r) of `pairs`: the longest common part, then the same left and right of it.
+_RATIO = f"""
+seg(l, r, x, y) AS (
+  SELECT l, r, l, r FROM pairs
+  UNION ALL
+  SELECT l, r, CASE side WHEN 0 THEN x[1:i - 1] ELSE x[i + k:] END, CASE side WHEN 0 THEN y[1:j - 1] ELSE y[j + k:] END
+  FROM (SELECT *, instr(y, x[i:i + k - 1]) AS j, unnest([0, 1]) AS side
+        FROM (SELECT *, (code + 999) // 1000 AS k, (code + 999) // 1000 * 1000 - code AS i
+              FROM (SELECT *, {_block("x", "y")} AS code FROM seg WHERE x <> '' AND y <> '') c WHERE code > 0) d) e),
+ratio AS (
+  SELECT l, r, CASE WHEN l = '' AND r = '' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * m / (length(l) + length(r)) END AS ratio
+  FROM (SELECT l, r, sum(({_block("x", "y")} + 999) // 1000)::DOUBLE AS m FROM seg GROUP BY l, r) s)"""
+
+_PLAIN = "replace(lower(tab), '_', '')"
+_TABLES = f"""
+WITH RECURSIVE ta AS (SELECT DISTINCT tab, {_PLAIN} AS n FROM fields_a), tb AS (SELECT DISTINCT tab, {_PLAIN} AS n FROM fields_b),
+fa AS (SELECT tab, ordinal, fieldname, lower(fieldname) AS n, lower(label) AS t, fieldtype FROM fields_a),
+fb AS (SELECT tab, ordinal, fieldname, lower(fieldname) AS n, lower(label) AS t, fieldtype FROM fields_b),
+pairs AS (SELECT DISTINCT ta.n AS l, tb.n AS r FROM ta, tb
+  UNION SELECT x.n, y.n FROM (SELECT DISTINCT n FROM fa) x, (SELECT DISTINCT n FROM fb) y
+  UNION SELECT x.t, y.t FROM (SELECT DISTINCT t FROM fa) x, (SELECT DISTINCT t FROM fb) y),
+{_RATIO},
+scored AS (SELECT ta.tab AS a_table, tb.tab AS b_table, CASE WHEN l = r THEN 1.0
+    WHEN contains(l, r) OR contains(r, l) THEN greatest(ratio, {sm.CONTAINED_SCORE}) ELSE ratio END AS score
+  FROM ratio JOIN ta ON ta.n = l JOIN tb ON tb.n = r),
+tables AS (SELECT a_table, b_table, score FROM (SELECT *, row_number() OVER (PARTITION BY a_table ORDER BY score DESC, b_table) AS pick
+    FROM scored) s WHERE pick = 1 AND score > {sm.TABLE_THRESHOLD})"""
+_FIELDS = f"""{_TABLES},
+kinds AS (SELECT a.*, b.tab AS b_tab, b.ordinal AS b_ordinal, b.fieldname AS b_field, b.n AS b_n, b.t AS b_t, cast(CASE
+    WHEN (a.fieldtype = 'Data' AND b.fieldtype IN ('text', 'varchar')) OR (a.fieldtype = 'Int' AND b.fieldtype IN ('integer', 'bigint'))
+      OR (a.fieldtype = 'Float' AND b.fieldtype IN ('numeric', 'real', 'double precision')) OR (a.fieldtype = 'Date' AND b.fieldtype = 'date') THEN 1.0
+    WHEN a.fieldtype = 'Date' AND contains(b.fieldtype, 'date') THEN 0.8 ELSE 0.0 END AS double) AS kind
+  FROM fa a JOIN tables p ON p.a_table = a.tab JOIN fb b ON b.tab = p.b_table),
+fits AS (SELECT tab, ordinal, fieldname, b_field, b_ordinal,
+    {sm.NAME_WEIGHT}::DOUBLE * n.ratio + {sm.TYPE_WEIGHT}::DOUBLE * kind + {sm.LABEL_WEIGHT}::DOUBLE * t.ratio AS score
+  FROM kinds k JOIN ratio n ON n.l = k.n AND n.r = k.b_n JOIN ratio t ON t.l = k.t AND t.r = k.b_t),
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tab, ordinal, fieldname ORDER BY score DESC, b_ordinal, b_field) AS pick
+    FROM fits WHERE score > {sm.FIELD_THRESHOLD}) f WHERE pick = 1),
+fields AS (SELECT a.tab AS a_table, p.b_table, a.ordinal, a.fieldname AS a_field, k.b_field, round(k.score, 6) AS score
+  FROM fa a JOIN tables p ON p.a_table = a.tab
+  LEFT JOIN picked k ON k.tab = a.tab AND k.ordinal = a.ordinal AND k.fieldname = a.fieldname)"""
 
 
 def _catalogs(t: Tables):
-    a = reduce(DataFrame.unionByName, [ct.catalog_from_table(t(v), n) for n, v in _SIDE_A.items()])
-    b = reduce(DataFrame.unionByName, [ct.catalog_from_table(t(v), n) for n, v in _SIDE_B.items()])
-    kinds = F.create_map(*[F.lit(x) for p in _A_TYPE.items() for x in p])
-    return a.withColumn("fieldtype", F.try_element_at(kinds, F.col("fieldtype"))), b
+    return [stage(t(name).withColumnRenamed("tab", "table"), name) for name in ("fields_a", "fields_b")]
 
 
 def _fields(t: Tables):
     a, b = _catalogs(t)
-    tables = sm.match_tables(a, b)
-    return sm.match_fields(a, b, tables), b, tables
+    tables = stage(sm.match_tables(a, b), "matched-tables")
+    return stage(sm.match_fields(a, b, tables), "matched-fields"), b, tables
 
 
-@query("match_tables")
+@query("match_tables", f"{_TABLES} SELECT a_table, b_table, round(score, 6) AS score FROM tables")
 def match_tables(t: Tables):
     return sm.match_tables(*_catalogs(t))
 
 
-@query("match_fields")
+@query("match_fields", f"{_FIELDS} SELECT * FROM fields")
 def match_fields(t: Tables):
     return _fields(t)[0]
 
 
-@query("propose_mappings")
+@query("propose_mappings", f"""{_FIELDS},
+hits AS (SELECT * FROM fields WHERE b_field IS NOT NULL),
+pairs_of AS (SELECT a_table, b_table, CASE WHEN n > 0 THEN ((2 * micros + n) // (2 * n))::DOUBLE / 1000000 END AS field_score FROM (
+  SELECT a_table, b_table, sum(round(score * 1000000)::BIGINT)::BIGINT AS micros, count(score) AS n FROM fields GROUP BY a_table, b_table) s)
+SELECT concat_ws('_', p.a_table, p.b_table) AS name, p.a_table, p.b_table,
+  coalesce((SELECT string_agg(concat(a_field, '=', b_field), ',' ORDER BY ordinal, a_field) FROM hits h
+    WHERE h.a_table = p.a_table), '') AS forward,
+  coalesce((SELECT string_agg(concat(b_field, '=', a_field), ',' ORDER BY b_field) FROM (SELECT a_table, b_field,
+    arg_max(a_field, ordinal) AS a_field FROM hits GROUP BY a_table, b_field) h WHERE h.a_table = p.a_table), '') AS backward,
+  CASE WHEN EXISTS (FROM hits h WHERE h.a_table = p.a_table) THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence, field_score
+FROM pairs_of p""")
 def propose_mappings(t: Tables):
-    return sm.propose_mappings(_fields(t)[0])
+    found = sm.propose_mappings(_fields(t)[0])
 
+    def shown(entries: Column) -> Column:
+        return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
 
-@query("compare_schemas")
+    forward = F.transform(
+        "sync_fields", lambda f: F.struct(f.alias("key"), F.try_element_at("field_mappings", f).alias("value"))
+    )
+    return found.select(
+        "name", "a_table", "b_table", shown(forward).alias("forward"),
+        shown(F.array_sort(F.map_entries("reverse_mappings"))).alias("backward"), "confidence", "field_score",
+    )
+
+
+@query("compare_schemas", f"""{_FIELDS}
+SELECT a_table, b_table, a_field, b_field, score, CASE WHEN b_field IS NULL THEN 'only_a' ELSE 'mapped' END AS state FROM fields
+UNION ALL
+SELECT p.a_table, p.b_table, NULL, b.fieldname, NULL, 'only_b' FROM tables p JOIN fb b ON b.tab = p.b_table
+WHERE NOT EXISTS (FROM fields f WHERE f.a_table = p.a_table AND f.b_table = p.b_table AND f.b_field = b.fieldname)""")
 def compare_schemas(t: Tables):
     return sm.compare_schemas(*_fields(t))
 

@@ -187,6 +187,22 @@ SELECT concat(p_brand, ' ', cast(p_partkey AS string)) AS tab,
               '","length":', cast(p_size AS string), '},',
               '{"fieldname":"modified","fieldtype":"Datetime","description":"changed"}]') AS fields
 FROM part""",
+    # two catalogs with a row per field: names of tables and fields made from those of the parts
+    "fields_a": """
+SELECT tab, cast(min(p_partkey) AS int) AS ordinal, replace(p_name, ' ', '_') AS fieldname, p_name AS label,
+       split_part('Data,Int,Float,Date', ',', cast(1 + min(p_size) % 4 AS int)) AS fieldtype
+FROM (SELECT *, concat(p_brand, '_', p_type) AS tab FROM part UNION ALL SELECT *, p_type AS tab FROM part
+      UNION ALL SELECT *, concat('Item ', p_brand) AS tab FROM part) p
+GROUP BY tab, p_name""",
+    "fields_b": """
+SELECT tab, cast(min(p_partkey) AS int) AS ordinal, fieldname, min(shown) AS label,
+       split_part('text,integer,numeric,timestamp,varchar', ',', cast(1 + min(p_size) % 5 AS int)) AS fieldtype
+FROM (SELECT *, concat(lower(p_type), '_', replace(p_brand, '#', '')) AS tab,
+             CASE p_partkey % 3 WHEN 0 THEN concat(replace(p_name, ' ', '_'), 's') WHEN 1 THEN replace(p_name, ' ', '')
+                  ELSE concat(split_part(p_name, ' ', 2), '_', split_part(p_name, ' ', 1)) END AS fieldname,
+             CASE WHEN p_size % 2 = 0 THEN p_name ELSE concat('The ', upper(p_name)) END AS shown
+      FROM part) p
+GROUP BY tab, fieldname""",
     "typed_fields": """
 SELECT p_partkey,
        split_part('Data,Int,Float,Check,Date,Datetime,Time,Text,Small Text,Long Text,Code,Link,Dynamic Link,Select,Read Only,Password,Attach,Attach Image,Signature,Color,Barcode,Geolocation,Duration,Currency,Percent,Unknown', ',', cast(1 + p_partkey % 26 AS int)) AS a_type,
