@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tablesync.llm import ppm, secret_scan
@@ -134,3 +135,70 @@ def test_secret_query_against_matching(spark):
         base = brute.secrets(text[r.doc_id])
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, k, _ in base) for n in range(3)]
         assert r.base_sha256 == brute.sha(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base))
+
+
+def words_of(folder, remainder):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    found = {w for r in texts if r["doc_id"] % 2 == remainder for w in (r["text"] or "").split()}
+    return sorted(w for w in found if len(w) > 4 and w.isascii() and w.isalpha())
+
+
+@pytest.fixture(scope="module")
+def query_ratio(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id % 2 = 0").select("doc_id", "text")
+    return secret_scan.train(secret_scan.samples_by_rule(spark).unionByName(secret_scan.ordinary_samples(docs)))
+
+
+def test_secrets_joined_to_names_are_found_and_plain_tokens_are_not(spark, query_ratio):
+    hidden = "Xk29FjQ7LmZp04Ta", "wJalrXUtnFEMIK7MDENGb", "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ84tZ3"
+    access = "AKIA" + "IOSFODNN7EXAMPLE"
+    texts = [
+        f"internal_database_connection_pass_hash_for_staging_environment={hidden[0]}",
+        f"theinternal_configuration_handler_response_environment_service_name/{hidden[1]}",
+        f"{access}/{hidden[2]}",
+        f"{hidden[1]}/the_long_configuration_of_the_service/and_of_the_handler/{hidden[2]}",
+    ]
+    want = [{hidden[0]}, {hidden[1]}, {access, hidden[2]}, {hidden[1], hidden[2]}]
+    plain = [
+        "4390698575873170", "-" * 16, "=" * 24, "_" * 40, "2024-01-01T00-00-00", "20240101000000123",
+        "/usr/local/lib/python3/site-packages", "configuration_handler_response_name", "getInternalResponseHandler",
+        "/var/lib/containers/storage/overlay/images", "/home/user/website/index/main-page",
+    ]
+    rows = [(i, t, "en") for i, t in enumerate([*texts, *plain])]
+    got = {r.doc_id: {s.token for s in r.spans} for r in secret_scan.scan(frame(spark, rows), query_ratio).collect()}
+    assert got == {i: want[i] if i < len(want) else set() for i in range(len(rows))}
+
+
+def test_precision_and_recall_on_held_out_strings(spark, query_ratio):
+    rng = random.Random(11)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [upper + lower + digits, upper + lower + digits + "-_", lower + digits, upper + digits]
+    secrets = ["".join(rng.choices(a, k=rng.randint(20, 40))) for a in alphabets for _ in range(250)]
+    words = words_of(FOLDER, 1)
+    plain = [rng.choice("_-/=").join(rng.choices(words, k=rng.randint(2, 5))) for _ in range(800)]
+    plain += ["".join(rng.choices(digits, k=rng.randint(16, 24))) for _ in range(200)]
+    rows = [(i, t, "en") for i, t in enumerate([*secrets, *plain])]
+    found = {r.doc_id: r.spans for r in secret_scan.scan(frame(spark, rows), query_ratio).collect()}
+    hit = sum(any(s.kind in (2, 3) for s in found[i]) for i in range(len(secrets)))
+    wrong = sum(any(s.kind == 3 for s in found[i]) for i in range(len(secrets), len(rows)))
+    assert hit / len(secrets) > 0.95, hit
+    assert hit / (hit + wrong) > 0.95, wrong
+
+
+def test_blanked_texts_keep_positions(spark):
+    text = 'ü token=abc token="abcdefgh" AKIA' + "Z9" * 9 + " end"
+    df = spark.createDataFrame([(text,), ("",)], "t string")
+    got = df.select(secret_scan.blank(F.col("t"), secret_scan.ASSIGN, F.lit(True), 2, 6).alias("t")).collect()
+    assert [r.t for r in got] == ["ü token=abc " + " " * 15 + text[27:], ""]
+
+
+def test_ordinary_samples_are_bounded_and_take_equal_rows_once(spark):
+    rows = [(1, "hello there", "en")] * 50 + [(i, f"word{'abc'[i % 3] * 4} alpha", "en") for i in range(2, 40)]
+    docs = frame(spark, rows)
+    assert docs.count() == 88
+    got = secret_scan.ordinary_samples(docs, most_docs=1000).where("token = 'hello'").count()
+    assert got == 2  # as it stands and lower-cased
+    assert secret_scan.ordinary_samples(docs, most_docs=3).where("token = 'alpha'").count() <= 6
+    assert secret_scan.ordinary_samples(docs.limit(0)).count() == 0
