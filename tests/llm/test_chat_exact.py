@@ -154,3 +154,20 @@ def test_mix_query_keeps_to_its_targets(spark):
     again = {r.doc_id: r.taken for r in QUERIES["op1_mix_sources"](spark, FOLDER).collect()}
     assert again == {r.doc_id: r.taken for r in rows}
     assert mixing.mix and hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+def test_one_conversation_with_half_of_all_turns(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </s>") for i in range(700)]
+    rows += [(i, t, ("user", "assistant")[t % 2], f"{i} {t}") for i in range(2, 180) for t in range(4)]
+    made = chat.examples(frame(spark, rows, TURNS).repartition(5))
+    got = sorted(((r.conv_id, r.last_turn, r.whole, r.trainable, r.formatted) for r in made.collect()), key=repr)
+    assert got == sorted((e[:5] for e in examples_of(rows)), key=repr)
+
+
+def test_limits_of_blocks(spark):
+    for n in (63, 64, 65, 128, 129):
+        rows = [(c, i, "user", f"{c} {i}") for c in (None, 7) for i in range(n)]
+        made = chat.examples(frame(spark, rows, TURNS)).collect()
+        assert sorted((r.last_turn, r.whole, r.formatted) for r in made) == sorted(
+            (e[1], e[2], e[4]) for e in examples_of(rows)
+        )
