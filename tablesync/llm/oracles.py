@@ -64,9 +64,7 @@ l AS (SELECT doc_id, source, t, line, regexp_extract_all(translate(line, {_LETTE
   FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE len(b) > 0 GROUP BY doc_id),
 q AS (SELECT doc_id, source, t, array_to_string(b, ' ') AS k, len(b) AS words FROM l WHERE len(b) > 0),
-z AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
-o AS (SELECT q.source, k FROM q JOIN z ON z.source IS NOT DISTINCT FROM q.source
-  GROUP BY q.source, k, docs HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.10 * docs),
+o AS (SELECT source, k FROM q GROUP BY source, k HAVING count(DISTINCT t) > 20),
 x AS (SELECT doc_id, sum(words) AS n FROM q JOIN o ON o.k = q.k AND o.source IS NOT DISTINCT FROM q.source GROUP BY doc_id),
 f AS (SELECT d.doc_id, len(a) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines,

@@ -23,12 +23,11 @@ _SEED_MASK = (1 << 64) - 1
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is boilerplate of its host if more than `min_docs` of the host's documents and
-    more than `max_share` of them hold it. A document is depleted if boilerplate was removed
-    and fewer than `min_words` words or less than `min_left` of its words are left."""
+    """A line is boilerplate of its host if more than `max_docs` of the host's documents hold it,
+    however many the host has. A document is depleted if boilerplate was removed and fewer
+    than `min_words` words or less than `min_left` of its words are left."""
 
-    min_docs: int = 20
-    max_share: float = 0.10
+    max_docs: int = 20
     min_words: int = 20
     min_left: float = 0.30
 
@@ -138,13 +137,10 @@ def _judged(docs: DataFrame, limits: Limits) -> DataFrame:
     lines = measured.select(*KEY, "host", "content", F.explode("lines").alias("l")).select(
         *KEY, "host", "content", "l.line", "l.words"
     )
-    hosts = measured.groupBy("host").agg(F.count_distinct("content").alias("docs"))
     common = stage(
         lines.groupBy("line", "host")
         .agg(F.count_distinct("content").alias("held"))
-        .filter(F.col("held") > limits.min_docs)
-        .join(hosts, "host")
-        .filter(F.col("held") > limits.max_share * F.col("docs"))
+        .filter(F.col("held") > limits.max_docs)
         .select("line", "host"),
         "quality-lines",
     )

@@ -50,11 +50,10 @@ def quality(text):
     return len(words), sum(map(len, words)), symbols, again, len(marked)
 
 
-def boilerplate(docs, min_docs, max_share):
+def boilerplate(docs, max_docs):
     """docs: distinct (doc_id, source, text); -> words removed by document."""
-    held, hosts, lines = defaultdict(set), defaultdict(set), {}
+    held, lines = defaultdict(set), {}
     for doc_id, source, text in docs:
-        hosts[source].add(text)
         lines[doc_id] = [" ".join(WORD.findall(x)).translate(UPPER) for x in (text or "").split("\n")]
         for line in lines[doc_id]:
             held[source, line].add(text)
@@ -63,28 +62,25 @@ def boilerplate(docs, min_docs, max_share):
         out[doc_id] = sum(
             len(line.split(" "))
             for line in lines[doc_id]
-            if line
-            and len(held[source, line]) > min_docs
-            and len(held[source, line]) > max_share * len(hosts[source])
+            if line and len(held[source, line]) > max_docs
         )
     return out
 
 
-def without_boilerplate(docs, min_docs, max_share):
+def without_boilerplate(docs, max_docs):
     """docs: (doc_id, source, text) -> the same without the lines that `boilerplate` counts."""
-    held, hosts = defaultdict(set), defaultdict(set)
+    held = defaultdict(set)
 
     def key(line):
         return " ".join(WORD.findall(line)).translate(UPPER)
 
     for _, source, text in docs:
-        hosts[source].add(text)
         for line in (text or "").split("\n"):
             held[source, key(line)].add(text)
 
     def stays(source, line):
         n = len(held[source, key(line)])
-        return not key(line) or n <= min_docs or n <= max_share * len(hosts[source])
+        return not key(line) or n <= max_docs
 
     return [
         (i, source, text and "\n".join(x for x in text.split("\n") if stays(source, x)))

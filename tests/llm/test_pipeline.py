@@ -37,7 +37,7 @@ def test_order():
 
 def test_quality_stage(kept):
     rows = [(r.doc_id, r.source, r.text) for r in kept[0]]
-    removed = brute.boilerplate(rows, 20, 0.10)
+    removed = brute.boilerplate(rows, 20)
     want = set()
     for i, _, text in rows:
         words, _, _, _, repeated = brute.quality(text)
@@ -50,7 +50,7 @@ def test_quality_stage(kept):
 
 def test_quality_stage_gives_cleaned_texts(kept):
     rows = [(r.doc_id, r.source, r.text) for r in kept[0]]
-    want = {i: t for i, _, t in brute.without_boilerplate(rows, 20, 0.10)}
+    want = {i: t for i, _, t in brute.without_boilerplate(rows, 20)}
     assert all(r.text == want[r.doc_id] for r in kept[1])
 
 

@@ -42,9 +42,9 @@ def test_boilerplate_is_counted_per_host_and_depleted_documents_go(spark):
     rows += [(100 + i, "a", f"{menu}\nonly {i} here") for i in range(5)]  # nothing is left
     rows += [(200 + i, "b", f"{menu}\n{body[i]}") for i in range(5)]  # rare on this host
     rows += [(300 + i, "c", body[39]) for i in range(60)]  # copies are one document
-    limits = quality.Limits(min_docs=10, max_share=0.1)
+    limits = quality.Limits(max_docs=10)
     got = {r.doc_id: r for r in quality.judge(frame(spark, rows), limits).collect()}
-    want = brute.boilerplate(rows, 10, 0.1)
+    want = brute.boilerplate(rows, 10)
     assert {k: r.removed_words for k, r in got.items()} == want
     assert {k for k, r in got.items() if not r.kept} == set(range(100, 105))
     kept = quality.keep_good(frame(spark, rows), limits)
@@ -58,9 +58,9 @@ def test_kept_texts_are_without_boilerplate(spark):
     rows += [(i, "a", rows[0][2]) for i in (0, 0)]  # equal rows stay as many as they were
     rows += [(100, "b", rows[1][2]), (101, None, rows[2][2])]  # rare on these hosts
     rows += [(200 + i, None, f"Ünï\u00a0menu\n{body[i]}" + "\nÜNÏ\u00a0MENU" * (i == 0)) for i in range(15)]
-    limits = quality.Limits(min_docs=10, max_share=0.1)
+    limits = quality.Limits(max_docs=10)
     got = [(r.doc_id, r.source, r.text) for r in quality.keep_good(frame(spark, rows), limits).collect()]
-    assert sorted(got, key=repr) == sorted(brute.without_boilerplate(rows, 10, 0.1), key=repr)
+    assert sorted(got, key=repr) == sorted(brute.without_boilerplate(rows, 10), key=repr)
     texts = {i: t for i, _, t in got}
     assert texts[3] == f"\n{body[3]}\n \nown 3\n" and texts[100] == rows[1][2]
     assert texts[200] == f"{body[0]}\nÜNÏ\u00a0MENU"  # only A-Z are lower-cased
