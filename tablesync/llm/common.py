@@ -54,6 +54,11 @@ def pack(df: DataFrame, *needed: str) -> DataFrame:
     )
 
 
+def id_type(docs: DataFrame) -> str:
+    """The type of doc_id, as a schema string has it."""
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def unpack(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select("_row.*").toDF(*names)
 

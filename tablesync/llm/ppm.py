@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesync.llm.common import KEY, map_batches, pack, texts
+from tablesync.llm.common import KEY, id_type, map_batches, pack, texts
 from tablesync.session import stage
 
 UNKNOWN = "und"
@@ -283,7 +283,7 @@ def identify(docs: DataFrame, model: Model | Iterator[Model]) -> DataFrame:
         lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(of.langs))
         rows = packed.select("doc_id", *KEY, "text", lettered.alias("lettered"))
         shared = context.broadcast(of)
-        schema = "doc_id long, k1 long, k2 long, lang_pred string, bits double, weight double"
+        schema = f"doc_id {id_type(docs)}, k1 long, k2 long, lang_pred string, bits double, weight double"
         return map_batches(rows, _predict(shared), schema), shared
 
     if isinstance(model, Model):

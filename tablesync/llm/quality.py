@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesync.llm.common import KEY, WHITE, code_points, map_batches, pack, texts
+from tablesync.llm.common import KEY, WHITE, code_points, id_type, map_batches, pack, texts
 from tablesync.session import stage
 
 WINDOW = 8
@@ -128,7 +128,7 @@ def _judged(docs: DataFrame, limits: Limits) -> DataFrame:
         map_batches(
             packed,
             _measure,
-            "doc_id long, k1 long, k2 long, host long, content long, n_words long, word_chars long,"
+            f"doc_id {id_type(docs)}, k1 long, k2 long, host long, content long, n_words long, word_chars long,"
             " n_symbols long, n_dup_lines long, n_repeat_words long,"
             " lines array<struct<line: long, words: long>>",
         ),

@@ -91,6 +91,20 @@ def test_bitmaps_only_for_documents_that_lose_lines(spark):
     assert lines.read_bitmap(bytes(got[3]), 2).tolist() == [False, True]
 
 
+def test_a_limit_does_not_grow_with_the_host(spark):
+    body = [" ".join(f"w{i}x{j}" for j in range(25)) for i in range(400)]
+    rows = [(i, "a", ("menu line\n" if i < 25 else "") + body[i]) for i in range(400)]
+    got = {r.doc_id: r.removed_words for r in quality.judge(frame(spark, rows)).collect()}
+    assert got == {i: 2 if i < 25 else 0 for i in range(400)} == brute.boilerplate(rows, 20)
+
+
+def test_ids_of_any_type(spark):
+    rows = [(str(i), "a", f"menu\n{' '.join(f'w{i}x{j}' for j in range(25))}") for i in range(30)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, text string")
+    assert {r.doc_id: r.removed_words for r in quality.judge(docs).collect()} == brute.boilerplate(rows, 20)
+    assert quality.keep_good(docs).count() == 30
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert quality.judge(empty).count() == quality.keep_good(empty).count() == lines.drop_lines(empty).count() == 0
