@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from tablesync.llm.common import KEY, pack, texts
+from tablesync.llm.common import KEY, id_type, map_batches, pack, texts
 
 # Fixed values of byte-level BPE: how a text is cut before merging. White space is spelled out
 # as the Unicode property, without the information separators.
@@ -26,7 +25,6 @@ PIECES = (
 _CACHED_PIECES = 500_000
 _CACHED_BYTES = 64
 _IDS_PER_STEP = 4096
-_BYTES_PER_BATCH = 1 << 26
 
 
 def byte_letters() -> dict[str, int]:
@@ -153,24 +151,17 @@ class Encoder:
             at = m.end()
         yield text[at:], None
 
-    def emitted(self, text: str) -> Iterator[bytes]:
-        """The packed ids of a text, piece after piece; besides the text a piece is held."""
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, little-endian, 32 bits each."""
+        out: list[bytes] = []
         known = self.known
         for part, special in self.parts(text):
             if special is not None:
-                yield special
+                out.append(special)
                 continue
-            for found in self.pieces.finditer(part):
-                piece = found[0]
-                yield known.get(piece) or self.piece(piece)
-
-    def encode(self, text: str) -> bytearray:
-        """The ids of a text, little-endian, 32 bits each. Nothing grows with the text but the
-        ids themselves."""
-        out = bytearray()
-        for packed in self.emitted(text):
-            out += packed
-        return out
+            for piece in self.pieces.findall(part):
+                out.append(known.get(piece) or self.piece(piece))
+        return b"".join(out)
 
 
 def decode(ids: np.ndarray, token_bytes: list[bytes]) -> Iterator[str]:
@@ -188,47 +179,23 @@ def _loaded(document: str) -> tuple[Vocabulary, Encoder]:
     return vocabulary, Encoder(vocabulary)
 
 
-def _packets(rows: Iterator[tuple[int, bytes | str | None]]) -> Iterator[tuple[list[int], list]]:
-    """Numbered results in lists of a bounded size, however long a text is."""
-    places, held, size = [], [], 0
-    for place, value in rows:
-        places.append(place)
-        held.append(value)
-        size += len(value or b"")
-        if size >= _BYTES_PER_BATCH:
-            yield places, held
-            places, held, size = [], [], 0
-    if held:
-        yield places, held
-
-
 def _encode(document):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = _loaded(document.value)[1]
-        for batch in batches:
-            keys = batch.select(["doc_id", *KEY])
-            coded = ((i, encoder.encode(data.decode())) for i, data in enumerate(texts(batch, "text")))
-            for places, ids in _packets(coded):
-                kept = keys.take(pa.array(places))
-                packed = pa.array(map(memoryview, ids), pa.large_binary(), size=len(ids))
-                yield pa.RecordBatch.from_arrays([*kept.columns, packed.cast(pa.binary())], names=[*keys.schema.names, "ids"])
+        ids = [encoder.encode(data.decode()) for data in texts(batch, "text")]
+        columns = [*batch.columns[:-1], pa.array(ids, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "ids"])
 
     return run
 
 
 def _decode(document):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         token_bytes = _loaded(document.value)[0].token_bytes
-        for batch in batches:
-
-            def said_of(ids: pa.BinaryScalar) -> str | None:
-                return "".join(decode(np.frombuffer(ids.as_buffer(), "<u4"), token_bytes)) if ids.is_valid else None
-
-            for places, said in _packets((i, said_of(ids)) for i, ids in enumerate(batch.column("ids"))):
-                kept = batch.take(pa.array(places))
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array(said, pa.string())], names=[*batch.schema.names, "decoded"]
-                )
+        packed = (ids.as_py() for ids in batch.column("ids"))
+        back = [None if ids is None else "".join(decode(np.frombuffer(ids, "<u4"), token_bytes)) for ids in packed]
+        columns = [*batch.columns, pa.array(back, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "decoded"])
 
     return run
 
@@ -245,21 +212,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     `path` names the vocabulary on the driver. Special tokens inside a text are encoded as
     such. Null text reads as empty: no ids. Equal rows get equal ids. Empty table: no rows.
-    doc_id is of any type. A task holds one batch of texts, the ids of 64 MB of them or of one
-    longer text, the vocabulary and a bounded table of known pieces.
+    doc_id is of any type. A task holds one batch of texts, the vocabulary and a bounded table of known pieces.
     """
     rows = pack(docs, "doc_id", "text").select("doc_id", *KEY, "text")
-    return rows.mapInArrow(_encode(_shared(docs, path)), _schema(docs, T.StructField("ids", T.BinaryType())))
+    return map_batches(rows, _encode(_shared(docs, path)), f"doc_id {id_type(docs)}, k1 long, k2 long, ids binary")
 
 
 def decoded(encoded: DataFrame, path: str) -> DataFrame:
     """`encoded` (doc_id, k1, k2, ids) with the text its ids stand for; null ids: null."""
     rows = encoded.select("doc_id", *KEY, "ids")
-    schema = _schema(encoded, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType()))
-    return rows.mapInArrow(_decode(_shared(encoded, path)), schema)
-
-
-def _schema(docs: DataFrame, *found: T.StructField) -> T.StructType:
-    """doc_id as the input has it, the row's hashes and what is found."""
-    kept = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(k, T.LongType()) for k in KEY]]
-    return T.StructType([*kept, *found])
+    schema = f"doc_id {id_type(encoded)}, k1 long, k2 long, ids binary, decoded string"
+    return map_batches(rows, _decode(_shared(encoded, path)), schema)
