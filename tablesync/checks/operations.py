@@ -32,7 +32,7 @@ def engine_ledger(t: Tables) -> DataFrame:
     per session and folder: all views read the same ledger."""
     place = t.spark.sparkContext.applicationId, t.folder
     if place not in _DONE:
-        events = stage(malformed_events(t), "broken")
+        events = malformed_events(t)
         end = events.agg(F.timestamp_micros(F.max("us")).alias("now")).scalar()
         first = stage(op.attempts(_batch(t, events=events).ledger, events, end + F.expr("INTERVAL 1 HOUR")), "attempts")
         again = stage(op.reinjected(events, op.operations(first)), "again")

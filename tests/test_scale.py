@@ -4,7 +4,7 @@ import datetime as dt
 
 
 from tablesync import presets
-from tablesync.checks import views
+from tablesync.checks import operations, streams, sync, views
 from tablesync.operators import lookups as lk
 from tablesync.operators.events import route, routes
 from tablesync.plans import sync_batch as sb
@@ -94,3 +94,25 @@ def test_short_arrays_are_looked_up_in_their_row(spark):
     assert got == want
     plan = lk.with_hits(stage(df, "rows"), rules, {"suppliers": dim}, "name")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_events_that_arrive_in_parts_are_made_once(spark, tmp_path, monkeypatch):
+    """Every part is read from the staged events: none joins the records again."""
+    monkeypatch.setattr(streams, "_stream", lambda t, delay: (None, f"{tmp_path}/landing"))
+    monkeypatch.setattr(streams, "_run", lambda stream, landing: None)
+    t = _tables(spark, tmp_path)
+    _, rows = streams._arriving(t, "0 seconds")
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    landed = spark.read.json(f"{tmp_path}/landing")
+    assert sorted(r.event_id for r in landed.collect()) == sorted(r.event_id for r in t("landed_events").collect())
+
+
+def test_broken_events_are_staged_once(spark, tmp_path, monkeypatch):
+    """The engine's ledger reads the landed events and does not write them a second time."""
+    names = []
+    for module in (operations, sync):
+        real = module.stage
+        monkeypatch.setattr(module, "stage", lambda df, name, real=real: names.append(name) or real(df, name))
+    ops = operations.engine_ledger(_tables(spark, tmp_path))
+    assert [n for n in names if n in ("landed", "broken")] == ["landed"]
+    assert {r.event_id for r in ops.select("event_id").collect()} == set(range(6))
