@@ -1,7 +1,8 @@
 """The duplicate and echo gate as a keyed stateful stream.
 
 State per (entity, identity): when each source was last accepted and last succeeded, and
-the events that wait for the watermark. Events are decided in event-time order once the
+the events that wait for the watermark, up to 4,096 of them in an entry of the list,
+since each entry is written and read by itself. Events are decided in event-time order once the
 watermark has passed them, so a stream gives what the batch job gives, in whatever order
 the events arrive within the allowed delay.
 """
@@ -20,7 +21,12 @@ from pyspark.sql.streaming.stateful_processor import (
 )
 
 _COLUMNS = ["us", "event_id", "source", "may", "carry"]
-_EVENT = "us bigint, event_id bigint, source string, may boolean, carry string"
+_PACKED = 4096
+# a run of waiting events: the earliest instant, then their columns
+_EVENTS = (
+    "first bigint, us array<bigint>, event_id array<bigint>, source array<string>, may array<boolean>, "
+    "carry array<string>"
+)
 _MARKS = "seen_a bigint, seen_b bigint, ok_a bigint, ok_b bigint"
 OUTPUT = (
     "entity string, identity string, event_id bigint, us bigint, source string, carry string, "
@@ -29,6 +35,17 @@ OUTPUT = (
 _SHOWN = ["entity", "identity", "event_id", "us", "source", "carry", "gate"]
 
 
+def _plain(column: pd.Series) -> list:
+    """The values as Python ones, what is missing as None."""
+    return [None if v != v else v for v in column.tolist()]
+
+
+def _pack(events: list[tuple]) -> list[tuple]:
+    """Entries of the waiting list."""
+    runs = (events[at : at + _PACKED] for at in range(0, len(events), _PACKED))
+    return [(min(e[0] for e in run), *map(list, zip(*run))) for run in runs]
+
+
 class GateProcessor(StatefulProcessor):
     def __init__(self, window_ms: int):
         self.window = window_ms * 1000
@@ -36,27 +53,28 @@ class GateProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.marks = handle.getValueState("marks", _MARKS)
-        self.waiting = handle.getListState("waiting", _EVENT)
+        self.waiting = handle.getListState("waiting", _EVENTS)
 
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues
     ) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            events = batch[_COLUMNS].astype(object).where(batch[_COLUMNS].notna(), None)
-            self.waiting.appendList(list(events.itertuples(index=False, name=None)))
-            self._wake_at(int(events["us"].min()) // 1000)
+            events = list(zip(*[_plain(batch[c]) for c in _COLUMNS]))
+            self.waiting.appendList(_pack(events))
+            self._wake_at(min(e[0] for e in events) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2])
+        events = sorted((e for entry in self.waiting.get() for e in zip(*entry[1:])), key=lambda e: e[:2])
         ready = [e for e in events if e[0] // 1000 <= now]
         later = events[len(ready):]
-        self.waiting.clear()
         if later:
-            self.waiting.put(later)
+            self.waiting.put(_pack(later))
             self._wake_at(later[0][0] // 1000)
-        marks = list(self.marks.get()) if self.marks.exists() else [None] * 4
+        elif events:
+            self.waiting.clear()
+        marks = list(self.marks.get() or [None] * 4)
         gates = [self._decide(marks, *event) for event in ready]
         known = [m for m in marks if m is not None]
         if ready:
@@ -70,10 +88,9 @@ class GateProcessor(StatefulProcessor):
                 self._wake_at(end)
         if not ready:
             return iter(())
-        frame = pd.DataFrame(ready, columns=_COLUMNS)
-        frame["entity"], frame["identity"] = key
-        frame["gate"] = gates
-        return iter([frame[_SHOWN]])
+        us, ids, sources, _, carried = map(list, zip(*ready))
+        entity, identity = ([k] * len(ready) for k in key)
+        return iter([pd.DataFrame(dict(zip(_SHOWN, (entity, identity, ids, us, sources, carried, gates))))])
 
     def _wake_at(self, millis: int) -> None:
         self.handle.registerTimer(millis)

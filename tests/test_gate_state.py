@@ -108,3 +108,18 @@ def test_state_holds_no_more_than_the_open_events(seed):
     decided += stream.push([], at + 10_000)
     assert sorted(i for i, _ in decided) == sent
     assert not stream.waiting.held and not stream.marks.exists() and not stream.timers
+
+
+def test_waiting_events_share_entries_and_keep_their_order():
+    """Ten thousand events that wait are a few entries, and all of them come out in the order of time."""
+    stream = Stream()
+    events = [(1_000_000 + 1_000 * (i * 7 % 10_000), i, "ab"[i % 2], True, None) for i in range(10_000)]
+    assert stream.push(events, 0) == []
+    assert len(stream.waiting.held) <= 3
+    first = stream.push([], 6_000)
+    assert len(first) == 5_001 and len(stream.waiting.held) <= 2
+    both = first + stream.push([], 20_000)
+    assert [i for i, _ in both] == [e[1] for e in sorted(events)]
+    plain = Stream()
+    assert both == plain.push(events, 20_000)
+    assert not stream.waiting.held
