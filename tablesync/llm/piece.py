@@ -9,6 +9,8 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
+from operator import add
 
 import pyarrow as pa
 import sentencepiece
@@ -72,17 +74,21 @@ class Vocabulary:
         self.space_leads = all(not piece.lstrip(SPACE).count(SPACE) for piece in self.ids)
 
 
-def _segments(vocabulary: Vocabulary) -> re.Pattern:
-    """How a text is cut first, at places where nothing can merge: before spaces, if they can only
-    lead a piece, and between letters and other characters. Letters that some piece joins
-    with others (such as a raised digit and a full stop) count as others."""
-    if not vocabulary.space_leads:
-        return re.compile(r"(?s).+")
+def _odd_letters(vocabulary: Vocabulary) -> set[str]:
+    """Letters that some piece joins with other characters, such as a raised digit and a full stop."""
     letter = re.compile(r"[^\W\d_]")
     mixed = "".join(
         c for j in vocabulary.joints if SPACE not in j and bool(letter.match(j[0])) != bool(letter.match(j[1])) for c in j
     )
-    odd = re.escape("".join(c for c in set(mixed) if letter.match(c)))
+    return {c for c in mixed if letter.match(c)}
+
+
+def _segments(vocabulary: Vocabulary) -> re.Pattern:
+    """How a text is cut first, at places where nothing can merge: before spaces, if they can only
+    lead a piece, and between letters and other characters. Odd letters count as others."""
+    if not vocabulary.space_leads:
+        return re.compile(r"(?s).+")
+    odd = re.escape("".join(_odd_letters(vocabulary)))
     return re.compile(f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[^\\w{SPACE}]|[\\d_{odd}])+|{SPACE}+")
 
 
@@ -93,6 +99,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.plain = vocabulary.space_leads and vocabulary.dummy_prefix
         self.segment = _segments(vocabulary)
+        self.plain_letters = self.plain and not any(c.isalpha() for c in _odd_letters(vocabulary))
 
     def merged(self, stretch: str) -> list[str]:
         """All merges inside a stretch of text. The agenda holds the neighbours whose union is a
@@ -103,7 +110,7 @@ class Encoder:
     def _listed(self, stretch: str) -> list[str]:
         rank, never = self.vocabulary.ranks.get, _NEVER
         symbols = list(stretch)
-        agenda = [rank(a + b, never) for a, b in zip(symbols, symbols[1:])]
+        agenda = list(map(rank, map(add, symbols, symbols[1:]), repeat(never)))
         while agenda:
             best = min(agenda)
             if best == never:
@@ -160,30 +167,36 @@ class Encoder:
 
     def segment_ids(self, segment: str) -> bytes:
         """The packed ids of a segment; those of a short one are remembered, up to a fixed number."""
-        ids, byte_ids = self.vocabulary.ids.get, self.vocabulary.byte_ids
-        out = array("i")
-        short = len(segment) <= _LISTED_CHARS
-        for a, b in ((0, len(segment)),) if short else self.cut(segment, 1):
-            for piece in self.merged(segment[a:b]):
-                found = ids(piece)
-                if found is not None:
-                    out.append(found)
-                else:  # a single character without a piece: its bytes
-                    out.extend([byte_ids[b] for b in piece.encode()])
-        packed = out.tobytes()
-        if short:
-            if len(self.known) >= _KNOWN_SEGMENTS:
-                self.known.clear()
-            self.known[segment] = packed
+        if len(segment) > _LISTED_CHARS:
+            out = bytearray()
+            for a, b in self.cut(segment, 1):
+                out += self._packed(self.merged(segment[a:b]))
+            return bytes(out)
+        if len(self.known) >= _KNOWN_SEGMENTS:
+            self.known.clear()
+        packed = self.known[segment] = self._packed(self._listed(segment))
         return packed
 
+    def _packed(self, pieces: list[str]) -> bytes:
+        ids, byte_ids = self.vocabulary.ids, self.vocabulary.byte_ids
+        try:
+            return array("i", [ids[p] for p in pieces]).tobytes()
+        except KeyError:  # a single character without a piece: its bytes
+            each = [[ids[p]] if p in ids else [byte_ids[b] for b in p.encode()] for p in pieces]
+            return array("i", chain.from_iterable(each)).tobytes()
+
     def spaced_ids(self, spaced: str) -> bytes:
         known, segment_ids = self.known.get, self.segment_ids
         return b"".join([known(s) or segment_ids(s) for s in self.segment.findall(spaced)])
 
     def word_ids(self, word: str) -> bytes:
-        """The packed ids of a word with a space before it; short words are remembered, too."""
-        packed = self.spaced_ids(SPACE + word)
+        """The packed ids of a word with a space before it; short words are remembered, too. Where all
+        letters are plain, a word of letters is one segment."""
+        spaced = SPACE + word
+        if self.plain_letters and word.isalpha():
+            packed = self.known.get(spaced) or self.segment_ids(spaced)
+        else:
+            packed = self.spaced_ids(spaced)
         if len(word) <= _LISTED_CHARS:
             if len(self.words) >= _KNOWN_WORDS:
                 self.words.clear()
@@ -278,6 +291,10 @@ def _packets(rows: Iterator[tuple], columns: int) -> Iterator[list[list]]:
         yield held
 
 
+def _int32(values: array) -> pa.Array:
+    return pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)])
+
+
 def encode(docs: DataFrame, path: str, check: bool = False) -> DataFrame:
     """(doc_id, k1, k2, ids, decoded, agrees) for each row of `docs` (doc_id, text): the ids with
     the end id, what they stand for, and, with `check`, whether the sentencepiece library gives the
@@ -327,7 +344,7 @@ def encode(docs: DataFrame, path: str, check: bool = False) -> DataFrame:
                 for some in ids:
                     flat.extend(some)
                     ends.append(len(flat))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _int32(flat))
                 yield pa.RecordBatch.from_arrays(
                     [*kept.columns, lists, pa.array(back, pa.string()), pa.array(agrees, pa.bool_())],
                     names=schema.names,

@@ -105,3 +105,13 @@ def test_query_against_the_library(spark, library):
         assert r.n_tokens == len(want) and r.agrees
         assert r.ids_sha256 == brute.sha(" ".join(map(str, want)))
         assert r.decoded_sha256 == brute.sha(library.decode(want))
+
+
+def test_a_word_of_letters_is_cut_by_no_pattern(library):
+    """Words of plain letters go to the merges as they are, with the ids of the library."""
+    with open(PATH, "rb") as file:
+        fresh = piece.Encoder(piece.Vocabulary(file.read()))
+    assert fresh.plain_letters
+    fresh.spaced_ids = None  # what cuts a word into segments
+    text = "par éreèment queê ñboadorr 日本語のテキスト ĸŉſ"
+    assert list(fresh.encode(text)) == library.encode(text, add_eos=True)
