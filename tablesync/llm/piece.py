@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import codecs
 import heapq
+import random
 import re
 from array import array
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from functools import lru_cache
 from itertools import chain, repeat
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -25,6 +27,10 @@ _UNKNOWN, _CONTROL, _BYTE, _NORMAL = 2, 3, 6, 1
 _KNOWN_SEGMENTS = 400_000
 _KNOWN_WORDS = 700_000
 _LISTED_CHARS = 48
+_PLACES = 64  # more than a listed stretch has characters, a space before it and a border
+_TOGETHER = range(256, 16_384)
+_ROOM_PER_PAIR = 16
+_TRIES = 64
 _WINDOW_CHARS = 1 << 16
 _NEVER = float("inf")
 _IDS_PER_STEP = 4096
@@ -92,9 +98,119 @@ def _segments(vocabulary: Vocabulary) -> re.Pattern:
     return re.compile(f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[^\\w{SPACE}]|[\\d_{odd}])+|{SPACE}+")
 
 
+class Merges:
+    """All merges inside many short stretches at once. A stretch is a column of symbols; beside each
+    symbol stands the rank of its union with the next one, then its place: the smallest of a
+    column is the next merge there, of equal ranks the leftmost."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        ids, (order, rank) = vocabulary.ids, np.unique(list(vocabulary.ranks.values()), return_inverse=True)
+        number = {p: i for i, p in enumerate(ids)}
+        # Behind the pieces come the bytes, which merge with nothing, and the border of a stretch.
+        self.border = len(ids) + 256
+        self.never = len(order) * _PLACES
+        self.ids = np.array([*ids.values(), *vocabulary.byte_ids], np.int32)
+        #: the symbol of each character; -1 for those whose bytes or merges need another look
+        self.symbols = np.full(0x110000, -1, np.int32)
+        inside = set(chain.from_iterable(ids))
+        for c in inside & number.keys():
+            self.symbols[ord(c)] = number[c]
+        for i in range(128):
+            if chr(i) not in inside:
+                self.symbols[i] = len(ids) + i
+        #: the only piece of a rank; -1 where several share it
+        self.only = np.full(len(order), -1, np.int32)
+        self.only[rank] = np.where(np.bincount(rank)[rank] == 1, np.arange(len(ids)), -1)
+        self._lay(
+            (number[p[:i]], number[p[i:]], n)
+            for p, n in number.items()
+            for i in range(1, len(p))
+            if p[:i] in number and p[i:] in number
+        )
+        known = self.unions != self.border
+        self.places = np.full(len(self.unions), self.never, np.int32)
+        self.places[known] = rank[self.unions[known]] * _PLACES
+
+    def _lay(self, pairs: Iterator[tuple[int, int, int]]) -> None:
+        """The pairs of a left symbol lie in one table, as far apart as their right symbols, moved to
+        where all are free: some place at random, else the end. So a pair is found in one look."""
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for left, right, union in pairs:
+            rows.setdefault(left, []).append((right, union))
+        width, draw = self.border + 1, random.Random(0).randrange
+        room = 1 + _ROOM_PER_PAIR * sum(map(len, rows.values()))
+        self.shift = np.zeros(width, np.int32)
+        self.owner = np.full(room + width, -1, np.int32)
+        self.unions = np.full(room + width, self.border, np.int32)
+        for left, row in sorted(rows.items(), key=lambda r: -len(r[1])):
+            right, union = np.array(row).T
+            for _ in range(_TRIES):
+                at = right + draw(room)
+                if self.owner[at].max() < 0:
+                    break
+            else:
+                at = right + len(self.owner)
+                self.owner = np.append(self.owner, np.full(width, -1, np.int32))
+                self.unions = np.append(self.unions, np.full(width, self.border, np.int32))
+            self.shift[left], self.owner[at], self.unions[at] = at[0] - right[0], left, union
+
+    def _place(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        at = self.shift[left] + right
+        return np.where(self.owner[at] == left, self.places[at] + place, self.never)
+
+    def packed(self, stretches: list[str]) -> Iterator[tuple[int, bytes]]:
+        """The number and the packed ids of each stretch, which is not empty and of fewer than
+        `_PLACES` - 1 characters. Those with a character that needs another look are left out."""
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        points = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)
+        symbols, starts = self.symbols[points], np.cumsum(sizes) - sizes
+        usable = np.minimum.reduceat(symbols, starts) >= 0
+        for low, high in ((0, 10), (10, 20), (20, _PLACES)):
+            some = np.flatnonzero(usable & (sizes > low) & (sizes <= high))
+            if len(some):
+                counts, ids = self._columns(symbols, starts[some], sizes[some])
+                ends = (4 * np.cumsum(counts)).tolist()
+                data = ids.tobytes()
+                yield from zip(some.tolist(), [data[a:b] for a, b in zip([0, *ends], ends)])
+
+    def _columns(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each stretch has, and all ids."""
+        n, height = len(starts), int(sizes.max())
+        place = np.arange(height + 2)[:, None]
+        inside = (place > 0) & (place <= sizes)
+        read = np.minimum(starts + place - 1, len(symbols) - 1)
+        column = np.where(inside, symbols[read], self.border).ravel()
+        agenda = np.full(len(column), self.never, np.int32)
+        agenda[:-n] = self._place(column[:-n], column[n:], np.repeat(place[:-1], n))
+        best = agenda.reshape(height + 2, n)
+        before, behind = np.arange(-n, len(column) - n), np.arange(n, len(column) + n)
+        while True:
+            first = best.min(axis=0)
+            busy = np.flatnonzero(first < self.never)
+            if not len(busy):
+                break
+            first = first[busy]
+            row, union = first % _PLACES, self.only[first // _PLACES]
+            left = row * n + busy
+            right = behind[left]
+            after, ahead = behind[right], before[left]
+            tied = np.flatnonzero(union < 0)
+            if len(tied):
+                union[tied] = self.unions[self.shift[column[left[tied]]] + column[right[tied]]]
+            column[left], column[right] = union, self.border
+            behind[left], before[after] = after, left
+            agenda[right] = self.never
+            agenda[left] = self._place(union, column[after], row)
+            agenda[ahead] = self._place(column[ahead], union, ahead // n)
+        left = column.reshape(height + 2, n).T
+        held = left != self.border
+        return held.sum(axis=1), self.ids[left[held]]
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.merges = Merges(vocabulary)
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.plain = vocabulary.space_leads and vocabulary.dummy_prefix
@@ -189,6 +305,18 @@ class Encoder:
         known, segment_ids = self.known.get, self.segment_ids
         return b"".join([known(s) or segment_ids(s) for s in self.segment.findall(spaced)])
 
+    def _learn(self, table: dict[str, bytes], limit: int, new: list[str], lead: str) -> None:
+        """Many short stretches that are not in a table yet are encoded together. Too few do not
+        pay; those left out are encoded one by one where they are met."""
+        if len(table) >= limit:
+            table.clear()
+        short = [s for s in new if len(s) <= _LISTED_CHARS]
+        for at in range(0, len(short), _TOGETHER.stop):
+            some = short[at : at + _TOGETHER.stop]
+            if len(some) >= _TOGETHER.start:
+                found = self.merges.packed([lead + s for s in some] if lead else some)
+                table.update((some[i], packed) for i, packed in sorted(found))
+
     def word_ids(self, word: str) -> bytes:
         """The packed ids of a word with a space before it; short words are remembered, too. Where all
         letters are plain, a word of letters is one segment."""
@@ -204,27 +332,55 @@ class Encoder:
         return packed
 
     def encode(self, text: str) -> array:
-        """The ids of a text, the end id last. The text is read in windows; where single spaces
-        separate its words, a word is looked up as it is."""
-        out = array("i")
-        if not text:
-            pass
-        elif not self.plain or SPACE in text:
-            spaced = (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE)
-            for start, end in self.cut(spaced, _WINDOW_CHARS):
-                out.frombytes(self.spaced_ids(spaced[start:end]))
-        else:
-            known, word_ids = self.words.get, self.word_ids
-            for part in _windows(text, _WINDOW_CHARS):
-                if "  " in part or part.startswith(" "):
-                    spaced = SPACE + part.replace(" ", SPACE)
-                    for start, end in self.cut(spaced, _WINDOW_CHARS):
-                        out.frombytes(self.spaced_ids(spaced[start:end]))
-                else:
-                    out.frombytes(b"".join([known(w) or word_ids(w) for w in part.split(" ")]))
-        out.append(self.vocabulary.end)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[array]:
+        """The ids of each text, the end id last. Texts are read in windows; where single spaces
+        separate its words, a word is looked up as it is, else a segment. What is unknown in some
+        windows is learnt together."""
+        out = [array("i") for _ in texts]
+        held: list[tuple[array, bool, list[str], list[bytes | None]]] = []
+        size = 0
+        for ids, text in zip(out, texts):
+            for part, plain in self._parts(text) if text else []:
+                stretches = part.split(" ") if plain else self.segment.findall(part)
+                held.append((ids, plain, stretches, list(map((self.words if plain else self.known).get, stretches))))
+                size += len(part)
+                if size >= _BYTES_TOGETHER:
+                    self._join(held)
+                    held, size = [], 0
+        self._join(held)
+        for ids in out:
+            ids.append(self.vocabulary.end)
         return out
 
+    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Windows, and whether single spaces separate their words; where they do not, spaces are
+        written as pieces have them."""
+        lead = SPACE if self.vocabulary.dummy_prefix else ""
+        plain = self.plain and SPACE not in text
+        for part in _windows(text, _WINDOW_CHARS) if plain else [text]:
+            if plain and "  " not in part and not part.startswith(" "):
+                yield part, True
+            else:
+                spaced = lead + part.replace(" ", SPACE)
+                for start, end in self.cut(spaced, _WINDOW_CHARS):
+                    yield spaced[start:end], False
+
+    def _join(self, held: list[tuple[array, bool, list[str], list[bytes | None]]]) -> None:
+        unknown = [[i for i, packed in enumerate(found) if packed is None] for *_, found in held]
+        for words in (True, False):
+            new = dict.fromkeys(s[i] for (_, plain, s, _), places in zip(held, unknown) if plain == words for i in places)
+            if words:
+                self._learn(self.words, _KNOWN_WORDS, list(new), SPACE)
+            else:
+                self._learn(self.known, _KNOWN_SEGMENTS, list(new), "")
+        for (ids, plain, stretches, found), places in zip(held, unknown):
+            known, alone = (self.words.get, self.word_ids) if plain else (self.known.get, self.segment_ids)
+            for i in places:
+                found[i] = known(stretches[i]) or alone(stretches[i])
+            ids.frombytes(b"".join(found))
+
 
 def _windows(text: str, size: int) -> Iterator[str]:
     """Parts of a text between two spaces; the space before a part, like that which encoding puts
@@ -252,7 +408,7 @@ def decode(ids: array, vocabulary: Vocabulary) -> Iterator[str]:
             yield machine.decode(stands[ids[first]][1:])
             first += 1
     for at in range(first, len(ids), _IDS_PER_STEP):
-        yield _NO_TEXT.sub("\ufffd", machine.decode(b"".join([stands[i] for i in ids[at : at + _IDS_PER_STEP]])))
+        yield _NO_TEXT.sub("\ufffd", machine.decode(b"".join(map(stands.__getitem__, ids[at : at + _IDS_PER_STEP]))))
     yield _NO_TEXT.sub("\ufffd", machine.decode(b"", final=True))
 
 
@@ -331,8 +487,7 @@ def encode(docs: DataFrame, path: str, check: bool = False) -> DataFrame:
                 for some in _together(texts(batch, "text")):
                     said = [data.decode() for _, data in some]
                     theirs = library.encode(said, add_eos=True, num_threads=1) if check else [None] * len(some)
-                    for (row, _), text, their in zip(some, said, theirs):
-                        ids = encoder.encode(text)
+                    for (row, _), ids, their in zip(some, encoder.encode_all(said), theirs):
                         back = "".join(decode(ids, vocabulary))
                         agrees = array("i", their) == ids and library.decode(their) == back if check else None
                         yield len(ids), (row, ids, back, agrees)

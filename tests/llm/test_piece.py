@@ -115,3 +115,45 @@ def test_a_word_of_letters_is_cut_by_no_pattern(library):
     fresh.spaced_ids = None  # what cuts a word into segments
     text = "par éreèment queê ñboadorr 日本語のテキスト ĸŉſ"
     assert list(fresh.encode(text)) == library.encode(text, add_eos=True)
+
+
+def test_many_words_and_segments_are_merged_together(library):
+    """Unknown words of a group of texts, and segments of a text with other spaces, go to the merges
+    in columns, none of them alone; ids are those of the library."""
+    with open(PATH, "rb") as file:
+        fresh = piece.Encoder(piece.Vocabulary(file.read()))
+    rng = random.Random(7)
+    letters = "etaoinshrdlu" * 3 + "ETAéß日0123,.\n\t-'"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 30))) for _ in range(2000)]
+    texts = [" ".join(words[i : i + 20]) for i in range(0, 1000, 20)]
+    texts.append(" ".join(w + " " * rng.randrange(12) for w in words[1000:]))
+    fresh._listed = fresh._heaped = None
+    assert [ids.tolist() for ids in fresh.encode_all(texts)] == library.encode(texts, add_eos=True)
+
+
+@pytest.mark.parametrize("room", [16, 1])
+def test_merged_together_as_one_by_one(encoder, monkeypatch, room):
+    """Also where pieces share a rank (runs of spaces) and rows of pairs go to the end of their table."""
+    monkeypatch.setattr(piece, "_ROOM_PER_PAIR", room)
+    merges = encoder.merges if room == 16 else piece.Merges(encoder.vocabulary)
+    rng = random.Random(5)
+    pieces = list(encoder.vocabulary.ids)
+    stretches = [s[:48] for t in odd_texts() for s in (t, t.replace(" ", piece.SPACE)[-48:]) if s]
+    stretches += ["".join(rng.choices(pieces, k=6))[: piece._PLACES - 2] for _ in range(2000)]
+    found = dict(merges.packed(stretches))
+    assert len(found) > 2000
+    for i, packed in found.items():
+        assert packed == encoder._packed(encoder._heaped(stretches[i])), stretches[i]
+
+
+def test_words_are_learnt_in_groups_of_any_size(encoder, library, monkeypatch):
+    texts = list(odd_texts())
+    want = library.encode(texts, add_eos=True)
+    for size, limit in ((1, 1), (50, 100), (5000, 10)):
+        monkeypatch.setattr(piece, "_BYTES_TOGETHER", size)
+        monkeypatch.setattr(piece, "_KNOWN_WORDS", limit)
+        monkeypatch.setattr(piece, "_KNOWN_SEGMENTS", limit)
+        monkeypatch.setattr(piece, "_TOGETHER", range(2, 7))
+        fresh = piece.Encoder(encoder.vocabulary)
+        assert [ids.tolist() for ids in fresh.encode_all(texts)] == want
+        assert [fresh.encode(t).tolist() for t in texts] == want
