@@ -55,11 +55,13 @@ def test_a_batch_leaves_its_results_and_nothing_else(spark, tmp_path):
     assert {r.event_id for r in stream.ledger.read().collect()} == {1, 2, 3}
     table = stream.table("b", "tasks")
     assert {(r.task_name, r.status) for r in table.read().collect()} == {("one", "Closed"), ("two", "Open")}
-    # one version of the tables, with its files alone; the logs keep all batches
+    # one version of the tables and the state, with its files alone; the logs keep all batches
     assert len(stream.ledger.batches()) == 3
     assert table.manifests.batches() == stream.ledger.batches()[-1:]
     data = {p.parent.relative_to(tmp_path / "run/b/tasks") for p in (tmp_path / "run/b/tasks/data").rglob("*.parquet")}
     assert data == {Path(p) for p in table.files().values()}
+    for name in ("waiting", "marks", "clock"):
+        assert stream._state(name).batches() == stream.ledger.batches()[-1:]
 
 
 def test_a_batch_that_broke_off_is_played_again(spark, tmp_path, monkeypatch):
