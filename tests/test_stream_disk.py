@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesync import presets
+from tablesync.checks import streams
 from tablesync.operators.apply import apply_changes, net_changes
 from tablesync.session import checkpoint_root, scratch, shuffles_removed, stage, stage_all, staging_in
 from tablesync.sources import buckets
@@ -139,3 +140,12 @@ def test_a_large_table_is_merged_in_rounds(spark, tmp_path, monkeypatch):
     whole = apply_changes(first, net, "k")
     assert sorted(map(str, table.read().collect())) == sorted(map(str, whole.collect()))
     assert sorted(map(str, table.read(before=1).collect())) == sorted(map(str, first.collect()))
+
+
+def test_events_land_in_small_compressed_files(spark, tmp_path):
+    rows = spark.range(60_000).select(F.col("id").alias("event_id"), F.lit("x").alias("data")).coalesce(1)
+    streams._land(rows, str(tmp_path / "in"))
+    streams._land(rows.limit(5), str(tmp_path / "in"))
+    files = [*(tmp_path / "in").glob("part-*")]
+    assert len(files) == 4 and all(f.name.endswith(".json.gz") for f in files)
+    assert spark.read.json(str(tmp_path / "in")).count() == 60_005
